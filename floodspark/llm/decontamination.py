@@ -121,30 +121,48 @@ def build_indexes(rows: list[tuple], k: int, hashes: int) -> list[ItemIndex]:
     return [ItemIndex(n, ids, sets, hashes) for n, (ids, sets) in sorted(by_length.items())]
 
 
+def _found(texts: pa.Array, indexes: list[ItemIndex], containment: float) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item_id, shingles, shared) of the items found in the texts."""
+    for block in blocks(texts):
+        words = tokens(block)
+        for index in indexes:
+            keys, bounds = shingles(words, index.k)
+            for d, i, shared in index.search(keys, bounds, containment):
+                if words.counts[d] >= index.k:
+                    yield block.first + d, index.ids[i], len(index.sets[i]), shared
+
+
 def _searcher(indexes, containment: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column("text")):
-                words = tokens(block)
-                rows = []
-                for index in indexes.value:
-                    keys, bounds = shingles(words, index.k)
-                    rows += [
-                        (block.first + d, index.ids[i], len(index.sets[i]), shared)
-                        for d, i, shared in index.search(keys, bounds, containment)
-                        if words.counts[d] >= index.k
-                    ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())),
-                        *[pa.array([r[c] for r in rows], pa.int64()) for c in (1, 2, 3)],
-                    ],
-                    names=["doc_id", "item_id", "n_shingles", "n_shared"],
-                )
+            rows = list(_found(batch.column("text"), indexes.value, containment))
+            ids = batch.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
+            rest = [pa.array([r[c] for r in rows], pa.int64()) for c in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([ids, *rest], names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
     return search
 
 
+def _cleaner(indexes, containment: float):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            keep[[r[0] for r in _found(batch.column("text"), indexes.value, containment)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return clean
+
+
+def _item_blocks(benchmark: DataFrame, k: int, hashes: int, items_per_block: int):
+    """Broadcast indexes of the blocks of the benchmark, one after the other."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    n_blocks = max(1, -(-items.count() // items_per_block))
+    for number in range(n_blocks):
+        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == number)
+        rows = [(r[0], r[1]) for r in block.collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(build_indexes(rows, k, hashes))
+
+
 def contaminated(
     documents: DataFrame,
     benchmark: DataFrame,
@@ -154,24 +172,25 @@ def contaminated(
     items_per_block: int = 20_000,
 ) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of items found in documents."""
-    spark = documents.sparkSession
-    items = benchmark.select("item_id", "text").where("text is not null")
-    n_blocks = max(1, -(-items.count() // items_per_block))
-    parts = []
-    for number in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == number)
-        rows = [(r[0], r[1]) for r in block.collect()]
-        shared = spark.sparkContext.broadcast(build_indexes(rows, k, hashes))
-        parts.append(
-            documents.select("doc_id", "text").mapInArrow(
-                _searcher(shared, containment), "doc_id long, item_id long, n_shingles long, n_shared long"
-            )
+    parts = [
+        documents.select("doc_id", "text").mapInArrow(
+            _searcher(indexes, containment), "doc_id long, item_id long, n_shingles long, n_shared long"
         )
+        for indexes in _item_blocks(benchmark, k, hashes, items_per_block)
+    ]
     found = reduce(DataFrame.unionAll, parts)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """``documents`` without those that hold a benchmark item; rows with a null doc_id stay."""
-    hits = contaminated(documents, benchmark, containment).select(F.col("doc_id").alias("__hit")).distinct()
-    return documents.join(hits, documents["doc_id"] == hits["__hit"], "left_anti")
+def decontaminate(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    containment: float = CONTAINMENT,
+    k: int = K,
+    hashes: int = HASHES,
+    items_per_block: int = 20_000,
+) -> DataFrame:
+    """``documents`` without the rows whose text holds a benchmark item; nothing is shuffled."""
+    for indexes in _item_blocks(benchmark, k, hashes, items_per_block):
+        documents = documents.mapInArrow(_cleaner(indexes, containment), documents.schema)
+    return documents

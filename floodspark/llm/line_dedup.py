@@ -30,11 +30,11 @@ def line_windows(documents: DataFrame, window: int = 3) -> DataFrame:
             lambda s: s["line"].rlike(r"[^\x20\x09-\x0D]"),
         ).alias("lines"),
     )
-    many = numbered.where(F.size("lines") >= window)
-    parts = [F.slice("lines", F.lit(i + 1), F.size("lines") - (window - 1)) for i in range(window)]
+    n_windows = F.greatest(F.size("lines") - (window - 1), F.lit(0))
+    parts = [F.slice("lines", F.lit(i + 1), n_windows) for i in range(window)]
     zipped = F.arrays_zip(*[p.alias(f"l{i}") for i, p in enumerate(parts)])
     names = [f"l{i}" for i in range(window)]
-    rows = many.select("doc_id", "digest", F.posexplode(zipped).alias("pos", "w"))
+    rows = numbered.select("doc_id", "digest", F.posexplode(zipped).alias("pos", "w"))
     return rows.select(
         "doc_id",
         "digest",

@@ -20,18 +20,26 @@ are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textblocks import SOLID, blocks, tokens
+
 CAPACITIES = (512, 1024, 2048, 4096)
 BIN_OVERHEAD, PIECES_PER_SHARD = 16, 20_000
 
 
-def word_count(text: str | Column = "text") -> Column:
-    return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block in blocks(batch.column("text"), lower=False):
+            counts = tokens(block, SOLID).counts
+            ids = batch.column("doc_id").slice(block.first, block.n)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(counts.astype(np.int64))], names=["doc_id", "n_words"])
 
 
 def best_fit(lengths: list[int], preferred: int, capacities: tuple[int, ...]) -> tuple[list[int], list[int]]:
@@ -82,7 +90,7 @@ def pack_lengths(
 def pieces(documents: DataFrame, capacities: tuple[int, ...] = CAPACITIES) -> DataFrame:
     """(doc_id, piece, start, length): what is packed, in words of the document."""
     largest = max(capacities)
-    counted = documents.select("doc_id", word_count().alias("n_words")).where("n_words > 0")
+    counted = documents.select("doc_id", "text").mapInArrow(_count_words, "doc_id long, n_words long").where("n_words > 0")
     cut = counted.select(
         "doc_id",
         "n_words",

@@ -1,7 +1,7 @@
 """Quality by logistic regression over hashed word n-grams, trained with FTRL-proximal updates.
 
 Tokens are runs of letters and digits, or of symbols, in their own case; terms are single tokens and
-pairs of neighbours, hashed to 2 ** 18 slots, and their shapes (case and symbols). A text's score is the
+pairs of neighbours, hashed to 2 ** 18 slots, and their shapes (all capitals; the third of a row of equal tokens). A text's score is the
 sparse dot product of its distinct terms with the weights. The fit uses at most ``train_rows`` labelled
 documents outside the held-out fold; every document is scored over its whole text, without a shuffle.
 
@@ -25,7 +25,7 @@ from .hashed_terms import Ftrl, active_terms, sample_features, sigmoid, slots, s
 from .textblocks import ALNUM_AND_SYMBOLS, U64, Block, blocks, mix, tokens
 
 FOLDS, HELD_OUT, TRAIN_ROWS = 4, 2, 8_000
-THRESHOLD = 0.7
+THRESHOLD, ALPHA, L1, EPOCHS = 0.7, 1.0, 4.0, 8
 
 
 def terms(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,10 @@ def terms(block: Block) -> tuple[np.ndarray, np.ndarray]:
         last = words.bounds[1:][words.counts > 0] - 1
         pair[last] = h[last]
     out[1::3] = pair
-    out[2::3] = mix(U64(0xA0761D6478BD642F) + shouted.astype(U64))
+    tripled = np.zeros(n, bool)
+    if n > 2:
+        tripled[2:] = (h[2:] == h[1:-1]) & (h[1:-1] == h[:-2])
+    out[2::3] = mix(U64(0xA0761D6478BD642F) + shouted.astype(U64) + U64(2) * tripled.astype(U64))
     return slots(out), 3 * words.bounds
 
 
@@ -52,7 +55,7 @@ def fit(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
     """(bias, weights), the weights at single precision."""
     sample = labelled_sample(documents, labels, "quality", FOLDS, HELD_OUT, train_rows)
     rows, y = sample_features(sample, terms, partial(blocks, lower=False))
-    model = Ftrl().fit(rows, y)
+    model = Ftrl(alpha=ALPHA, l1=L1).fit(rows, y, epochs=EPOCHS)
     return model.bias, model.weights().astype(np.float32)
 
 

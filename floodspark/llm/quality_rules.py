@@ -139,4 +139,7 @@ def keep(documents: DataFrame, table=THRESHOLDS) -> DataFrame:
     packed = documents.select(F.struct(*[documents[f"`{c}`"] for c in columns]).alias("__row"), "text")
     measured = measure(packed)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return measured.where(~failed & compile_thresholds(table)).select("__row.*")
+    # The row number keeps the filter above the projections: pushed below them, the optimiser would
+    # write out every figure again for each time that a later one refers to it.
+    fenced = measured.select("__row", (~failed & compile_thresholds(table)).alias("__kept"), F.monotonically_increasing_id().alias("__at"))
+    return fenced.where("__kept AND __at >= 0").select("__row.*")

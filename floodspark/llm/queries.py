@@ -92,7 +92,7 @@ OP4_SQL = rf"""
 WITH base AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 grams AS (
   SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
@@ -107,7 +107,7 @@ counted AS (
          (len(l) - len(list_distinct(l)))::bigint AS n_dup_lines,
          coalesce(n, 0)::bigint AS n_repeat_words,
          len(l)::bigint AS n_lines,
-         len(list_filter(w, x -> x IN ({_STOP})))::bigint AS n_stop_words
+         len(list_filter(w, lambda x: x IN ({_STOP})))::bigint AS n_stop_words
   FROM base LEFT JOIN covered USING (r)),
 failed AS (
   SELECT *, n_words < {quality_rules.MIN_WORDS}
@@ -121,22 +121,22 @@ FROM failed
 
 OP6_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, l, unnest(range(0, len(l))) AS at FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+  SELECT doc_id, l, unnest(range(0, len(l))) AS ln FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 full_lines AS (
-  SELECT doc_id, l[at + 1] AS line, at, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS pos
-  FROM lines WHERE regexp_matches(l[at + 1], '[^\x20\x09-\x0D]')),
+  SELECT doc_id, l[ln + 1] AS line, ln, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS pos
+  FROM lines WHERE regexp_matches(l[ln + 1], '[^\x20\x09-\x0D]')),
 windows AS (
   SELECT doc_id, pos, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS key,
-         [at, lead(at, 1) OVER w, lead(at, 2) OVER w] AS covered
+         [ln, lead(ln, 1) OVER w, lead(ln, 2) OVER w] AS covered
   FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 later AS (
   SELECT doc_id, covered FROM (
     SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS n FROM windows WHERE key IS NOT NULL)
   WHERE n > 1),
-removed AS (SELECT DISTINCT doc_id, unnest(covered) AS at FROM later),
+removed AS (SELECT DISTINCT doc_id, unnest(covered) AS ln FROM later),
 kept AS (
-  SELECT lines.doc_id, string_agg(l[lines.at + 1], chr(10) ORDER BY lines.at) AS text
-  FROM lines ANTI JOIN removed ON lines.doc_id = removed.doc_id AND lines.at = removed.at GROUP BY lines.doc_id),
+  SELECT lines.doc_id, string_agg(l[lines.ln + 1], chr(10) ORDER BY lines.ln) AS text
+  FROM lines ANTI JOIN removed ON lines.doc_id = removed.doc_id AND lines.ln = removed.ln GROUP BY lines.doc_id),
 counts AS (SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id)
 SELECT d.doc_id,
        CASE WHEN length(d.text) > 0 THEN len(string_split(d.text, chr(10))) ELSE 0 END::bigint AS n_lines,

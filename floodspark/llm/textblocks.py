@@ -30,6 +30,7 @@ def _classes(symbols: bool) -> np.ndarray:
     return out
 
 
+SOLID = np.array([b not in _SPACES for b in range(256)], np.uint8)
 ALNUM = _classes(symbols=False)
 ALNUM_AND_SYMBOLS = _classes(symbols=True)
 

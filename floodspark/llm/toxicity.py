@@ -29,6 +29,8 @@ from .hashed_terms import BITS, Ftrl, active_terms, sample_features, sigmoid, sl
 from .textblocks import U64, Block, blocks, mix, tokens
 
 FOLDS, HELD_OUT, TRAIN_ROWS = 5, 0, 8_000
+#: Terms of fewer training documents are not learnt from; L1 is strong, as insults are few among many words.
+MIN_DOCUMENTS, ALPHA, L1, EPOCHS = 4, 1.0, 8.0, 8
 
 
 def terms(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -40,17 +42,27 @@ def terms(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FactorizationMachine:
-    def __init__(self, factors: int = 4, seed: int = 3) -> None:
-        self.linear = Ftrl()
+    def __init__(self, factors: int = 4, seed: int = 3, alpha: float = ALPHA, l1: float = L1) -> None:
+        self.linear = Ftrl(alpha=alpha, l1=l1)
         self.v = np.random.default_rng(seed).normal(0, 0.05, (1 << BITS, factors))
         self.active = np.zeros(1 << BITS, bool)
         self.bias, self.w = 0.0, np.zeros(1 << BITS)
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4, rate: float = 0.05, l2: float = 1e-3):
+    def fit(
+        self,
+        rows: list[np.ndarray],
+        labels: np.ndarray,
+        epochs: int = EPOCHS,
+        min_documents: int = MIN_DOCUMENTS,
+        rate: float = 0.05,
+        l2: float = 1e-3,
+    ) -> FactorizationMachine:
         if len(set(labels.tolist())) < 2:
             share = np.clip(labels.mean() if len(labels) else 0.0, 1e-9, 1 - 1e-9)
             self.bias = float(np.log(share / (1 - share)))
             return self
+        frequency = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+        rows = [r[frequency[r] >= min_documents] for r in rows]
         self.linear.fit(rows, labels, epochs=epochs)
         self.w, self.bias = self.linear.weights(), self.linear.bias
         self.active = self.w != 0
