@@ -38,4 +38,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """``sql`` with the views that it names as common table expressions."""
     used = [f"{name} AS ({text})" for name, text in VIEWS.items() if name in sql]
-    return f"WITH {', '.join(used)} {sql}"
+    return f"WITH {', '.join(used)} {sql}" if used else sql

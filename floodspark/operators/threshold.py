@@ -27,12 +27,12 @@ def otsu(hist: DataFrame, by: list[str]) -> DataFrame:
     whole = Window.partitionBy(*by)
     weighted = F.col("n") * F.col("mean")
     h = hist.withColumns(
-        {"__n": F.sum("n").over(before), "__s": F.sum(weighted).over(before), "__N": F.sum("n").over(whole), "__S": F.sum(weighted).over(whole)}
+        {"__n": F.sum("n").over(before), "__s": F.sum(weighted).over(before), "__all_n": F.sum("n").over(whole), "__all_s": F.sum(weighted).over(whole)}
     )
-    mean = F.col("__S") / F.col("__N")
+    mean = F.col("__all_s") / F.col("__all_n")
     first = F.col("__s") / F.col("__n")
-    second = F.try_divide(F.col("__S") - F.col("__s"), F.col("__N") - F.col("__n"))
-    bss = F.col("__n") * F.pow(first - mean, F.lit(2)) + (F.col("__N") - F.col("__n")) * F.pow(second - mean, F.lit(2))
+    second = F.try_divide(F.col("__all_s") - F.col("__s"), F.col("__all_n") - F.col("__n"))
+    bss = F.col("__n") * F.pow(first - mean, F.lit(2)) + (F.col("__all_n") - F.col("__n")) * F.pow(second - mean, F.lit(2))
     rank = F.struct(F.coalesce(F.round(bss, 6), F.lit(-1.0)).alias("bss"), (-F.col("bucket")).alias("first"))
     return h.groupBy(*by).agg(F.max_by("mean", rank).alias("threshold"))
 
