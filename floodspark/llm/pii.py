@@ -291,11 +291,15 @@ def _listed(spans: str) -> Column:
     )
 
 
+def _of_kind(order: int) -> Column:
+    return F.size(F.filter("__base", lambda s: s["order"] == order)).cast("long")
+
+
 def find_spans(documents: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of each row."""
     select = fit_selector(documents.sparkSession)
     spans = with_spans(documents.select("doc_id", "text"), select)
-    counts = [F.size(F.filter("__base", lambda s, k=k: s["order"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [_of_kind(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return spans.select("doc_id", *counts, F.sha2(_listed("__base"), 256).alias("base_sha256"), _listed("__spans").alias("spans"))
 
 
