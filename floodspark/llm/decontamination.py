@@ -191,6 +191,9 @@ def decontaminate(
     items_per_block: int = 20_000,
 ) -> DataFrame:
     """``documents`` without the rows whose text holds a benchmark item; nothing is shuffled."""
+    # Packed in a struct, columns of any name pass through.
+    row = F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row")
+    packed = documents.select("text", row)
     for indexes in _item_blocks(benchmark, k, hashes, items_per_block):
-        documents = documents.mapInArrow(_cleaner(indexes, containment), documents.schema)
-    return documents
+        packed = packed.mapInArrow(_cleaner(indexes, containment), packed.schema)
+    return packed.select("row.*")
