@@ -87,13 +87,59 @@ def ridge_trend(df: DataFrame, by: list[str], y: str, penalty: float = 0.1) -> D
 def sen_slope(df: DataFrame, by: list[str], y: str) -> DataFrame:
     """(by, time, constant): median of the slopes of all pairs of a pixel's dates, and of the offsets.
 
-    The pairs are those of one pixel's series, which the method is defined on.
+    The pairs are those of one pixel's series, which the method is defined on. They are never written
+    out as rows: a task holds one series and a bounded number of its slopes at a time.
     """
-    own = df.where(F.col(y).isNotNull()).select(*by, F.col("time").alias("t"), F.col(y).alias("v"))
-    other = own.select(*by, F.col("t").alias("t2"), F.col("v").alias("v2"))
-    slopes = own.join(other, by).where("t2 > t").select(*by, ((F.col("v2") - F.col("v")) / (F.col("t2") - F.col("t"))).alias("s"))
-    slope = slopes.groupBy(*by).agg(F.percentile("s", F.lit(0.5)).alias("time"))
-    return own.join(slope, by).groupBy(*by, "time").agg(F.percentile(F.col("v") - F.col("time") * F.col("t"), F.lit(0.5)).alias("constant"))
+    own = df.where(F.col(y).isNotNull() & F.col("time").isNotNull()).select(*by, F.col("time").alias("t"), F.col(y).alias("v"))
+
+    def fit(series):
+        import numpy as np
+
+        t, v = (series[c].to_numpy(float) for c in ("t", "v"))
+        slope = median_slope(t, v)
+        row = series[by].iloc[:0] if slope is None else series[by].iloc[:1]
+        return row.assign(time=slope, constant=None if slope is None else float(np.median(v - slope * t)))
+
+    types = dict(own.dtypes)
+    return own.groupBy(*by).applyInPandas(fit, ", ".join([f"{c} {types[c]}" for c in by] + ["time double", "constant double"]))
+
+
+def median_slope(t, v, held: int = 1 << 20):
+    """Median of ``(v_j - v_i) / (t_j - t_i)`` over all ``t_j > t_i``, or None if there are none.
+
+    At most about ``held`` slopes are kept: each pass narrows the bracket around the middle ones.
+    """
+    import numpy as np
+
+    order = np.argsort(t, kind="stable")
+    t, v = t[order], v[order]
+    rows = max(1, held // (4 * len(t)))
+
+    def slopes():
+        for i in range(0, len(t), rows):
+            dt = t[None, i:] - t[i : i + rows, None]
+            yield ((v[None, i:] - v[i : i + rows, None])[dt > 0]) / dt[dt > 0]
+
+    n = sum(len(s) for s in slopes())
+    if not n:
+        return None
+    low, high, below = -np.inf, np.inf, 0
+    while True:
+        inside = sum(int(((s >= low) & (s <= high)).sum()) for s in slopes())
+        if inside <= held or low == high:
+            break
+        step = -(-inside // held)
+        edges = np.unique(np.concatenate([s[(s >= low) & (s <= high)][::step] for s in slopes()]))
+        edges = np.unique(edges[np.linspace(0, len(edges) - 1, 1024).astype(int)])
+        less = sum(np.bincount(np.searchsorted(edges, s[(s >= low) & (s <= high)], "right"), minlength=len(edges) + 1) for s in slopes())
+        upto = below + np.cumsum(less)
+        first, last = (int(np.searchsorted(upto, k, "right")) for k in ((n - 1) // 2, n // 2))
+        low, high = edges[first - 1] if first else low, edges[last] if last < len(edges) else high
+        below = sum(int((s < low).sum()) for s in slopes())
+    if low == high:
+        return float(low)
+    middle = np.sort(np.concatenate([s[(s >= low) & (s <= high)] for s in slopes()]))
+    return float((middle[(n - 1) // 2 - below] + middle[n // 2 - below]) / 2)
 
 
 def predict_harmonics(df: DataFrame, coefficients: DataFrame, by: list[str], names: list[str]) -> DataFrame:
