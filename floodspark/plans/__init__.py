@@ -1,0 +1,3 @@
+from . import catalogue, fusion_queries
+
+__all__ = ["catalogue", "fusion_queries"]
