@@ -107,39 +107,44 @@ def sen_slope(df: DataFrame, by: list[str], y: str) -> DataFrame:
 def median_slope(t, v, held: int = 1 << 20):
     """Median of ``(v_j - v_i) / (t_j - t_i)`` over all ``t_j > t_i``, or None if there are none.
 
-    At most about ``held`` slopes are kept: each pass narrows the bracket around the middle ones.
+    At most about ``held`` slopes are kept. Each pass takes values between the bounds as edges, and either
+    finds the wanted rank at an edge or goes on strictly between two edges, so ties cannot stall it.
+    Dates and values that are not finite are left out.
     """
     import numpy as np
 
+    finite = np.isfinite(t) & np.isfinite(v)
+    t, v = t[finite], v[finite]
     order = np.argsort(t, kind="stable")
     t, v = t[order], v[order]
-    rows = max(1, held // (4 * len(t)))
+    rows = max(1, held // (4 * max(len(t), 1)))
 
-    def slopes():
+    def slopes(low, high):
         for i in range(0, len(t), rows):
             dt = t[None, i:] - t[i : i + rows, None]
-            yield ((v[None, i:] - v[i : i + rows, None])[dt > 0]) / dt[dt > 0]
-
-    n = sum(len(s) for s in slopes())
-    if not n:
-        return None
-    low, high, below = -np.inf, np.inf, 0
-    while True:
-        inside = sum(int(((s >= low) & (s <= high)).sum()) for s in slopes())
-        if inside <= held or low == high:
-            break
-        step = -(-inside // held)
-        edges = np.unique(np.concatenate([s[(s >= low) & (s <= high)][::step] for s in slopes()]))
-        edges = np.unique(edges[np.linspace(0, len(edges) - 1, 1024).astype(int)])
-        less = sum(np.bincount(np.searchsorted(edges, s[(s >= low) & (s <= high)], "right"), minlength=len(edges) + 1) for s in slopes())
-        upto = below + np.cumsum(less)
-        first, last = (int(np.searchsorted(upto, k, "right")) for k in ((n - 1) // 2, n // 2))
-        low, high = edges[first - 1] if first else low, edges[last] if last < len(edges) else high
-        below = sum(int((s < low).sum()) for s in slopes())
-    if low == high:
-        return float(low)
-    middle = np.sort(np.concatenate([s[(s >= low) & (s <= high)] for s in slopes()]))
-    return float((middle[(n - 1) // 2 - below] + middle[n // 2 - below]) / 2)
+            s = (v[None, i:] - v[i : i + rows, None])[dt > 0] / dt[dt > 0]
+            yield s[(s > low) & (s < high)]
+
+    def ranked(rank):
+        low, high = -np.inf, np.inf
+        while True:
+            inside = sum(len(s) for s in slopes(low, high))
+            if inside <= held:
+                return np.sort(np.concatenate(list(slopes(low, high))))[rank]
+            edges = np.unique(np.concatenate([s[:: -(-inside // held)] for s in slopes(low, high)]))
+            edges = edges[np.unique(np.linspace(0, len(edges) - 1, 1024).astype(int))]
+            upto, below = (
+                np.cumsum(sum(np.bincount(np.searchsorted(edges, s, side), minlength=len(edges) + 1) for s in slopes(low, high)))
+                for side in ("left", "right")
+            )
+            at = int(np.searchsorted(upto, rank, "right"))
+            if at < len(edges) and below[at] <= rank:
+                return edges[at]
+            low, high = edges[at - 1] if at else low, edges[at] if at < len(edges) else high
+            rank -= upto[at - 1] if at else 0
+
+    n = sum(len(s) for s in slopes(-np.inf, np.inf))
+    return float((ranked((n - 1) // 2) + ranked(n // 2)) / 2) if n else None
 
 
 def predict_harmonics(df: DataFrame, coefficients: DataFrame, by: list[str], names: list[str]) -> DataFrame:
