@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .focal import box_stats, neighbours, square
+from .focal import box_stats, neighbours, square, weighted_mean
 
 YX = ["y", "x"]
 
@@ -169,3 +169,74 @@ def latest_before(px: DataFrame, band: str, target: str, months: int = 2) -> Dat
     end = F.lit(target).cast("timestamp_ntz")
     seen = px.where((F.col("ts") < end) & (F.col("ts") >= end - F.expr(f"INTERVAL {months} MONTH")) & F.col(band).isNotNull())
     return seen.groupBy(*YX).agg(F.max_by(band, F.struct("ts", "scene_id")).alias(band))
+
+
+def permanent_yearly(history: DataFrame, before: int, years: int = 5, water_class: int = 3) -> DataFrame:
+    """(y, x, permanent): whether a pixel was of ``water_class`` in one of the latest ``years`` before a year."""
+    latest = history.where(F.col("year") < before).select("year").distinct().orderBy(F.desc("year")).limit(years)
+    seen = history.join(F.broadcast(latest), "year", "left_semi")  # at most ``years`` rows
+    return seen.groupBy(*YX).agg(F.coalesce(F.max((F.col("water_class") == water_class).cast("int")), F.lit(0)).alias("permanent"))
+
+
+def extract_flood_yearly(px: DataFrame, water: str, history: DataFrame, before: int, out: str = "flood") -> DataFrame:
+    """Water that was not permanent in the latest five years before."""
+    return px.join(permanent_yearly(history, before), YX, "left").withColumn(out, discrete_difference(F.col(water), F.col("permanent"))).drop("permanent")
+
+
+def extract_flood_seasonal(px: DataFrame, water: str, recurrence: DataFrame, threshold: float = 75, out: str = "flood") -> DataFrame:
+    """Water that does not recur in the month of observation; ``recurrence`` has (month, y, x, recurrence)."""
+    permanent = recurrence.select("month", *YX, (F.col("recurrence") > threshold).cast("int").alias("__perm"))
+    joined = px.withColumn("month", F.month("ts")).join(permanent, ["month", *YX], "left")
+    return joined.withColumn(out, discrete_difference(F.col(water), F.col("__perm"))).drop("month", "__perm")
+
+
+def fill_depth(px: DataFrame, water: str, dem: DataFrame, steps: int = 10, boundary: str = "mean", smooth: bool = True, out: str = "depth") -> DataFrame:
+    """Depth under a water level that is filled in from the water's edge, one pixel a step.
+
+    The level of an edge pixel (water beside dry or masked pixels) is the mean elevation of the edge and
+    dry pixels around it. Water further than ``steps`` from an edge has no depth. Lineage is cut every few steps.
+    """
+    if boundary not in ("mean", "nearest"):
+        raise ValueError("boundary must be mean or nearest")
+    from .fusion import mean_fill_step, nearest_fill_step
+    from .lineage import cut_lineage
+
+    d = px.join(dem.select(*YX, "elevation"), YX).withColumn("__in", F.coalesce((F.col(water) == 1).cast("int"), F.lit(0)))
+    d = box_stats(d, "__in", 1, "__w_")
+    edge = (F.col("__in") == 1) & (F.col("__w_mean") < 1 - 1e-9)
+    d = d.withColumn("__edge", edge).drop("__w_mean", "__w_var", "__w_count")
+    d = d.withColumn("__ground", F.when((F.col("__in") == 0) | F.col("__edge"), F.col("elevation")))
+    d = box_stats(d, "__ground", 1, "__g_").withColumn("__level", F.when(F.col("__edge"), F.col("__g_mean")))
+    d = d.drop("__g_mean", "__g_var", "__g_count", "__ground", "__edge")
+    step = mean_fill_step if boundary == "mean" else nearest_fill_step
+    for i in range(steps):
+        d = step(d, "__level", "__in", "__level")
+        if i % 4 == 3:
+            d = cut_lineage(d)
+    d = d.withColumn("__d", F.when(F.col("__level").isNotNull(), F.greatest(F.col("__level") - F.col("elevation"), F.lit(0.0))))
+    if smooth:
+        d = box_stats(d, "__d", 1, "__s_").withColumn("__d", F.when(F.col("__in") == 1, F.col("__s_mean"))).drop("__s_mean", "__s_var", "__s_count")
+    return d.withColumn(out, F.col("__d")).drop("__d", "__in", "__level", "elevation")
+
+
+def starfm(coarse: DataFrame, fine: DataFrame, band: str, target: str, r: int = 16, a: float = 0.5, days: int = 5, out: str = "predicted") -> DataFrame:
+    """Fine pixels predicted for the coarse scenes within ``days`` of the target, by weighted fusion.
+
+    The base images are the latest valid values of the two months before the target. Spectral and
+    temporal distances are averaged by nearness; a zero distance in time gives no weight, so NULL.
+    """
+    end = F.lit(target).cast("timestamp_ntz")
+    near = {(dy, dx): 1 + (dy * dy + dx * dx) ** 0.5 / a for dy, dx in square(r)}
+    seen = fine.where((F.col("ts") < end) & (F.col("ts") >= end - F.expr("INTERVAL 2 MONTH")) & F.col(band).isNotNull())
+    base = seen.groupBy(*YX).agg(F.max_by(band, F.struct("ts", "scene_id")).alias("__base"), F.max("ts").alias("__t0"))
+    old = latest_before(coarse, band, target).withColumnRenamed(band, "__old")
+    span = F.expr(f"INTERVAL {days} DAY")
+    d = coarse.where((F.col("ts") >= end - span) & (F.col("ts") < end + span)).select("scene_id", *YX, "ts", band)
+    d = d.join(base, YX).join(old, YX).withColumn("__away", F.abs(F.col(band) - F.col("__old")))
+    d = weighted_mean(d, "__away", "__s", near)
+    since = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("__t0").cast("timestamp"))) / 86_400_000_000.0
+    d = weighted_mean(d.withColumn("__st", F.col("__s") * since), "__st", "__c", near)
+    d = weighted_mean(d.withColumn("__ic", F.try_divide(F.lit(1.0), F.col("__c"))), "__ic", "__icm", near)
+    d = weighted_mean(d.withColumn("__w", F.try_divide(F.col("__ic"), F.col("__icm"))), "__w", "__wm", near)
+    value = F.try_divide(F.col("__base"), F.col("__wm")) + F.col("__s")
+    return d.select("scene_id", *YX, "ts", value.alias(out))

@@ -150,3 +150,58 @@ def open_binary(px: DataFrame, band: str, out: str, r: int = 3) -> DataFrame:
 
 def close_binary(px: DataFrame, band: str, out: str, r: int = 3) -> DataFrame:
     return erode(dilate(px, band, "__d", r), "__d", out, r).drop("__d")
+
+
+#: The halves of a 7 x 7 window by direction: the side that a directional mean is taken over.
+_HALVES = (
+    lambda dy, dx: dy >= 0, lambda dy, dx: dx <= dy, lambda dy, dx: dx <= 0, lambda dy, dx: dx <= -dy,
+    lambda dy, dx: dy <= 0, lambda dy, dx: dx >= dy, lambda dy, dx: dx >= 0, lambda dy, dx: dx >= -dy,
+)
+
+
+def refined_lee(px: DataFrame, band: str, out: str) -> DataFrame:
+    """Directional speckle filter of a band in decibels.
+
+    The strongest of four gradients between the 3 x 3 means around a pixel picks one of eight halves of
+    its 7 x 7 window; the noise is the mean of the five least squared variations. Of equal gradients the
+    first counts; a gradient with a side off the scene does not count, and a pixel without any gradient
+    keeps its value. Half windows of no variance give their mean.
+    """
+    power = px.withColumn("__p", F.pow(F.lit(10.0), F.col(band) / 10))
+    means = box_stats(power, "__p", 1, "__b_")
+    spots = [(dy, dx) for dy in (-2, 0, 2) for dx in (-2, 0, 2)]
+    dy, dx, p = F.col("dy"), F.col("dx"), F.col("__p")
+    ratio = F.try_divide(F.col("__b_var"), F.col("__b_mean") * F.col("__b_mean"))
+    wanted = {}
+    for i, (sy, sx) in enumerate(spots):
+        here = (dy == sy) & (dx == sx)
+        wanted |= {f"__m{i}": F.max(F.when(here, F.col("__b_mean"))), f"__r{i}": F.max(F.when(here, ratio))}
+    for k, half in enumerate(_HALVES):
+        value = F.when(half(dy, dx), p)
+        wanted |= {f"__h{k}": F.avg(value), f"__v{k}": F.var_pop(value)}
+    got = focal(means, ["__p", "__b_mean", "__b_var"], square(3), **wanted)
+    m = [F.col(f"__m{i}") for i in range(9)]
+    across = [(m[1], m[7]), (m[6], m[2]), (m[3], m[5]), (m[0], m[8])]
+    steepest = F.greatest(*[F.abs(a - b) for a, b in across])
+    mean, var = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for k, (a, b) in reversed(list(enumerate(across))):
+        chosen, near = F.abs(a - b) == steepest, a - m[4] > m[4] - b
+        mean = F.when(chosen, F.when(near, F.col(f"__h{k}")).otherwise(F.col(f"__h{k + 4}"))).otherwise(mean)
+        var = F.when(chosen, F.when(near, F.col(f"__v{k}")).otherwise(F.col(f"__v{k + 4}"))).otherwise(var)
+    least = F.slice(F.array_sort(F.array_compact(F.array(*[F.col(f"__r{i}") for i in range(9)]))), 1, 5)
+    noise = F.try_divide(F.aggregate(least, F.lit(0.0), lambda s, v: s + v), F.size(least))
+    got = got.withColumns({"__mean": mean, "__var": var, "__noise": noise})
+    signal = (F.col("__var") - F.col("__mean") * F.col("__mean") * F.col("__noise")) / (F.col("__noise") + 1)
+    share = F.coalesce(F.try_divide(signal, F.col("__var")), F.lit(0.0))
+    value = F.coalesce(F.col("__mean") + share * (p - F.col("__mean")), p)
+    db = F.when(F.col(band).isNotNull(), 10 * F.when(value > 0, F.log10(value)))
+    return got.withColumn(out, db).drop("__p", "__b_mean", "__b_var", "__b_count", "__mean", "__var", "__noise", *wanted)
+
+
+def weighted_mean(px: DataFrame, band: str, out: str, weight: dict[tuple[int, int], float]) -> DataFrame:
+    """Mean of ``band`` over the offsets of ``weight``, by weight; offsets without a value do not count."""
+    w = F.lit(None).cast("double")
+    for (dy, dx), value in weight.items():
+        w = F.when((F.col("dy") == dy) & (F.col("dx") == dx), value).otherwise(w)
+    got = focal(px, [band], list(weight), __sum=F.sum(w * F.col(band)), __of=F.sum(F.when(F.col(band).isNotNull(), w)))
+    return got.withColumn(out, F.try_divide(F.col("__sum"), F.col("__of"))).drop("__sum", "__of")

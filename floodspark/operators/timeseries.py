@@ -189,3 +189,23 @@ def yearly_anomalies(df: DataFrame, by: list[str], bands: list[str]) -> DataFram
     window = Window.partitionBy(*by, F.year("ts"))
     stats = {"mean": F.avg, "stdDev": F.stddev_pop, "p5": lambda b: F.percentile(b, F.lit(0.05)), "p95": lambda b: F.percentile(b, F.lit(0.95))}
     return df.withColumns({f"{b}_{n}": F.col(b) - f(b).over(window) for b in bands for n, f in stats.items()})
+
+
+def robust_trend(df: DataFrame, by: list[str], y: str, rounds: int = 5, reach: float = 2.795) -> DataFrame:
+    """(by, constant, time, n): least squares of ``y`` on ``time``, refitted without outliers each round.
+
+    An outlier's residual is over ``reach`` times the median absolute residual / 0.6745 (Talwar's weights).
+    All rounds are windows over the same keys, so the rows are shuffled once.
+    """
+    own = Window.partitionBy(*by)
+    d = df.where(F.col(y).isNotNull() & F.col("time").isNotNull()).select(*by, "time", F.col(y).alias("__y")).withColumn("__in", F.lit(True))
+    for _ in range(rounds):
+        used = F.when(F.col("__in"), F.col("__y"))
+        d = d.withColumns({"__a": F.regr_intercept(used, "time").over(own), "__b": F.regr_slope(used, "time").over(own)})
+        d = d.withColumn("__r", F.abs(F.col("__y") - F.col("__a") - F.col("__b") * F.col("time")))
+        spread = F.percentile("__r", F.lit(0.5)).over(own) / 0.6745
+        d = d.withColumn("__s", spread).withColumn("__in", F.coalesce(F.col("__r") <= reach * F.col("__s"), F.lit(True)))
+    used = F.when(F.col("__in"), F.col("__y"))
+    return d.groupBy(*by).agg(
+        F.regr_intercept(used, "time").alias("constant"), F.regr_slope(used, "time").alias("time"), F.count(used).alias("n")
+    )

@@ -172,24 +172,65 @@ class Landsat(Dataset):
 class Modis(Dataset):
     #: The bits of state_1km that must be clear.
     STATE_BITS = (10, 2, 12, 13)
+    #: The bit ranges of qc_500m (end exclusive) that must be zero, one for each band used.
+    QUALITY_FIELDS = ((2, 5), (6, 9), (10, 13), (14, 17), (22, 25), (26, 29))
 
     def qa(self, px: DataFrame) -> DataFrame:
+        """Masks by state, zenith and, where the pixels have it, ``qc_500m``."""
         good = F.abs("zenith") < 6000
         for bit in self.STATE_BITS:
             good = good & (extract_bits(F.col("state_1km"), bit) == 0)
+        if "qc_500m" in px.columns:
+            for start, end in self.QUALITY_FIELDS:
+                good = good & (extract_bits(F.col("qc_500m"), start, end) == 0)
         return mask(px, [b for b in OPTICAL_BANDS if b in px.columns], good)
 
 
 class Viirs(Dataset):
+    #: The bits of the quality columns that must be clear.
+    QUALITY_BITS = {"qf3": (1, 3), "qf4": (0, 1, 2, 3)}
+
     def qa(self, px: DataFrame) -> DataFrame:
+        """Masks by cloud, shadow, zenith and, where the pixels have them, ``qf3`` and ``qf4``."""
         good = (F.abs("zenith") < 6000) & (extract_bits(F.col("qf1"), 2) == 0) & (extract_bits(F.col("qf2"), 3) == 0)
+        for column, bits in self.QUALITY_BITS.items():
+            for bit in bits if column in px.columns else ():
+                good = good & (extract_bits(F.col(column), bit) == 0)
         return mask(px, [b for b in OPTICAL_BANDS if b in px.columns], good)
 
 
 class Sentinel2(Dataset):
     def qa(self, px: DataFrame) -> DataFrame:
+        """Masks clouds; with ``scl`` and ``azimuth`` (degrees of the sun) also their shadows, grown by a margin."""
+        if {"scl", "azimuth"} <= set(px.columns):
+            return self.shadow_mask(px)
         return mask(px, [b for b in OPTICAL_BANDS if b in px.columns], F.col("cloud_probability") <= 40)
 
+    @staticmethod
+    def shadow_mask(px: DataFrame, reach: int = 30, shrink: int = 2, grow: int = 10, dark: float = 0.175) -> DataFrame:
+        """Masks clouds and the dark land pixels within ``reach`` of a cloud, away from the sun.
+
+        Each cloud pixel marks the ``reach`` pixels along its scene's direction; the mask then loses
+        patches narrower than ``shrink`` and grows by ``grow`` pixels. A missing probability is no cloud.
+        """
+        from ..operators.focal import box_stats
+
+        keys = ["scene_id", "y", "x"]
+        cloud = F.coalesce((F.col("cloud_probability") > 40).cast("int"), F.lit(0))
+        d = px.withColumn("__cloud", cloud)
+        away = F.radians(F.col("azimuth") + 180)  # clockwise from north; rows grow southwards
+        steps = d.where("__cloud = 1").select("scene_id", "y", "x", away.alias("a"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("i"))
+        shaded = steps.select(
+            "scene_id", (F.col("y") - F.round(F.cos("a") * F.col("i"))).cast("int").alias("y"), (F.col("x") + F.round(F.sin("a") * F.col("i"))).cast("int").alias("x")
+        ).distinct()
+        d = d.join(shaded.withColumn("__shade", F.lit(1)), keys, "left")
+        shadow = (F.col("__shade") == 1) & (F.col("nir") < dark) & (F.col("scl") != 6)
+        d = d.withColumn("__bad", F.when((F.col("__cloud") == 1) | F.coalesce(shadow, F.lit(False)), 1).otherwise(0))
+        d = box_stats(d, "__bad", shrink, "__i_").withColumn("__core", (F.col("__i_mean") > 1 - 1e-9).cast("int"))
+        d = box_stats(d, "__core", grow, "__o_").withColumn("__hit", F.col("__o_mean") * F.col("__o_count") > 0.5)
+        masked = mask(d, [b for b in OPTICAL_BANDS if b in px.columns], ~F.col("__hit"))
+        return masked.select(px.columns)
+
 
 def tile_region(spark, region: tuple[float, float, float, float], grid: float, keep: str | None = None) -> DataFrame:
     """(w, s, e, n) boxes of a grid snapped to multiples of ``grid`` over a region.
