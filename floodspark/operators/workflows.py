@@ -11,6 +11,7 @@ from ..functions import fuzzy
 from ..functions.pixel import INDICES, add_indices
 from .focal import close_binary, gamma_map, open_binary
 from .floods import slope_correction
+from .lineage import cut_lineage
 from .segments import patch_sizes
 from .threshold import histogram, otsu
 from .timeseries import add_harmonics, harmonic_trend, linear_trend, years, yearly_anomalies
@@ -142,7 +143,7 @@ def radar_water(sar: DataFrame, relief: DataFrame, hand: DataFrame, sand: DataFr
     """
     px = slope_correction(sar, ["vv", "vh"], relief)
     for band in ("vv", "vh"):
-        px = gamma_map(px, band, band)
+        px = cut_lineage(gamma_map(px, band, band))
     px = px.select("scene_id", *YX, "vv", "vh").join(hand.select(*YX, "hand"), YX).join(relief.select(*YX, "slope"), YX)
     px = px.join(sand.select(*YX, "sand"), YX, "left").withColumns({"ty": F.floor(F.col("y") / grid), "tx": F.floor(F.col("x") / grid)})
     top = px.groupBy("scene_id").agg(F.percentile("hand", F.lit(0.9)).alias("__p90"))
@@ -155,13 +156,13 @@ def radar_water(sar: DataFrame, relief: DataFrame, hand: DataFrame, sand: DataFr
     above = 2 * ((h - b) / (b - a)) * ((h - b) / (b - a))
     by_hand = F.coalesce(F.when(h < a, 1.0).when(h >= b, 0.0).when(h < mid, below).otherwise(above), F.lit(1.0))
     evidence = [fuzzy.zmf(F.col("slope"), 0.0, 15.0), by_hand, fuzzy.small(F.coalesce("sand", F.lit(0.0)), 37.5, 8)]
-    px = px.withColumn("__land", evidence[0] + evidence[1] + evidence[2]).drop("__lo", "__sd")
+    px = cut_lineage(px.withColumn("__land", evidence[0] + evidence[1] + evidence[2]).drop("__lo", "__sd"))
     for band in ("vv", "vh"):
         chosen = px.where(F.col(band) < 0).join(best_tiles(px, band, grid), ["scene_id", "ty", "tx"], "left_semi")
         by = ["scene_id", "ty", "tx"]
         cut = otsu(histogram(chosen, band, width, by), by).groupBy("scene_id").agg(F.avg("threshold").alias("__t"))
         px = px.join(cut, "scene_id", "left").withColumn("__w", (F.col(band) < F.col("__t")).cast("int"))
-        px = patch_sizes(px, "__w", "__n")
+        px = patch_sizes(cut_lineage(px), "__w", "__n")
         patch = fuzzy.zmf(F.coalesce("__n", F.lit(0)).cast("double"), 10.0, 3.0)
         strength = F.try_divide(F.lit(1.0), 1 + F.pow(F.col(band) / F.col("__t"), F.lit(-5.0)))
         wet = (F.col("__w") == 1) & ((F.col("__land") + patch + strength) / 5 > 0.6)
