@@ -5,7 +5,9 @@ partition the documents are cut into windows of ``2 s`` shingles at every ``s``-
 lies whole in some window however long the document is, and the Jaccard similarity of an item
 that is contained to 0.8 with its window is 0.19 at least. A window and an item agree on one of ``hashes``
 MinHash values with a probability of more than 0.9999 then. Minima of larger windows are minima of
-smaller ones, so all partitions together cost little more than the smallest.
+smaller ones, so all partitions together cost little more than the smallest. Items of fewer than
+nine shingles, for which those bounds do not hold, are looked up exactly: every document that holds
+one of their shingles is a candidate.
 
 Agreeing items are verified exactly: the share of the item's distinct shingles that the whole
 document holds must be ``containment`` or more.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .textblocks import U64, blocks, shingles, tokens
 
-K, HASHES, CONTAINMENT, SMALLEST = 5, 48, 0.8, 16
+K, HASHES, CONTAINMENT, SMALLEST, EXACT_BELOW = 5, 48, 0.8, 16, 9
 _SEEDS = np.random.default_rng(23).integers(1, 1 << 63, (256, 2)).astype(U64) | U64(1)
 
 
@@ -54,8 +56,12 @@ class ItemIndex:
     def __init__(self, k: int, ids: list, sets: list[np.ndarray], hashes: int) -> None:
         self.k, self.ids, self.sets, self.hashes = k, ids, sets, hashes
         self.partitions: dict[int, list] = {}
-        sizes = np.array([max(SMALLEST, 1 << int(len(s) - 1).bit_length()) for s in sets])
-        for size in sorted(set(sizes.tolist())):
+        sizes = np.array([0 if len(s) < EXACT_BELOW else max(SMALLEST, 1 << int(len(s) - 1).bit_length()) for s in sets])
+        few = np.flatnonzero(sizes == 0)
+        values = np.concatenate([sets[i] for i in few]) if len(few) else np.zeros(0, U64)
+        order = np.argsort(values, kind="stable")
+        self.exact = values[order], np.repeat(few, [len(sets[i]) for i in few])[order]
+        for size in sorted(set(sizes[sizes > 0].tolist())):
             members = np.flatnonzero(sizes == size)
             tables = []
             for j in range(hashes):
@@ -70,10 +76,17 @@ class ItemIndex:
     def search(self, keys: np.ndarray, bounds: np.ndarray, containment: float) -> list[tuple[int, int, int]]:
         """(document, item, shared shingles) of the verified pairs."""
         found: set[tuple[int, int]] = set()
+        values, members = self.exact
+        if len(values):
+            at = np.flatnonzero(np.isin(keys, values))
+            docs = np.searchsorted(bounds, at, "right") - 1
+            low, high = (np.searchsorted(values, keys[at], side) for side in ("left", "right"))
+            for d, lo, hi in zip(docs.tolist(), low.tolist(), high.tolist()):
+                found.update((d, int(i)) for i in members[lo:hi])
         base, base_bounds = _cuts(bounds, SMALLEST)
         if not len(base):
             return []
-        for j in range(self.hashes):
+        for j in range(self.hashes if self.partitions else 0):
             minima, level = np.minimum.reduceat(_minhash(keys, j), base), base_bounds
             size = SMALLEST
             for wanted in self.partitions:
