@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     decontamination,
@@ -28,6 +29,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 SQL can express: host, path and rule, and the verdict where a rule fits."""
+    judged = url_filter.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality_classifier.score(documents, quality_classifier.fit(documents, table(spark, sf_dir, "labels")))
@@ -69,6 +76,7 @@ QUERIES = {
     for f in (
         op1_toxicity,
         op2_url_filter,
+        url_rules,
         op3_quality_classifier,
         op4_quality_rules,
         op5_pii,
@@ -163,4 +171,22 @@ FROM doc_shingles JOIN item_shingles USING (k, s) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles - 1e-9
 """
 
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}
+_RULES = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in url_filter.RULES)
+
+URL_RULES_SQL = rf"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, regexp_extract(rest, '(?s)^([^/?#]*)([^?#]*)', 1) AS h,
+         regexp_extract(rest, '(?s)^([^/?#]*)([^?#]*)', 2) AS path FROM cut),
+hosts AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM parts),
+rules(name, start, said) AS (VALUES {_RULES})
+SELECT page_id, host, path,
+       (SELECT max_by(name || start, length(name || start)) FROM rules
+        WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)) AS rule,
+       (SELECT max_by(said, length(name || start)) FROM rules
+        WHERE (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)) AS verdict
+FROM hosts
+"""
+
+ORACLE_SQL = {"url_rules": URL_RULES_SQL, "op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}

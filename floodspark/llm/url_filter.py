@@ -1,8 +1,8 @@
 """URL filter: rules first, then logistic regression on hashed character n-grams of host and path.
 
 Hosts, paths and rules are projections of built-in functions. Urls that no rule fits are judged by a
-logistic regression over character n-grams (3 to 5) of host and path, trained on the small labelled
-table below; scoring needs no shuffle.
+logistic regression over character n-grams (3 to 5) of host and path, trained on a small labelled
+table that is made from plain words of both kinds, not from any crawl; scoring needs no shuffle.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is allowed unless the
 model blocks an empty url; an empty path fits no rule, as rules' paths start with ``/``; of two rules of
@@ -32,42 +32,60 @@ RULES = (
     ("com", "/de/", "block"),
 )
 
-# The labelled table: names of sites by label, combined with the address forms that the web uses.
-BLOCKED_SITES = (
-    "casino-win casino-royal free-casino win-casino online-casino free-bets best-bets bets-now sports-bets "
-    "cheap-pills pills-now buy-pills cheap-meds adult-x adult-cams x-adult xxx-adult ads-track ad-track "
-    "track-ads click-ads spam-farm link-farm spam-links farm-spam free-win poker-win slots-win"
+# Words of sites by label, for the labelled table, and words and address forms that both labels share.
+BLOCKED_WORDS = (
+    "casino poker roulette blackjack jackpot betting bookmaker slots lottery viagra cialis steroids painkillers "
+    "xanax weightloss porn xxx adult escort nude webcam hentai warez crack keygen nulled torrent malware phishing "
+    "clickbait popunder adserver adclick backlinks payday loanshark replica counterfeit hookup fetish"
 ).split()
-ALLOWED_SITES = (
-    "library museum weather garden recipes history science school news travel music football theatre "
-    "thering therst tionsh ththha tiontion therhe ththan thering therwh ththes thernd therre cooking "
-    "register market tracker harvest transport advice address adventure exchange parks winter village"
+ALLOWED_WORDS = (
+    "library museum weather garden recipes history science school travel music football theatre cooking harvest "
+    "transport village bakery bicycle chess physics river mountain poetry gallery hospital council railway archive "
+    "journal forest astronomy biology grammar novels painting sailing hiking knitting pottery cinema opera parish"
 ).split()
+SHARED_WORDS = "online best free city my daily club world store guide top the".split()
+PREFIXES, SUFFIXES = ("", "www.", "m.", "blog."), (".com", ".net", ".org", ".info", ".co")
+PATHS = ("/", "", "/index.html", "/page/12", "/en/", "/2021/05/story.html", "/view/88", "/about", "/de/7731", "/fr/item")
+#: Names without meaning, made of syllables: what tells nothing is to be allowed.
+PLAIN_NAMES = 160
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, label): 1 is to be blocked. Made by rule from the two lists of sites."""
-    prefixes, suffixes = ("", "www.", "m.", "blog."), ("example.com", "example.net", "example.org", "test.net")
-    paths = ("/en/120.html", "/fr/7731", "/de/42/", "/es/9008", "/", "", "/page/about")
+    """(host, path, label): 1 is to be blocked. A small table, made by rule from the words above alone."""
     out = []
-    for label, sites in ((1, BLOCKED_SITES), (0, ALLOWED_SITES)):
-        for i, site in enumerate(sites):
-            for k in range(4):
-                out.append((f"{prefixes[(i + k) % 4]}{site}.{suffixes[(i // 2 + k) % 4]}", paths[(i + 2 * k) % 7], label))
+
+    def add(i: int, site: str, label: int) -> None:
+        host = PREFIXES[i % 4] + site + SUFFIXES[i // 4 % 5]
+        out.append((host, PATHS[i * 7 % 10], label))
+
+    for label, words in ((1, BLOCKED_WORDS), (0, ALLOWED_WORDS)):
+        for i, word in enumerate(words):
+            shared, other = SHARED_WORDS[i % 12], words[(i * 5 + 3) % len(words)]
+            sites = (word, f"{shared}{word}", f"{word}-{shared}", f"{word}{other}", f"{other}-{word}")
+            for k, site in enumerate(sites):
+                add(5 * i + k, site, label)
+            out.append((f"{shared}{i}{SUFFIXES[i % 5]}", f"/{word}/{shared}", label))
+    rng = np.random.default_rng(41)
+    for i in range(PLAIN_NAMES):
+        letters = [("bcdfghjklmnprstvwz"[c], "aeiou"[v]) for c, v in zip(rng.integers(18, size=4), rng.integers(5, size=4))]
+        name = "".join(c + v for c, v in letters[: 2 + i % 3])
+        add(i, f"{name}{SHARED_WORDS[i % 12]}" if i % 4 == 0 else name, 0)
     return out
 
 
 def url_terms(host: str, path: str) -> np.ndarray:
-    """Distinct hashed n-grams; digits are one class, so that page numbers carry no weight."""
+    """Distinct hashed n-grams, each of its part and of either; digits are one class, so that page numbers carry no weight."""
     out = set()
     for kind, text in (("h", host), ("p", path)):
         text = "^" + "".join("0" if c.isdigit() else c for c in text) + "$"
-        out.update(crc32(f"{kind}{text[i:i + n]}".encode()) & (1 << BITS) - 1 for n in (3, 4, 5) for i in range(len(text) - n + 1))
+        for gram in (text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)):
+            out.update(crc32(f"{k}{gram}".encode()) & (1 << BITS) - 1 for k in (kind, "a"))
     return np.fromiter(sorted(out), np.int64, len(out))
 
 
-def fit() -> tuple[float, np.ndarray]:
-    table = labelled_urls()
+def fit(table: list[tuple[str, str, int]] | None = None) -> tuple[float, np.ndarray]:
+    """(bias, weights) learnt from ``table``, by default ``labelled_urls()``."""
+    table = labelled_urls() if table is None else table
     model = Ftrl(bits=BITS, alpha=0.3, l1=0.1).fit(
         [url_terms(h, p) for h, p, _ in table], np.array([y for _, _, y in table], float), epochs=12
     )
@@ -86,21 +104,26 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, else nulls."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, start, said in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    # Later cases win: the longest comes last, and of one length the first of the table.
+    for name, start, said in sorted(reversed(rules), key=lambda r: len(r[0] + r[1])):
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(start)
         rule, verdict = F.when(fits, name + start).otherwise(rule), F.when(fits, said).otherwise(verdict)
     return rule, verdict
 
 
+def block_scores(model: tuple[float, np.ndarray], urls: list[tuple[str, str]]) -> list[float]:
+    """The model's probability of a block of each (host, path)."""
+    bias, weights = model
+    return [float(sigmoid(bias + weights[url_terms(host, path)].sum())) for host, path in urls]
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score); score is the model's probability of a block."""
     shared = pages.sparkSession.sparkContext.broadcast(fit())
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, weights = shared.value
         for batch in batches:
-            pairs = zip(batch.column("host").to_pylist(), batch.column("path").to_pylist())
-            scores = [float(sigmoid(bias + weights[url_terms(h, p)].sum())) for h, p in pairs]
+            scores = block_scores(shared.value, zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
 
     host, path = host_and_path(F.col("url"))
