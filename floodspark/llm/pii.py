@@ -50,7 +50,6 @@ CONTEXT = {
 }
 OTHER_CONTEXT = "version|release|order|invoice|isbn|serial|ref|section|chapter|total|sum|part|model"
 FEATURES = ("kind", "n_digits", "n_chars", "n_gaps", "checked", "cue", "other", "touches")
-MAX_CARD_TEXT = 40
 
 
 def _digits(match: Column) -> Column:
@@ -80,6 +79,26 @@ def _passes(kind: str, match: Column) -> Column:
     return F.length(_digits(match)).between(9, 15)
 
 
+def _runs(array: Column) -> Column:
+    """``array`` cut into runs of about the square root of its size.
+
+    Spark copies an array for each element appended to it. Within runs, and over runs, few elements
+    are copied, so that time grows with the power 1.5 of the size instead of the square.
+    """
+    n = F.size(array)
+    run = F.ceil(F.sqrt(n)).cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), n - 1, F.greatest(run, F.lit(1))), lambda at: F.slice(array, at + 1, run))
+    return F.when(n > 0, cuts).otherwise(F.slice(F.array(array), 2, 1))
+
+
+def _starts(lengths: Column) -> Column:
+    """The sum of all lengths before each."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    return F.aggregate(lengths, start, step, lambda s: s["out"])
+
+
 def _found(pieces: str, matches: str, kind: str, base: bool) -> Column:
     """Array of candidates, with positions and features, from a text split at its matches."""
     n = F.size(matches)
@@ -102,8 +121,15 @@ def _found(pieces: str, matches: str, kind: str, base: bool) -> Column:
         )
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{candidate}>").alias("out"))
-    placed = F.aggregate(zipped, start, step, lambda s: s["out"])
+    def placed_run(run: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(f"array<{candidate}>").alias("out"))
+        return F.aggregate(run, start, step, lambda s: s["out"])
+
+    runs = _runs(zipped)
+    lengths = F.transform(
+        runs, lambda r: F.aggregate(r, F.lit(0), lambda t, z: t + F.length(z["before"]) + F.length(z["match"]))
+    )
+    placed = F.flatten(F.zip_with(runs, _starts(lengths), placed_run))
 
     def featured(c: Column) -> Column:
         match = c["match"]
@@ -156,8 +182,8 @@ def _card(seed: int, valid: bool) -> str:
     return "".join(map(str, body)) + str((-total + (0 if valid else 3)) % 10)
 
 
-def labelled_examples(n: int = 12) -> list[tuple[str, str | None, str | None]]:
-    """(text, kind, personal span or None), made from templates by a rule."""
+def labelled_examples(n: int = 24) -> list[tuple[int, str, str | None, str | None]]:
+    """(number, text, kind, personal span or None): ``n`` of each template, made by a rule."""
     cues = cycle(("call", "phone", "tel", "mobile", "fax"))
     out: list[tuple[str, str | None, str | None]] = []
     for i in range(n):
@@ -178,7 +204,7 @@ def labelled_examples(n: int = 12) -> list[tuple[str, str | None, str | None]]:
         phone = f"+{1 + i % 9} {a} {b} {c}"
         out += [(f"tel {phone} or", "phone", phone), (f"a sum of +{i} 3 {i} 2 is", None, None)]
         out += [(f"mail me at user{i}@example.org soon", "email", f"user{i}@example.org")]
-    return out
+    return [(k * n // len(out), *row) for k, row in enumerate(out)]
 
 
 def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 30, rate: float = 0.3) -> tuple[float, list[tuple]]:
@@ -235,24 +261,25 @@ def compile_trees(start: float, trees: list, x: Column) -> Column:
 
 
 def calibrate(margins: np.ndarray, y: np.ndarray, kinds: np.ndarray, precision: float = 0.98) -> dict[int, float]:
-    """For each kind the least margin at and above which the examples reach ``precision``."""
+    """For each kind the least margin from which on the examples reach ``precision``, half way to the next below."""
     out = {}
     for kind in range(len(KINDS)):
         own = kinds == kind
         out[kind] = float("inf")
-        for cut in sorted(set(margins[own].tolist()), reverse=True):
+        falling = sorted(set(margins[own].tolist()), reverse=True)
+        for cut, below in zip(falling, [*falling[1:], None]):
             chosen = own & (margins >= cut)
             if y[chosen].mean() >= precision:
-                out[kind] = cut - 1e-9
+                out[kind] = cut - 1.0 if below is None else (cut + below) / 2
     return out
 
 
 def fit_selector(spark: SparkSession) -> Callable[[Column], Column]:
     """A function from a candidate to whether it is selected, fitted to the labelled examples."""
-    rows = [(i, t, k, s) for i, (t, k, s) in enumerate(labelled_examples())]
-    texts = spark.createDataFrame(rows, "doc_id long, text string, truth string, span string")
-    flat = candidates(texts).select("text", "truth", "span", F.explode("__found").alias("c"))
+    texts = spark.createDataFrame(labelled_examples(), "number int, text string, truth string, span string")
+    flat = with_candidates(texts).select("number", "text", "truth", "span", F.explode("__more").alias("c"))
     got = flat.select(
+        "number",
         (
             (F.col("span") == F.substr("text", F.col("c.start") + 1, F.col("c.end") - F.col("c.start")))
             & (F.col("truth") == F.element_at(F.array(*map(F.lit, KINDS)), F.col("c.order") + 1))
@@ -261,27 +288,40 @@ def fit_selector(spark: SparkSession) -> Callable[[Column], Column]:
     ).collect()
     x = np.array([[r[f] for f in FEATURES] for r in got])
     y = np.array([float(bool(r["label"])) for r in got])
-    start, trees = fit_trees(x, y)
-    margins = start + np.array([sum(tree_value(t, row) for t in trees) for row in x])
-    cuts = calibrate(margins, y, x[:, 0].astype(int))
+    # Trees and thresholds come from different examples, those of even and of odd number.
+    fitted = np.array([r["number"] % 2 == 0 for r in got])
+    start, trees = fit_trees(x[fitted], y[fitted])
+    margins = start + np.array([sum(tree_value(t, row) for t in trees) for row in x[~fitted]])
+    cuts = calibrate(margins, y[~fitted], x[~fitted, 0].astype(int))
     # A cut above every margin stands for a kind that nothing can be added to.
     limits = F.array(*[F.lit(min(cuts[k], 1e9)) for k in range(len(KINDS))])
     return lambda c: compile_trees(start, trees, c["x"]) >= F.get(limits, c["order"])
 
 
+def with_candidates(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``__base``, the sorted base spans, and ``__more``, candidates that overlap none of them.
+
+    Base spans are looked through by runs: only those of the few runs that reach over a candidate.
+    """
+    overlaps = lambda b, c: (b["start"] < c["end"]) & (c["start"] < b["end"])
+    based = candidates(documents).withColumn("__base", F.sort_array(F.filter("__found", lambda c: c["base"])))
+    based = based.withColumn(
+        "__runs",
+        F.transform(
+            _runs(F.col("__base")),
+            lambda r: F.struct(F.array_min(r["start"]).alias("start"), F.array_max(r["end"]).alias("end"), r.alias("spans")),
+        ),
+    )
+    free = lambda c: ~F.exists("__runs", lambda r: overlaps(r, c) & F.exists(r["spans"], lambda b: overlaps(b, c)))
+    more = F.when(F.size("__found") > F.size("__base"), F.filter("__found", lambda c: ~c["base"] & free(c)))
+    return based.withColumn("__more", more).drop("__found", "__runs")
+
+
 def with_spans(documents: DataFrame, select: Callable[[Column], Column]) -> DataFrame:
     """``documents`` with ``__base`` and ``__spans``, sorted arrays of (start, order, end, base, x)."""
-    found = candidates(documents)
-    based = found.withColumn("__base", F.sort_array(F.filter("__found", lambda c: c["base"])))
-    more = F.filter(
-        "__found",
-        lambda c: ~c["base"]
-        & ~F.exists("__base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        & select(c),
-    )
-    return based.withColumn(
-        "__spans", F.when(F.size("__found") == F.size("__base"), F.col("__base")).otherwise(F.sort_array(F.concat("__base", more)))
-    ).drop("__found")
+    found = with_candidates(documents)
+    spans = F.sort_array(F.concat("__base", F.filter("__more", select)))
+    return found.withColumn("__spans", F.coalesce(spans, F.col("__base"))).drop("__more")
 
 
 def _listed(spans: str) -> Column:
@@ -311,17 +351,28 @@ def redact(documents: DataFrame, mask: str = "[redacted]") -> DataFrame:
 
     def step(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
-        gap = F.substr("text", state["at"] + 1, s["start"] - state["at"])
+        gap = F.substr(state["part"], state["at"] - state["base"] + 1, s["start"] - state["at"])
         return F.struct(
+            state["base"].alias("base"),
+            state["part"].alias("part"),
             F.greatest(state["at"], s["end"]).alias("at"),
             F.when(fresh, F.concat(state["out"], gap, F.lit(mask))).otherwise(state["out"]).alias("out"),
         )
 
-    clean = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda s: F.concat(s["out"], F.substr("text", s["at"] + 1, F.length("text"))),
+    def masked(run: Column, at: Column) -> Column:
+        part = F.substr("text", at + 1, F.greatest(at, F.array_max(run["end"])) - at)
+        start = F.struct(at.alias("base"), part.alias("part"), at.alias("at"), F.lit("").alias("out"))
+        return F.aggregate(run, start, step, lambda s: s["out"])
+
+    runs = _runs(F.col("__spans"))
+    # What a run ends before is the furthest end of all runs up to it.
+    ends = F.transform(runs, lambda r: F.array_max(r["end"]))
+    furthest = F.aggregate(
+        ends, F.array(F.lit(0)), lambda out, end: F.concat(out, F.array(F.greatest(end, F.element_at(out, -1))))
+    )
+    clean = F.concat(
+        F.array_join(F.zip_with(runs, F.slice(furthest, F.lit(1), F.size(runs)), masked), ""),
+        F.substr("text", F.element_at(furthest, -1) + 1, F.length("text")),
     )
     text = F.when(F.size("__spans") > 0, clean).otherwise(F.col("text"))
     return spans.withColumn("__clean", text).select(
