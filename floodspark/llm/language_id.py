@@ -17,6 +17,7 @@ A null doc_id stays null and counts as held out; repeated rows repeat the result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,14 @@ from .common import bounded_sample, fold
 
 FOLDS, HELD_OUT, TRAIN_ROWS = 5, 0, 8_000
 DIMENSIONS, CODES = 1024, 64
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS, BLOCK_TEXTS, GRAMS_AT_ONCE = 1 << 19, 512, 8_192
 
 
+@cache
 def _letter_codes() -> np.ndarray:
-    out = np.zeros(0x10000, np.uint8)
-    for point in range(0x10000):
+    """The code of each code point, 0 where it is no letter."""
+    out = np.zeros(0x110000, np.uint8)
+    for point in range(0x110000):
         letter = chr(point)
         if letter.isalpha():
             low = ord(letter.lower()[0])
@@ -40,7 +43,6 @@ def _letter_codes() -> np.ndarray:
     return out
 
 
-_CODES = _letter_codes()
 _LETTERS = (np.random.default_rng(29).integers(0, 2, (CODES, DIMENSIONS)) * 2 - 1).astype(np.float32)
 
 
@@ -50,29 +52,32 @@ def trigram_vectors(trigrams: np.ndarray) -> np.ndarray:
 
 
 def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(profile, has a letter) of each text."""
+    """(profile, has a letter) of each text; ``GRAMS_AT_ONCE`` trigrams are bundled at a time."""
     joined = " ".join(f" {t} " if t else " " for t in texts) + "  "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(points < 0x10000, _CODES[np.minimum(points, 0xFFFF)], 0).astype(np.int32)
+    codes = _letter_codes()[points].astype(np.int32)
     sizes = np.array([len(t) + 2 if t else 1 for t in texts]) + 1
     ends = np.cumsum(sizes)
     grams = codes[:-2] << 12 | codes[1:-1] << 6 | codes[2:]
     at = np.flatnonzero(codes[1:-1])
     doc = np.searchsorted(ends, at, "right")
     seen, place = np.unique(grams[at], return_inverse=True)
-    counts = np.bincount(doc * max(len(seen), 1) + place, minlength=len(texts) * max(len(seen), 1))
-    counts = counts.reshape(len(texts), -1).astype(np.float32)
-    out = counts @ trigram_vectors(seen) if len(seen) else np.zeros((len(texts), DIMENSIONS), np.float32)
-    return out, counts.any(axis=1)
+    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    for first in range(0, len(seen), GRAMS_AT_ONCE):
+        some = seen[first : first + GRAMS_AT_ONCE]
+        inside = (place >= first) & (place < first + len(some)) if len(seen) > GRAMS_AT_ONCE else slice(None)
+        counts = np.bincount(doc[inside] * len(some) + place[inside] - first, minlength=len(texts) * len(some))
+        out += counts.reshape(len(texts), -1).astype(np.float32) @ trigram_vectors(some)
+    return out, np.bincount(doc, minlength=len(texts)) > 0
 
 
 def _parts(texts: pa.Array) -> Iterator[tuple[int, list]]:
-    """Blocks of whole texts of about BLOCK_CHARS characters, and where they start."""
+    """Blocks of whole texts, of about BLOCK_CHARS characters and BLOCK_TEXTS texts, and where they start."""
     first, size, part = 0, 0, []
     for i, text in enumerate(texts.to_pylist()):
         part.append(text)
         size += len(text or "")
-        if size >= BLOCK_CHARS:
+        if size >= BLOCK_CHARS or len(part) >= BLOCK_TEXTS:
             yield first, part
             first, size, part = i + 1, 0, []
     if part:
