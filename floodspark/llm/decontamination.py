@@ -12,12 +12,13 @@ one of their shingles is a candidate.
 Agreeing items are verified exactly: the share of the item's distinct shingles that the whole
 document holds must be ``containment`` or more.
 
-The benchmark is the stated query set: it is handled in blocks of ``items_per_block`` items, each
-broadcast on its own; documents are read once for each block and never shuffled.
+The benchmark is the stated query set: it is handled in blocks of about ``items_per_block`` items and
+``bytes_per_block`` bytes, each broadcast on its own; documents are read once for each block and never
+shuffled.
 
 Defined cases: null and empty texts contain nothing, and items without a word are found nowhere;
 an item of fewer than five words is one shingle of all its words, compared with as many consecutive
-words of the documents; repeated rows give repeated results; a null doc_id or item_id stays null in
+words of the documents; repeated documents give repeated results, repeated items count once; a null doc_id or item_id stays null in
 the result; extra columns are ignored.
 """
 
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from .textblocks import U64, blocks, shingles, tokens
 
 K, HASHES, CONTAINMENT, SMALLEST, EXACT_BELOW = 5, 48, 0.8, 16, 9
+#: The driver builds an index of about so many items and bytes of text at once (at most twice as many, or one item).
+ITEMS_PER_BLOCK, BYTES_PER_BLOCK = 20_000, 32 << 20
 _SEEDS = np.random.default_rng(23).integers(1, 1 << 63, (256, 2)).astype(U64) | U64(1)
 
 
@@ -166,13 +169,24 @@ def _cleaner(indexes, containment: float):
     return clean
 
 
-def _item_blocks(benchmark: DataFrame, k: int, hashes: int, items_per_block: int):
-    """Broadcast indexes of the blocks of the benchmark, one after the other."""
-    items = benchmark.select("item_id", "text").where("text is not null")
-    n_blocks = max(1, -(-items.count() // items_per_block))
-    for number in range(n_blocks):
-        block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == number)
-        rows = [(r[0], r[1]) for r in block.collect()]
+def _item_blocks(benchmark: DataFrame, k: int, hashes: int, items_per_block: int, bytes_per_block: int):
+    """Broadcast indexes of the blocks of the benchmark, one after the other.
+
+    Items are dealt by a hash into twice as many blocks until each block keeps both bounds, or is one
+    item: that one is larger than the bound by itself.
+    """
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
+    total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    n_blocks = max(1, -(-total["n"] // items_per_block), -(-total["size"] // bytes_per_block))
+    while True:
+        number = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
+        sizes = items.groupBy(number.alias("block")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size"))
+        over = sizes.where((F.col("n") > 1) & ((F.col("n") > 2 * items_per_block) | (F.col("size") > 2 * bytes_per_block)))
+        if n_blocks == 1 or over.isEmpty():
+            break
+        n_blocks *= 2
+    for row in sizes.select("block").orderBy("block").toLocalIterator():
+        rows = [(r[0], r[1]) for r in items.where(number == row["block"]).collect()]
         yield benchmark.sparkSession.sparkContext.broadcast(build_indexes(rows, k, hashes))
 
 
@@ -182,15 +196,19 @@ def contaminated(
     containment: float = CONTAINMENT,
     k: int = K,
     hashes: int = HASHES,
-    items_per_block: int = 20_000,
+    items_per_block: int = ITEMS_PER_BLOCK,
+    bytes_per_block: int = BYTES_PER_BLOCK,
 ) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of items found in documents."""
     parts = [
         documents.select("doc_id", "text").mapInArrow(
             _searcher(indexes, containment), "doc_id long, item_id long, n_shingles long, n_shared long"
         )
-        for indexes in _item_blocks(benchmark, k, hashes, items_per_block)
+        for indexes in _item_blocks(benchmark, k, hashes, items_per_block, bytes_per_block)
     ]
+    if not parts:
+        empty = documents.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_shared long")
+        parts = [empty]
     found = reduce(DataFrame.unionAll, parts)
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
@@ -201,12 +219,13 @@ def decontaminate(
     containment: float = CONTAINMENT,
     k: int = K,
     hashes: int = HASHES,
-    items_per_block: int = 20_000,
+    items_per_block: int = ITEMS_PER_BLOCK,
+    bytes_per_block: int = BYTES_PER_BLOCK,
 ) -> DataFrame:
     """``documents`` without the rows whose text holds a benchmark item; nothing is shuffled."""
     # Packed in a struct, columns of any name pass through.
     row = F.struct(*[documents[f"`{c}`"] for c in documents.columns]).alias("row")
     packed = documents.select("text", row)
-    for indexes in _item_blocks(benchmark, k, hashes, items_per_block):
+    for indexes in _item_blocks(benchmark, k, hashes, items_per_block, bytes_per_block):
         packed = packed.mapInArrow(_cleaner(indexes, containment), packed.schema)
     return packed.select("row.*")
