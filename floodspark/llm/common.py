@@ -65,7 +65,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
     """(doc_id, text, label) of at most ``bound`` labelled documents outside the held-out fold.
 
     Null labels and null ids are left out; of repeated label rows of one document the largest
-    label counts. The chosen labels are bounded by ``bound`` and therefore safe to broadcast.
+    label counts, and of repeated rows of one doc_id the text that sorts first. The chosen labels are
+    bounded by ``bound`` and therefore safe to broadcast.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -74,4 +75,5 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, folds:
         .agg(F.max(label).cast("int").alias("label"))
     )
     chosen = bounded_sample(known, "doc_id", bound)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))

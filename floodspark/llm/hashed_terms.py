@@ -1,8 +1,8 @@
 """Hashed sparse features of texts, and follow-the-regularised-leader training on a bounded sample.
 
 Features are computed in Arrow batches by the executors, both for training and for scoring. Only the
-features of the bounded, documented sample of labelled documents come to the driver; the fitted
-weights have a fixed size (2 ** BITS) and are broadcast.
+features of the bounded, documented sample of labelled documents come to the driver, bounded in their
+number too; the fitted weights have a fixed size (2 ** BITS) and are broadcast.
 """
 
 from __future__ import annotations
@@ -12,10 +12,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from .common import cut_lineage
 from .textblocks import U64, Block
 
 BITS = 18
+#: At most so many terms of the sample (4 bytes each) come to the driver.
+TRAIN_TERMS = 16_000_000
 #: (block) -> (term of each feature, document bounds); terms may repeat within a document.
 Featurizer = Callable[[Block], tuple[np.ndarray, np.ndarray]]
 
@@ -31,8 +35,14 @@ def distinct_terms(terms: np.ndarray, bounds: np.ndarray, bits: int = BITS) -> t
     return (keys & ((1 << bits) - 1)).astype(np.int32), np.searchsorted(keys, np.arange(len(bounds), dtype=np.int64) << bits)
 
 
-def sample_features(sample: DataFrame, featurizer: Featurizer, blocks_of) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct terms and label of each row of a bounded (doc_id, text, label), ordered by doc_id."""
+def sample_features(
+    sample: DataFrame, featurizer: Featurizer, blocks_of, train_terms: int = TRAIN_TERMS
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct terms and label of each row of a bounded (doc_id, text, label), ordered by doc_id.
+
+    The driver gets at most ``train_terms`` terms: where the sample has more, documents are taken in
+    the order of a hash of their ids up to that bound.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,8 +55,17 @@ def sample_features(sample: DataFrame, featurizer: Featurizer, blocks_of) -> tup
                     names=["doc_id", "label", "terms"],
                 )
 
-    got = sample.mapInArrow(features, "doc_id long, label int, terms array<int>").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    found = cut_lineage(sample.mapInArrow(features, "doc_id long, label int, terms array<int>"))
+    sizes = found.select("doc_id", F.size("terms").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    chosen, room = [], train_terms
+    for row in sizes:
+        room -= row["n"]
+        if room < 0:
+            break
+        chosen.append((row["doc_id"],))
+    if len(chosen) < len(sizes):
+        found = found.join(F.broadcast(found.sparkSession.createDataFrame(chosen, "doc_id long")), "doc_id")
+    got = found.toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
     terms = got.column("terms").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
     if isinstance(terms, pa.ChunkedArray):
         terms = terms.chunk(0)
@@ -95,10 +114,12 @@ class Ftrl:
 
 
 def sum_by_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of rows of ``values`` between the bounds; zero for empty documents."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    """Sums of rows of ``values`` between the bounds, each by itself; zero for empty documents."""
+    total = np.zeros((len(bounds) - 1, *values.shape[1:]))
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        total[some] = np.add.reduceat(values.astype(float), bounds[some], axis=0)
+    return total
 
 
 def active_terms(active: np.ndarray, terms: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
