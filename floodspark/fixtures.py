@@ -1,7 +1,9 @@
 """Raster views derived from the raw tables: the same SQL text runs in Spark and in DuckDB.
 
 A raster is a DataFrame with one row for each scene and pixel (scene_id, y, x), one DOUBLE column
-for each band, and NULL where a pixel is masked. A scene here has 25 x 25 pixels.
+for each band, and NULL where a pixel is masked. A scene here has 25 x 25 pixels; ``wide_px`` is one scene
+that grows with the table. The cells of ``dem`` and ``occurrence`` take all rows of their tables: the highest
+elevation, the least height above drainage and the greatest occurrence of the rows that fall in a cell.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ VIEWS = {
         FROM (SELECT {_GRID.format(k='o_orderkey')}, CAST(ROUND(o_totalprice * 100) AS BIGINT) AS c,
               CAST(CASE WHEN o_custkey % 4 = 0 THEN o_custkey % 64 ELSE 64 END AS INT) AS qa_pixel,
               CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END AS qa_radsat FROM orders) t""",
-    "dem": """SELECT CAST((p_partkey - p_partkey % 25) / 25 AS INT) AS y, CAST(p_partkey % 25 AS INT) AS x,
-        p_retailprice - 900.0 + p_size / 10.0 AS elevation, CAST(p_size AS DOUBLE) AS hand FROM part WHERE p_partkey < 625""",
-    "occurrence": """SELECT CAST((c_custkey - c_custkey % 25) / 25 AS INT) AS y, CAST(c_custkey % 25 AS INT) AS x,
-        ABS(c_acctbal) / 100.0 AS occurrence FROM customer WHERE c_custkey < 625""",
+    "dem": """SELECT CAST((k - k % 25) / 25 AS INT) AS y, CAST(k % 25 AS INT) AS x, MAX(p_retailprice - 900.0 + p_size / 10.0) AS elevation,
+        CAST(MIN(p_size) AS DOUBLE) AS hand FROM (SELECT p_partkey % 625 AS k, p_retailprice, p_size FROM part) t GROUP BY k""",
+    "occurrence": """SELECT CAST((k - k % 25) / 25 AS INT) AS y, CAST(k % 25 AS INT) AS x, MAX(ABS(c_acctbal)) / 100.0 AS occurrence
+        FROM (SELECT c_custkey % 625 AS k, c_acctbal FROM customer) t GROUP BY k""",
+    "wide_px": """SELECT CAST(0 AS BIGINT) AS scene_id, CAST((o_orderkey - o_orderkey % 300) / 300 AS INT) AS y, CAST(o_orderkey % 300 AS INT) AS x,
+        CAST(CAST(ROUND(o_totalprice * 100) AS BIGINT) % 977 AS DOUBLE) / 977.0 AS nir FROM orders""",
     "obs": "SELECT l_suppkey AS pixel, l_shipdate AS ts, l_extendedprice AS y FROM lineitem",
 }
-_SOURCE = {"sar_px": "events", "opt_px": "orders", "dem": "part", "occurrence": "customer", "obs": "lineitem"}
+_SOURCE = {"sar_px": "events", "opt_px": "orders", "dem": "part", "occurrence": "customer", "wide_px": "orders", "obs": "lineitem"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

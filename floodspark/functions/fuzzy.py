@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,11 +28,11 @@ def small(x: Column, mid: float, spread: float) -> Column:
 
 
 def _by_moments(px: DataFrame, band: str, name: str, mean_scaling: float, std_scaling: float, large_values: bool) -> DataFrame:
-    by_scene = Window.partitionBy("scene_id")
-    mean, spread = F.avg(band).over(by_scene) * mean_scaling, F.stddev_pop(band).over(by_scene) * std_scaling
+    moments = px.groupBy("scene_id").agg(F.avg(band).alias("__mean"), F.stddev_pop(band).alias("__std"))
+    mean, spread = F.col("__mean") * mean_scaling, F.col("__std") * std_scaling
     share = F.try_divide(spread, F.col(band) - mean + spread)
     value = (1 - share) if large_values else share
-    return px.withColumn(name, value * (F.col(band) >= mean).cast("int"))
+    return px.join(moments, "scene_id", "left").withColumn(name, value * (F.col(band) >= mean).cast("int")).drop("__mean", "__std")
 
 
 def mslarge(px: DataFrame, band: str, name: str, mean_scaling: float = 1.0, std_scaling: float = 1.0) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,22 +38,50 @@ def log_amplitude_ratio(observed: Column, reference: Column) -> Column:
     return F.log10(F.sqrt(power(observed)) / F.sqrt(power(reference)))
 
 
-def water_depth(px: DataFrame, water: str, dem: DataFrame, reach: int = 5, smooth: int = 3, out: str = "depth") -> DataFrame:
-    """Depth of water pixels: elevation of the nearest dry pixel within ``reach`` minus their own.
+def _nearest_in_row(rows: pd.DataFrame) -> pd.DataFrame:
+    """``edge`` of each water pixel of one row: the level of the nearest dry pixel, ties to the lower.
 
-    Ties of distance go to the lower elevation; depths are smoothed by a box mean and not negative.
+    Each pixel has the distance and level of the nearest dry pixel of its column; what lies further
+    along the row than the best distance so far cannot be nearer.
+    """
+    x = rows["x"].to_numpy(np.int64)
+    at = x - x.min()
+    far = np.full(at.max() + 1, np.inf)
+    level = np.full(at.max() + 1, np.inf)
+    far[at], level[at] = rows["d2"].fillna(np.inf), rows["level"].fillna(np.inf)
+    best, edge = far.copy(), level.copy()
+    for step in range(1, len(far)):
+        if step * step > best[at].max():
+            break
+        for to, of in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
+            d2, z = far[of] + step * step, level[of]
+            nearer = (d2 < best[to]) | ((d2 == best[to]) & (z < edge[to]))
+            best[to], edge[to] = np.where(nearer, d2, best[to]), np.where(nearer, z, edge[to])
+    got = pd.Series(np.where(np.isfinite(best[at]), edge[at], np.nan), index=rows.index)
+    return rows[["scene_id", "y", "x"]].assign(__edge=got)
+
+
+def water_depth(px: DataFrame, water: str, dem: DataFrame, smooth: int = 3, out: str = "depth") -> DataFrame:
+    """Depth of water pixels: elevation of the nearest dry pixel, however far, minus their own.
+
+    The nearest dry pixel of each column is found by windows, the nearest of all by rows. Ties of
+    distance go to the lower elevation; depths are smoothed by a box mean and not negative. A scene
+    without a dry pixel has NULL depths.
     """
     d = px.join(dem.select(*YX, "elevation"), YX)
-    dry = d.where(F.col(water) == 0)
-    seen = neighbours(dry, ["elevation"], square(reach, centre=False))
-    rank = F.struct((F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).alias("d2"), F.col("elevation"))
-    edge = seen.groupBy("scene_id", *YX).agg(F.min_by("elevation", rank).alias("__edge"))
-    raw = d.where(F.col(water) == 1).join(edge, ["scene_id", *YX]).withColumn("__raw", F.col("__edge") - F.col("elevation"))
-    return (
-        box_stats(raw, "__raw", smooth, "__")
-        .withColumn(out, F.greatest(F.col("__mean"), F.lit(0.0)))
-        .drop("__edge", "__raw", "__mean", "__var", "__count", "elevation")
-    )
+    column = Window.partitionBy("scene_id", "x").orderBy("y")
+    dry = F.when(F.col(water) == 0, F.struct("y", "elevation"))
+    above = F.last(dry, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first(dry, ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    ranked = [F.when(s.isNotNull(), F.struct(F.pow(s["y"] - F.col("y"), F.lit(2)).alias("d2"), s["elevation"].alias("level"))) for s in (above, below)]
+    near = d.select("scene_id", *YX, F.least(*ranked).alias("near")).select("scene_id", *YX, "near.d2", "near.level")
+    types = dict(d.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in ("scene_id", *YX)) + ", __edge double"
+    edge = near.groupBy("scene_id", "y").applyInPandas(lambda rows: _nearest_in_row(rows), schema)
+    level = F.when(F.col(water) == 1, F.nanvl("__edge", F.lit(None)) - F.col("elevation"))
+    smoothed = box_stats(d.join(edge, ["scene_id", *YX]).withColumn("__raw", level), "__raw", smooth, "__").where(F.col(water) == 1)
+    depth = F.when(F.col("__raw").isNotNull(), F.greatest(F.col("__mean"), F.lit(0.0)))
+    return smoothed.withColumn(out, depth).drop("__edge", "__raw", "__mean", "__var", "__count", "elevation")
 
 
 def downscale_fraction(px: DataFrame, fraction: str, dem: DataFrame, cell: int, out: str = "water") -> DataFrame:
@@ -117,10 +147,12 @@ def illumination_correction(
     cos_p, sin_p = F.cos(F.col("slope") * rad), F.sin(F.col("slope") * rad)
     cos_z, sin_z = F.cos(F.lit(zenith * rad)), F.sin(F.lit(zenith * rad))
     d = d.withColumn("__ci", cos_p * cos_z + sin_p * sin_z * F.cos((F.col("aspect") - azimuth) * rad))
-    own, ci = Window.partitionBy("scene_id"), F.col("__ci")
+    fits = [f(b, "__ci").alias(f"__{n}_{b}") for b in bands for n, f in (("a", F.regr_slope), ("i", F.regr_intercept))]
+    ci, fitted = F.col("__ci"), d.groupBy("scene_id").agg(*fits)
+    d = d.join(fitted, "scene_id", "left")
     out = {}
     for b in bands:
-        a, intercept = F.regr_slope(b, "__ci").over(own), F.regr_intercept(b, "__ci").over(own)
+        a, intercept = F.col(f"__a_{b}"), F.col(f"__i_{b}")
         c = F.try_divide(intercept, a)
         out[b] = {
             "cosine": F.col(b) * F.try_divide(cos_z, ci),
@@ -128,7 +160,7 @@ def illumination_correction(
             "scsc": F.col(b) * F.try_divide(cos_p * cos_z + c, ci + c),
             "rotation": F.col(b) - a * (ci - cos_z),
         }[model]
-    return d.withColumns(out).drop("slope", "aspect", "__ci")
+    return d.withColumns(out).drop("slope", "aspect", "__ci", *fitted.columns[1:])
 
 
 def bathtub(px: DataFrame, fraction: str, hand: DataFrame, cell: int, depths: int = 20) -> DataFrame:
@@ -155,10 +187,8 @@ def dnns(px: DataFrame, r: int = 3) -> DataFrame:
     aggregates = {f"__{k}_{b}": F.avg(F.when(kind, F.col(b))) for b in bands for k, kind in (("w", water), ("l", land))}
     around = neighbours(d, ["__i", *bands], square(r)).groupBy("scene_id", *YX).agg(*[a.alias(n) for n, a in aggregates.items()])
     j = d.join(around, ["scene_id", *YX])
-    share = [
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.col(f"__l_{b}") - F.col(b), F.col(f"__l_{b}") - F.col(f"__w_{b}"))))
-        for b in bands
-    ]
+    whole = [F.try_divide(F.col(f"__l_{b}") - F.col(b), F.col(f"__l_{b}") - F.col(f"__w_{b}")) for b in bands]
+    share = [F.when(s.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))) for s in whole]
     mixed = F.when(share[0].isNotNull() & share[1].isNotNull(), (share[0] + share[1]) / 2)
     fraction = F.when(water, 1.0).when(land, 0.0).otherwise(mixed)
     return j.withColumn("fraction", fraction).drop("__i", *aggregates)

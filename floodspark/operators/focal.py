@@ -10,28 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantile
+
 KEYS = ["scene_id", "y", "x"]
 
 
 def box_stats(px: DataFrame, band: str, r: int, prefix: str = "") -> DataFrame:
     """Adds ``mean``, ``var`` (population) and ``count`` of the (2r+1)-square window around each pixel.
 
-    Sums are taken of differences from the scene's mean, which keeps the variance precise.
+    Two passes, over rows and over columns; no task holds more than one of these. Masked pixels are rows
+    with NULL: where a row is absent, its whole row of the windows above and below it is not seen. A
+    variance that is less than the rounding of its sums (1e-12 of the mean square) is 0.
     """
-    scene = Window.partitionBy("scene_id")
     rows = Window.partitionBy("scene_id", "y").orderBy("x").rangeBetween(-r, r)
     columns = Window.partitionBy("scene_id", "x").orderBy("y").rangeBetween(-r, r)
-    d = px.withColumn("__m", F.avg(band).over(scene)).withColumn("__d", F.col(band) - F.col("__m"))
-    d = d.withColumns({"__s": F.sum("__d").over(rows), "__q": F.sum(F.col("__d") * F.col("__d")).over(rows), "__n": F.count("__d").over(rows)})
+    v = F.col(band).cast("double")
+    d = px.withColumns({"__s": F.sum(v).over(rows), "__q": F.sum(v * v).over(rows), "__n": F.count(v).over(rows)})
     d = d.withColumns({"__s": F.sum("__s").over(columns), "__q": F.sum("__q").over(columns), "__n": F.sum("__n").over(columns)})
-    mean = F.try_divide(F.col("__s"), F.col("__n"))
+    mean, square = F.try_divide(F.col("__s"), F.col("__n")), F.try_divide(F.col("__q"), F.col("__n"))
+    var = square - mean * mean
     return d.withColumns(
-        {
-            f"{prefix}mean": F.col("__m") + mean,
-            f"{prefix}var": F.greatest(F.try_divide(F.col("__q"), F.col("__n")) - mean * mean, F.lit(0.0)),
-            f"{prefix}count": F.col("__n"),
-        }
-    ).drop("__m", "__d", "__s", "__q", "__n")
+        {f"{prefix}mean": mean, f"{prefix}var": F.when(var <= square * 1e-12, 0.0).otherwise(var), f"{prefix}count": F.col("__n")}
+    ).drop("__s", "__q", "__n")
 
 
 def square(r: int, centre: bool = True) -> list[tuple[int, int]]:
@@ -78,8 +78,8 @@ def lee_sigma(px: DataFrame, band: str, out: str, window: int = 9, eta: float =
     varx = (v - z * z * eta * eta) / (1 + eta * eta)
     b = F.coalesce(F.try_divide(varx, v), F.lit(0.0))
     s = s.withColumn("__mmse", (1 - b) * F.abs(z) + b * x)
-    p99 = F.percentile("__p", F.lit(0.99)).over(Window.partitionBy("scene_id"))
-    s = s.withColumn("__bright", (x >= p99).cast("int"))
+    top = quantile(power, ["scene_id"], "__p", 0.99, "__p99", order=band)
+    s = s.join(top, "scene_id", "left").withColumn("__bright", (x >= F.col("__p99")).cast("int")).drop("__p99")
     k = box_stats(s, "__bright", 1, "__k_")
     value = F.when((F.col("__k_mean") * F.col("__k_count") >= tk - 1e-9) & (F.col("__bright") == 1), x).otherwise(F.col("__mmse"))
     db = 10 * F.when(value > 0, F.log10(value))
@@ -106,13 +106,18 @@ def perona_malik(px: DataFrame, band: str, out: str, n_iters: int = 10, k: float
     conduct = (lambda d: F.exp(-d * d / k)) if method == 1 else (lambda d: 1 / (1 + d * d / (k * k)))
     across = Window.partitionBy("scene_id", "y").orderBy("x")
     down = Window.partitionBy("scene_id", "x").orderBy("y")
+
+    def flow(step, window: Window, axis: str) -> Column:
+        """From the row before or after in the window, if that is the pixel beside."""
+        beside = F.abs(step(axis).over(window) - F.col(axis)) == 1
+        return F.when(beside, step("__i").over(window) - F.col("__i"))
+
     d = px.withColumn("__i", F.pow(F.lit(10.0), F.col(band) / 10))
     for _ in range(n_iters):
-        i = F.col("__i")
-        d = d.withColumns({"__w": F.lag("__i").over(across) - i, "__e": F.lead("__i").over(across) - i})
-        d = d.withColumns({"__n": F.lag("__i").over(down) - i, "__s": F.lead("__i").over(down) - i})
+        d = d.withColumns({"__w": flow(F.lag, across, "x"), "__e": flow(F.lead, across, "x")})
+        d = d.withColumns({"__n": flow(F.lag, down, "y"), "__s": flow(F.lead, down, "y")})
         flows = [F.coalesce(conduct(F.col(n)) * F.col(n), F.lit(0.0)) for n in ("__n", "__s", "__e", "__w")]
-        d = d.withColumn("__i", i + 0.2 * (flows[0] + flows[1] + flows[2] + flows[3])).drop("__w", "__e", "__n", "__s")
+        d = d.withColumn("__i", F.col("__i") + 0.2 * (flows[0] + flows[1] + flows[2] + flows[3])).drop("__w", "__e", "__n", "__s")
     return d.withColumn(out, 10 * F.when(F.col("__i") > 0, F.log10("__i"))).drop("__i")
 
 

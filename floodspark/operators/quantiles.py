@@ -1,0 +1,39 @@
+"""Exact quantiles of large groups: no task holds the values of a whole scene."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+SLOTS = 4096
+
+
+def quantile(px: DataFrame, by: list[str], value: str, share: float, out: str, order: str | None = None) -> DataFrame:
+    """(by, out): the value at ``share`` of each group, interpolated between neighbouring ranks.
+
+    Three passes: the range of each group, a histogram of ``SLOTS`` even slots of it, and the distinct
+    values of the one slot that holds the rank. ``order`` may name a column that rises with ``value`` and
+    is spread more evenly. NULL values do not count.
+    """
+    order = order or value
+    v = px.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"), F.col(order).alias("__o"))
+    position = F.lit(float(share)) * (F.count("*") - 1)
+    ends = v.groupBy(*by).agg(F.min("__o").alias("__lo"), F.max("__o").alias("__hi"), position.alias("__at"))
+    part = F.coalesce(F.try_divide(F.col("__o") - F.col("__lo"), F.col("__hi") - F.col("__lo")), F.lit(0.0))
+    placed = v.join(ends.drop("__at"), by).select(*by, "__v", F.least(F.floor(part * SLOTS), F.lit(SLOTS - 1)).alias("__slot"))
+    rising = Window.partitionBy(*by).orderBy("__slot")
+    slots = (
+        placed.groupBy(*by, "__slot")
+        .agg(F.count("*").alias("__n"), F.min("__v").alias("__least"))
+        .withColumns({"__before": F.sum("__n").over(rising) - F.col("__n"), "__next": F.lead("__least").over(rising)})
+        .join(ends.select(*by, "__at"), by)
+        .where((F.col("__before") <= F.floor("__at")) & (F.floor("__at") < F.col("__before") + F.col("__n")))
+        .select(*by, "__slot", "__before", "__next", "__at")
+    )
+    values = placed.join(slots, [*by, "__slot"]).groupBy(*by, "__before", "__next", "__at", "__v").agg(F.count("*").alias("__n"))
+    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(*by).orderBy("__v"))
+    ranked = values.withColumn("__upto", upto)
+    here, after = (F.min(F.when(F.col("__upto") > F.floor("__at") + k, F.col("__v"))) for k in (0, 1))
+    found = ranked.groupBy(*by).agg(here.alias("__a"), after.alias("__b"), F.first("__next").alias("__next"), F.first("__at").alias("__at"))
+    step = F.coalesce("__b", "__next", "__a") - F.col("__a")
+    return found.select(*by, (F.col("__a") + (F.col("__at") - F.floor("__at")) * step).alias(out))

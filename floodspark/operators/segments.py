@@ -10,41 +10,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .focal import KEYS, focal, neighbours, square
+from .components import patch_sizes
+from .focal import KEYS, focal, square
 from .lineage import cut_lineage
 from .threshold import edges, histogram, otsu
 
 
-def patches(px: DataFrame, mask: str, rounds: int = 64) -> DataFrame:
-    """(scene_id, y, x, label): 8-connected patches of pixels whose ``mask`` is 1; y and x are not negative.
-
-    Labels spread to neighbours and jump to the label of their label, so the rounds grow with the
-    logarithm of a patch's length; they end as soon as no label changes.
-    """
-    on = px.where(F.col(mask) == 1).select(*KEYS).distinct()
-    node = F.shiftleft(F.col("y").cast("long"), 32) + F.col("x")
-    beside = neighbours(on.withColumn("v", node), ["v"], square(1, centre=False))
-    links = cut_lineage(beside.join(on, KEYS).select("scene_id", node.alias("u"), "v"))
-    labels = cut_lineage(on.select("scene_id", node.alias("u"), node.alias("label")))
-    for _ in range(rounds):
-        near = links.join(labels, ["scene_id", "u"]).groupBy("scene_id", F.col("v").alias("u")).agg(F.min("label").alias("near"))
-        pulled = labels.join(near, ["scene_id", "u"], "left").select("scene_id", "u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        above = labels.select("scene_id", F.col("u").alias("label"), F.col("label").alias("above"))
-        moved = cut_lineage(pulled.join(above, ["scene_id", "label"]).select("scene_id", "u", "old", F.least("label", "above").alias("label")))
-        labels = moved.select("scene_id", "u", "label")
-        if moved.where("old <> label").isEmpty():
-            break
-    place = [F.shiftright("u", 32).cast("int").alias("y"), F.col("u").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("x")]
-    return labels.select("scene_id", *place, "label")
-
-
-def patch_sizes(px: DataFrame, mask: str, out: str = "size", most: int = 1024) -> DataFrame:
-    """``px`` with the number of pixels of each one's patch, at most ``most``; NULL outside patches."""
-    labels = patches(px, mask)
-    sizes = labels.groupBy("scene_id", "label").agg(F.least(F.count("*"), F.lit(most)).alias(out))
-    return px.join(labels.join(sizes, ["scene_id", "label"]).drop("label"), KEYS, "left")
-
-
 def long_edge_otsu(px: DataFrame, band: str, initial: float, length: int = 20, buffer: int = 1, no_data: float | None = None, width: float = 0.25) -> DataFrame:
     """(scene_id, threshold) from the pixels within ``buffer`` of edges of at least ``length`` connected pixels."""
     marked = patch_sizes(edges(px, band, initial), "edge", "__size")

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 from ..functions.pixel import INDICES, add_indices
+from .components import patch_sizes
 from .focal import close_binary, gamma_map, open_binary
 from .floods import slope_correction
 from .lineage import cut_lineage
-from .segments import patch_sizes
+from .quantiles import quantile
 from .threshold import histogram, otsu
 from .timeseries import add_harmonics, harmonic_trend, linear_trend, years, yearly_anomalies
 
@@ -40,10 +41,14 @@ def water_strata(occurrence: Column, interval: int = 20, top: int = 80) -> Colum
 
 
 def stratified_sample(px: DataFrame, stratum: str, n: int, keys: list[str], seed: int = 0) -> DataFrame:
-    """At most ``n`` rows of each stratum, by a hash of ``keys``; what a task need not keep is dropped before the shuffle."""
-    order = F.xxhash64(*keys, F.lit(seed))
-    ranked = px.where(F.col(stratum).isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(order, *keys)))
-    return ranked.where(F.col("__r") <= n).drop("__r")
+    """At most ``n`` rows of each stratum, those of least hash of ``keys``."""
+    seen = px.where(F.col(stratum).isNotNull()).withColumn("__h", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)))
+    # Of each stratum only the rows of least hash are ranked: about 2 n + 100 of them, so that n are there.
+    bound = (2 * n + 100) / F.count("*") * (1 << 40)
+    sizes = seen.groupBy(stratum).agg(bound.alias("__most"))
+    few = seen.join(sizes, stratum).where(F.col("__h") <= F.col("__most"))
+    ranked = few.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", *keys)))
+    return ranked.where(F.col("__r") <= n).select(*px.columns)
 
 
 def fusion_samples(joined: DataFrame, occurrence: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -127,7 +132,7 @@ def best_tiles(px: DataFrame, band: str, grid: int, n: int = 5, least_hand: floa
     tiles = px.groupBy("scene_id", F.floor(F.col("y") / grid).alias("ty"), F.floor(F.col("x") / grid).alias("tx")).agg(
         F.stddev_pop(band).alias("__s"), F.avg("hand").alias("__h")
     )
-    median = px.groupBy("scene_id").agg(F.percentile(band, F.lit(0.5)).alias("__m"))
+    median = quantile(px, ["scene_id"], band, 0.5, "__m")
     spread = F.when(F.col("__s") > 0, F.col("__s")).otherwise(0.00001)
     rated = tiles.where(F.col("__h") >= least_hand).join(median, "scene_id").withColumn("__ratio", F.col("__m") / spread)
     order = Window.partitionBy("scene_id").orderBy(F.desc("__ratio"), "ty", "tx")
@@ -146,9 +151,10 @@ def radar_water(sar: DataFrame, relief: DataFrame, hand: DataFrame, sand: DataFr
         px = cut_lineage(gamma_map(px, band, band))
     px = px.select("scene_id", *YX, "vv", "vh").join(hand.select(*YX, "hand"), YX).join(relief.select(*YX, "slope"), YX)
     px = px.join(sand.select(*YX, "sand"), YX, "left").withColumns({"ty": F.floor(F.col("y") / grid), "tx": F.floor(F.col("x") / grid)})
-    top = px.groupBy("scene_id").agg(F.percentile("hand", F.lit(0.9)).alias("__p90"))
+    px = cut_lineage(px)
+    top = quantile(px, ["scene_id"], "hand", 0.9, "__p90")
     low = px.join(top, "scene_id").where((F.col("hand") != 0) & (F.col("hand") < F.col("__p90")))
-    limits = low.groupBy("scene_id").agg(F.percentile("hand", F.lit(0.5)).alias("__lo"), F.stddev_pop("hand").alias("__sd"))
+    limits = quantile(low, ["scene_id"], "hand", 0.5, "__lo").join(low.groupBy("scene_id").agg(F.stddev_pop("hand").alias("__sd")), "scene_id")
     px = px.join(limits, "scene_id", "left")
     mid = F.col("__lo") + (3 * F.col("__sd") + 5) / 2
     a, b, h = F.col("__lo"), F.col("__lo") + 3 * F.col("__sd") + 5, F.col("hand")

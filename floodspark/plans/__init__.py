@@ -1,3 +1,3 @@
-from . import catalogue, fusion_queries, workflow_queries
+from . import catalogue, filter_queries, fusion_queries, workflow_queries
 
-__all__ = ["catalogue", "fusion_queries", "workflow_queries"]
+__all__ = ["catalogue", "filter_queries", "fusion_queries", "workflow_queries"]

@@ -282,16 +282,6 @@ def p_median(spark, d):
     return rounded(focal.p_median(view(spark, d, "sar_px"), "vv", "med").select(*YX, "med"), 8)
 
 
-def _filter_query(name: str, run) -> None:
-    run.__name__ = name
-    query()(run)
-
-
-_filter_query("gamma_map", lambda spark, d: rounded(focal.gamma_map(view(spark, d, "sar_px"), "vv", "out").select(*YX, "out"), 4))
-_filter_query("lee_sigma", lambda spark, d: rounded(focal.lee_sigma(view(spark, d, "sar_px"), "vv", "out").select(*YX, "out"), 4))
-_filter_query("perona_malik", lambda spark, d: rounded(focal.perona_malik(view(spark, d, "sar_px"), "vv", "out", n_iters=2).select(*YX, "out"), 4))
-_filter_query("modified_median_zscore", lambda spark, d: rounded(focal.modified_median_zscore(view(spark, d, "sar_px"), "vv", "out").select(*YX, "out"), 4))
-
 _BINARY = "SELECT scene_id, y, x, (vv < -20)::int AS w FROM sar_px"
 _STEP = "SELECT a.scene_id, a.y, a.x, {f}(b.{c}) AS {out} FROM {t} a JOIN {t} b ON a.scene_id = b.scene_id AND (a.y - b.y) ^ 2 + (a.x - b.x) ^ 2 {op} 4 AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL"
 
@@ -324,8 +314,6 @@ def bmax_otsu(spark, d):
     return rounded(threshold.bmax_otsu(view(spark, d, "sar_px"), "vv", -23.3, least=0.5, max_boxes=10), 4)
 
 
-_filter_query("edge_otsu", lambda spark, d: rounded(threshold.edge_otsu(view(spark, d, "sar_px"), "vv", -23.3), 4))
-
 # --- time series ----------------------------------------------------------------------------------
 
 _TIME = "epoch_us(ts) / 86400000000.0::double / 365.25::double"
@@ -354,11 +342,6 @@ def harmonic_trend(spark, d):
     return rounded(timeseries.harmonic_trend(timeseries.add_harmonics(_obs(spark, d)), ["pixel"], "y"), 3)
 
 
-@query()
-def ridge_trend(spark, d):
-    return rounded(timeseries.ridge_trend(_obs(spark, d), ["pixel"], "y"), 3)
-
-
 @query(f"""SELECT * FROM (WITH o AS (SELECT pixel, y, {_TIME} AS t FROM obs),
   s AS (SELECT a.pixel, quantile_cont((b.y - a.y) / (b.t - a.t), 0.5) AS m FROM o a JOIN o b ON a.pixel = b.pixel AND b.t > a.t GROUP BY 1)
   SELECT o.pixel, round(any_value(m), 4) + 0.0 AS time FROM o JOIN s USING (pixel) GROUP BY 1) /* obs */""")
@@ -416,18 +399,6 @@ def downscale_fraction(spark, d):
     return floods.downscale_fraction(view(spark, d, "opt_px"), "nir", view(spark, d, "dem"), 5).select(*YX, "water")
 
 
-def _relief(spark, d):
-    return floods.terrain(view(spark, d, "dem"))
-
-
-_filter_query("water_depth", lambda spark, d: rounded(floods.water_depth(view(spark, d, "sar_px").withColumn("w", (F.col("vv") < -20).cast("int")).select(*YX, "w"), "w", view(spark, d, "dem")).select(*YX, "depth"), 4))
-_filter_query("terrain", lambda spark, d: rounded(_relief(spark, d).select("y", "x", "slope", "aspect"), 4))
-_filter_query("slope_correction", lambda spark, d: rounded(floods.slope_correction(view(spark, d, "sar_px"), ["vv", "vh"], _relief(spark, d)).select(*YX, "vv", "vh"), 4))
-_filter_query("illumination_correction", lambda spark, d: rounded(floods.illumination_correction(view(spark, d, "opt_px"), ["nir", "red"], _relief(spark, d), 135.0, 40.0).select(*YX, "nir", "red"), 4))
-_filter_query("bathtub", lambda spark, d: floods.bathtub(view(spark, d, "opt_px"), "nir", view(spark, d, "dem"), 5))
-_filter_query("dnns", lambda spark, d: rounded(floods.dnns(view(spark, d, "opt_px"), 2).select(*YX, "fraction"), 4))
-
-
 @query("SELECT y, x, round(arg_max(nir, epoch_us(ts)::hugeint * 100000 + scene_id), 6) AS nir FROM opt_px WHERE ts < TIMESTAMP '2024-01-20' AND ts >= TIMESTAMP '2023-11-20' GROUP BY ALL")
 def latest_before(spark, d):
     return rounded(floods.latest_before(view(spark, d, "opt_px"), "nir", "2024-01-20"))

@@ -142,15 +142,6 @@ def water_harmonics(spark, d):
     return workflows.water_harmonics(workflows.fuse(opt, opt.where("false"), lambda px: px.withColumn("mndwi", F.lit(0.0))), n_cycles=1)
 
 
-@query()
-def fused_series(spark, d):
-    def predict(px):
-        return px.withColumn("mndwi", F.col("ndpi"))
-
-    sar = workflows.radar_features(view(spark, d, "sar_px"), floods.terrain(view(spark, d, "dem")))
-    return rounded(workflows.fuse(view(spark, d, "opt_px"), sar, predict).select("sensor", *YX, "mndwi"), 4)
-
-
 @query()
 def radar_water(spark, d):
     dem = view(spark, d, "dem")
@@ -158,16 +149,6 @@ def radar_water(spark, d):
     return workflows.radar_water(view(spark, d, "sar_px"), floods.terrain(dem), dem, sand)
 
 
-@query()
-def refined_lee(spark, d):
-    return rounded(focal.refined_lee(view(spark, d, "sar_px"), "vv", "out").select(*YX, "out"), 4)
-
-
-@query()
-def long_edge_otsu(spark, d):
-    return rounded(segments.long_edge_otsu(view(spark, d, "sar_px"), "vv", -23.3, length=5), 4)
-
-
 @query()
 def semisupervised_extent(spark, d):
     got = segments.semisupervised_extent(view(spark, d, "sar_px"), ["vv", "vh"], n=200, sizes=range(3, 6), trees=10)

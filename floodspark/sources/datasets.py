@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixel import extract_bits, rescale
@@ -274,9 +274,8 @@ def admin_bbox(table: DataFrame, name: str, level: int = 1) -> DataFrame:
 
 def with_export_names(px: DataFrame, prefix: str, suffix: str = "") -> DataFrame:
     """Adds ``name``: prefix, scene time and suffix, as the scenes' export names."""
-    first = F.min("ts").over(Window.partitionBy("scene_id"))
-    parts = [F.lit(prefix), F.date_format(first, "yyyyMMddHHmmss")] + ([F.lit(suffix)] if suffix else [])
-    return px.withColumn("name", F.concat_ws("_", *parts))
+    parts = [F.lit(prefix), F.date_format(F.min("ts"), "yyyyMMddHHmmss")] + ([F.lit(suffix)] if suffix else [])
+    return px.join(px.groupBy("scene_id").agg(F.concat_ws("_", *parts).alias("name")), "scene_id")
 
 
 def export(px: DataFrame, path: str, by: list[str] | None = None) -> None:
