@@ -44,7 +44,14 @@ class Dataset:
 
     @classmethod
     def from_collection(cls, pixels: DataFrame) -> Dataset:
-        return cls(pixels)
+        """An existing collection, with the extent of its pixels and the first and last (exclusive) of its days."""
+        ends = pixels.agg(
+            *[f(c).alias(f"{n}{c}") for c in "yx" for n, f in (("lo", F.min), ("hi", F.max))],
+            F.date_format(F.min("ts"), "yyyy-MM-dd").alias("start"),
+            F.date_format(F.date_add(F.to_date(F.max("ts")), 1), "yyyy-MM-dd").alias("end"),
+        ).first()
+        region = None if ends["loy"] is None else (ends["loy"], ends["lox"], ends["hiy"] + 1, ends["hix"] + 1)
+        return cls(pixels, region, ends["start"], ends["end"])
 
     @property
     def bands(self) -> list[str]:
@@ -286,3 +293,19 @@ def export(px: DataFrame, path: str, by: list[str] | None = None) -> None:
         raise ValueError("a path is needed")
     writer = px.write.mode("overwrite")
     (writer.partitionBy(*by) if by else writer).parquet(path)
+
+
+def mosaic_exports(tiles: DataFrame, path: str, expected: int, tile: str = "tile", by: list[str] | None = None) -> DataFrame:
+    """Writes the mosaic of exported tiles to ``path`` and returns it as read back; nothing is written if a tile is missing.
+
+    ``tiles`` has the pixels (y, x, bands) of all tiles, ``tile`` names each one's tile. Where tiles overlap, the
+    first valid value in the order of the tiles' names counts, band by band.
+    """
+    found = tiles.agg(F.countDistinct(tile)).first()[0]
+    if found < expected:
+        raise ValueError(f"{found} of {expected} tiles are there")
+    keys = [*(by or []), "y", "x"]
+    bands = [c for c in tiles.columns if c not in (*keys, tile)]
+    first = [F.min_by(b, F.when(F.col(b).isNotNull(), F.col(tile))).alias(b) for b in bands]
+    export(tiles.groupBy(*keys).agg(*first), path, by)
+    return tiles.sparkSession.read.parquet(path)

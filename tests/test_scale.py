@@ -82,3 +82,20 @@ def test_collections_filter_select_clip_and_pipe(spark):
     assert sorted(r["v"] for r in doubled.pixels.collect()) == [3.0, 5.0, 7.0, 9.0, 11.0, 13.0, 15.0, 17.0]
     names = {r["name"] for r in datasets.with_export_names(px, "map", "v1").select("name").collect()}
     assert names == {"map_20240101000000_v1", "map_20240102000000_v1"}
+
+
+def test_collection_knows_its_extent_and_days(spark):
+    px = grid(spark, [[1, 2, 3], [3, 4, 5]]).selectExpr("scene_id", "y + 4 AS y", "x", "make_timestamp_ntz(2024, 2, 28 + y, 5, 0, 0) AS ts", "v")
+    data = datasets.Dataset.from_collection(px)
+    assert (data.region, data.start, data.end) == ((4, 0, 6, 3), "2024-02-28", "2024-03-01")
+    assert datasets.Dataset.from_collection(px.limit(0)).region is None
+    assert datasets.Dataset.load(px, data.region, data.start, data.end).pixels.count() == 6
+
+
+def test_mosaic_of_exported_tiles(spark, tmp_path):
+    rows = [("t1", 0, 0, 1.0, None), ("t2", 0, 0, 2.0, 5.0), ("t2", 0, 1, 3.0, 6.0)]
+    tiles = spark.createDataFrame(rows, "tile string, y int, x int, a double, b double")
+    with pytest.raises(ValueError, match="2 of 3"):
+        datasets.mosaic_exports(tiles, str(tmp_path / "out"), 3)
+    got = datasets.mosaic_exports(tiles, str(tmp_path / "out"), 2)
+    assert sorted(map(tuple, got.select("y", "x", "a", "b").collect())) == [(0, 0, 1.0, 5.0), (0, 1, 3.0, 6.0)]
