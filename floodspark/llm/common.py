@@ -5,13 +5,14 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def _shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder, set if it is not.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``. Only a session on one
     machine may leave that unset, and gets a temporary folder: executors could not share it.
@@ -24,9 +25,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that driver and executors share."""
+    _shared_folder(df)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the shared checkpoint folder and read again: smaller than a checkpoint."""
+    path = f"{_shared_folder(df)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
     """Bounds the bytes of the Arrow batches of what is computed within it."""

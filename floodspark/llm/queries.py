@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    centroids,
     decontamination,
+    divergence,
     language_id,
     line_dedup,
     near_dedup,
@@ -14,6 +19,7 @@ from . import (
     pii,
     quality_classifier,
     quality_rules,
+    sentence_pieces,
     toxicity,
     url_filter,
 )
@@ -71,6 +77,28 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded with an end id, decoded from the ids alone, and both digested."""
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    encoded = sentence_pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    decoded = sentence_pieces.decode(encoded.select("doc_id", F.col("pieces.ids").alias("ids")), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +113,9 @@ QUERIES = {
         op8_language_id,
         op9_decontamination,
         op10_best_fit_packing,
+        op11_divergence_audit,
+        op12_centroid_clustering,
+        op13_sentence_pieces,
     )
 }
 
@@ -189,4 +220,78 @@ SELECT page_id, host, path,
 FROM hosts
 """
 
-ORACLE_SQL = {"url_rules": URL_RULES_SQL, "op4_quality_rules": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_decontamination": OP9_SQL}
+OP11_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+words AS (
+  SELECT r, lang, source, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT r, lang, source, unnest(w) AS w FROM docs)),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+langs AS (SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(s.total, 0) + l.v))::HUGEINT AS p,
+         (1 + 1000000000::HUGEINT * (k.n + 1) // (l.total + l.v))::HUGEINT AS everywhere
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang)
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::bigint AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS other, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+  ON x.lang = a.lang AND x.source = a.source AND x.other = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - everywhere) * (p - everywhere) // everywhere)::bigint AS value
+  FROM shares WHERE n > 0 AND p > everywhere),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::int AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
+def _kmeans_sql(k: int, rounds: int, size: int, scale: int, seed: int) -> str:
+    """Rounds of exact k-means, each a few steps of SQL."""
+    assigned = """
+a{r} AS (
+  SELECT vec_id, q, i, d FROM (
+    SELECT r, vec_id, q, i, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d,
+           row_number() OVER (PARTITION BY r ORDER BY d, i) AS best
+    FROM kept, c{r}) WHERE best = 1)"""
+    moved = """,
+m{r} AS (SELECT i, j, sum(q[j]) AS s, count(*) AS n FROM (SELECT i, q, unnest(range(1, {size} + 1)) AS j FROM a{r}) GROUP BY i, j),
+c{next} AS (
+  SELECT c{r}.i, coalesce(f.c, c{r}.c) AS c FROM c{r} LEFT JOIN (
+    SELECT i, list((s - (s % n + n) % n) // n ORDER BY j) AS c FROM m{r} GROUP BY i) f ON f.i = c{r}.i),"""
+    steps = "".join(assigned.format(r=r) + moved.format(r=r, next=r + 1, size=size) for r in range(rounds))
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::hugeint) AS q
+  FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+c0 AS (
+  SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), q) - 1)::int AS i, q AS c
+  FROM kept ORDER BY sha256('{seed}:' || vec_id), q LIMIT {k}),{steps}{assigned.format(r=rounds)}
+SELECT vec_id, a{rounds}.i AS cluster, d::bigint AS distance,
+       (sum(d) OVER (PARTITION BY a{rounds}.i))::bigint AS cluster_inertia, (sum(d) OVER ())::bigint AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.i = a{rounds}.i
+"""
+
+
+OP12_SQL = _kmeans_sql(centroids.K, centroids.ROUNDS, centroids.SIZE, centroids.SCALE, centroids.SEED)
+
+ORACLE_SQL = {
+    "url_rules": URL_RULES_SQL,
+    "op4_quality_rules": OP4_SQL,
+    "op6_line_dedup": OP6_SQL,
+    "op9_decontamination": OP9_SQL,
+    "op11_divergence_audit": OP11_SQL,
+    "op12_centroid_clustering": OP12_SQL,
+}
