@@ -5,11 +5,12 @@ from __future__ import annotations
 from math import pi
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .focal import box_stats, neighbours, square, weighted_mean
+from .costs import cumulative_costs
+from .focal import box_stats, modified_median_zscore, neighbours, square
+from .tiles import TILE, Tile, box_sum, tiled, weighted_mean, window_extreme
 
 YX = ["y", "x"]
 
@@ -38,59 +39,63 @@ def log_amplitude_ratio(observed: Column, reference: Column) -> Column:
     return F.log10(F.sqrt(power(observed)) / F.sqrt(power(reference)))
 
 
-def _nearest_in_row(rows: pd.DataFrame) -> pd.DataFrame:
-    """``edge`` of each water pixel of one row: the level of the nearest dry pixel, ties to the lower.
+#: The cost of a metre of water and how far from dry land costs are followed, in metres.
+WATER_COST, REACH = 10_000.0, 5_000.0
 
-    Each pixel has the distance and level of the nearest dry pixel of its column; what lies further
-    along the row than the best distance so far cannot be nearer.
-    """
-    x = rows["x"].to_numpy(np.int64)
-    at = x - x.min()
-    far = np.full(at.max() + 1, np.inf)
-    level = np.full(at.max() + 1, np.inf)
-    far[at], level[at] = rows["d2"].fillna(np.inf), rows["level"].fillna(np.inf)
-    best, edge = far.copy(), level.copy()
-    for step in range(1, len(far)):
-        if step * step > best[at].max():
-            break
-        for to, of in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
-            d2, z = far[of] + step * step, level[of]
-            nearer = (d2 < best[to]) | ((d2 == best[to]) & (z < edge[to]))
-            best[to], edge[to] = np.where(nearer, d2, best[to]), np.where(nearer, z, edge[to])
-    got = pd.Series(np.where(np.isfinite(best[at]), edge[at], np.nan), index=rows.index)
-    return rows[["scene_id", "y", "x"]].assign(__edge=got)
-
-
-def water_depth(px: DataFrame, water: str, dem: DataFrame, smooth: int = 3, out: str = "depth") -> DataFrame:
-    """Depth of water pixels: elevation of the nearest dry pixel, however far, minus their own.
-
-    The nearest dry pixel of each column is found by windows, the nearest of all by rows. Ties of
-    distance go to the lower elevation; depths are smoothed by a box mean and not negative. A scene
-    without a dry pixel has NULL depths.
+
+def water_depth(
+    px: DataFrame,
+    water: str,
+    dem: DataFrame,
+    smooth: int = 3,
+    outlier_test: bool = False,
+    cell: float = 30.0,
+    reach: float = REACH,
+    out: str = "depth",
+    tile: int = TILE,
+) -> DataFrame:
+    """Depth of water pixels: the level of the dry pixel that the cheapest path over water starts from, minus their own elevation.
+
+    Three path costs from all dry pixels (not water, or masked) are followed over the grid, with a dry
+    pixel's own cost 0, 1 and its elevation; the third's part over the first, divided by the second's, is the level. Depths
+    are smoothed by a box mean that dry pixels enter with 0, and are not negative. Water that no path
+    reaches within ``reach`` metres has NULL. ``outlier_test`` repairs the elevation first: outliers of the
+    water's elevation, one metre up, become the median of their neighbours in a surface without outliers.
     """
-    d = px.join(dem.select(*YX, "elevation"), YX)
-    column = Window.partitionBy("scene_id", "x").orderBy("y")
-    dry = F.when(F.col(water) == 0, F.struct("y", "elevation"))
-    above = F.last(dry, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(dry, ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing))
-    ranked = [F.when(s.isNotNull(), F.struct(F.pow(s["y"] - F.col("y"), F.lit(2)).alias("d2"), s["elevation"].alias("level"))) for s in (above, below)]
-    near = d.select("scene_id", *YX, F.least(*ranked).alias("near")).select("scene_id", *YX, "near.d2", "near.level")
-    types = dict(d.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in ("scene_id", *YX)) + ", __edge double"
-    edge = near.groupBy("scene_id", "y").applyInPandas(lambda rows: _nearest_in_row(rows), schema)
-    level = F.when(F.col(water) == 1, F.nanvl("__edge", F.lit(None)) - F.col("elevation"))
-    smoothed = box_stats(d.join(edge, ["scene_id", *YX]).withColumn("__raw", level), "__raw", smooth, "__").where(F.col(water) == 1)
+    d = px.join(dem.select(*YX, F.col("elevation").alias("__z")), YX)
+    wet = F.coalesce(F.col(water) == 1, F.lit(False))
+    if outlier_test:
+        d = modified_median_zscore(d, "__z", "__even").withColumn("__raised", F.when(wet, F.col("__z") + 1))
+        d = modified_median_zscore(d, "__raised", "__z", fill="__even").drop("__even", "__raised")
+    dry = ~wet & F.col("__z").isNotNull()
+    own = {"__c0": F.lit(0.0), "__c1": F.lit(1.0), "__c2": F.col("__z")}
+    costs = d.select("scene_id", *YX, dry.alias("__dry"), *[F.when(dry, v).when(wet, WATER_COST).alias(c) for c, v in own.items()])
+    paths = cumulative_costs(costs, list(own), "__dry", tile)
+    d = d.join(paths, ["scene_id", *YX])
+    level = F.try_divide(F.col("__c2") - F.col("__c0"), F.col("__c1") - F.col("__c0"))
+    level = F.when(F.col("__c0") / WATER_COST * cell <= reach, level)
+    raw = F.when(dry, F.lit(0.0)).otherwise(level - F.col("__z"))
+    d = box_stats(d.withColumn("__raw", raw), "__raw", smooth, "__").where(wet)
     depth = F.when(F.col("__raw").isNotNull(), F.greatest(F.col("__mean"), F.lit(0.0)))
-    return smoothed.withColumn(out, depth).drop("__edge", "__raw", "__mean", "__var", "__count", "elevation")
+    return d.withColumn(out, depth).drop("__raw", "__mean", "__var", "__count", "__z", *own)
 
 
 def downscale_fraction(px: DataFrame, fraction: str, dem: DataFrame, cell: int, out: str = "water") -> DataFrame:
-    """Fine water from a coarse fraction: the lowest part of each cell's elevation range is wet."""
+    """Fine water from a coarse fraction: the lowest part of the range of elevations around a pixel is wet.
+
+    The range is that of the pixels with a fraction above 0 within ``cell`` rows and columns; where there
+    is none, NULL.
+    """
+
+    def wet(tile: Tile) -> dict[str, np.ndarray]:
+        z, f = tile["elevation"], tile[fraction]
+        some = np.where(f > 0, z, np.nan)
+        low, high = window_extreme(some, cell), window_extreme(some, cell, np.fmax)
+        level = low + (high - low) * f
+        return {out: np.where(np.isnan(level) | np.isnan(z), np.nan, (z >= low) & (z < level))}
+
     d = px.join(dem.select(*YX, "elevation"), YX)
-    own = Window.partitionBy("scene_id", F.floor(F.col("y") / cell), F.floor(F.col("x") / cell))
-    d = d.withColumns({"__lo": F.min("elevation").over(own), "__hi": F.max("elevation").over(own), "__f": F.avg(fraction).over(own)})
-    level = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__f")
-    return d.withColumn(out, (F.col("elevation") < level).cast("int")).drop("__lo", "__hi", "__f")
+    return tiled(d, [fraction, "elevation"], cell, wet, f"{out} int").drop("elevation")
 
 
 def terrain(dem: DataFrame, cell: float = 30.0) -> DataFrame:
@@ -178,20 +183,67 @@ def bathtub(px: DataFrame, fraction: str, hand: DataFrame, cell: int, depths: in
     return d.join(best, ["scene_id", "cy", "cx"]).select("scene_id", *YX, "depth", (F.col("hand") <= F.col("depth")).cast("int").alias("water"))
 
 
-def dnns(px: DataFrame, r: int = 3) -> DataFrame:
-    """Water fraction of mixed pixels from the pure water and land around them."""
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, and 0 where b is 0."""
+    return np.where(b == 0, 0.0, a / np.where(b == 0, 1.0, b))
+
+
+def dnns(px: DataFrame, r: int = 40, out: str = "fraction", tile: int = TILE) -> DataFrame:
+    """Water fraction of mixed pixels by a dynamic search for their nearest neighbours.
+
+    Water is an index above 0.15, land below -0.15; what lies between is mixed. Pure water is the mean of
+    the water within ``r`` rows and columns. Pure land is the mean of those neighbours whose ratios of red
+    and of near to short-wave infrared lie, both, below the pixel's own and above it less pure water's
+    red over the pixel's short-wave infrared. Where there is none, the scene's sums of water or land over the
+    number of all its pixels stand in. The fraction is the mean over the three bands of (land - pixel) /
+    (land - water), within 0 and 1; a division by 0 gives 0.
+    """
+    bands = ["red", "nir", "swir1"]
     index = F.try_divide(F.col("green") - F.col("swir1"), F.col("green") + F.col("swir1"))
     d = px.withColumn("__i", index)
-    water, land = F.col("__i") > 0.15, F.col("__i") < -0.15
-    bands = ["nir", "swir1"]
-    aggregates = {f"__{k}_{b}": F.avg(F.when(kind, F.col(b))) for b in bands for k, kind in (("w", water), ("l", land))}
-    around = neighbours(d, ["__i", *bands], square(r)).groupBy("scene_id", *YX).agg(*[a.alias(n) for n, a in aggregates.items()])
-    j = d.join(around, ["scene_id", *YX])
-    whole = [F.try_divide(F.col(f"__l_{b}") - F.col(b), F.col(f"__l_{b}") - F.col(f"__w_{b}")) for b in bands]
-    share = [F.when(s.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))) for s in whole]
-    mixed = F.when(share[0].isNotNull() & share[1].isNotNull(), (share[0] + share[1]) / 2)
-    fraction = F.when(water, 1.0).when(land, 0.0).otherwise(mixed)
-    return j.withColumn("fraction", fraction).drop("__i", *aggregates)
+    kinds = {"w": F.col("__i") > 0.15, "l": F.col("__i") < -0.15}
+    means = {f"__{k}_{b}": F.avg(kind.cast("double") * F.col(b)) for k, kind in kinds.items() for b in bands}
+    d = d.join(d.groupBy("scene_id").agg(*[m.alias(n) for n, m in means.items()]), "scene_id", "left")
+
+    def fractions(tile: Tile) -> dict[str, np.ndarray]:
+        i, v = tile["__i"], {b: tile[b] for b in bands}
+        known = ~np.isnan(i)
+        water, land = i > 0.15, i < -0.15
+        n_water = box_sum(water.astype(float), r)
+        pure = {}
+        for b in bands:
+            mean = _over(box_sum(np.where(water, np.nan_to_num(v[b]), 0.0), r), n_water)
+            pure[b] = np.where(mean == 0, tile[f"__w_{b}"], mean)
+        whole = known & ~np.isnan(v["red"] + v["nir"] + v["swir1"])
+        mixed = np.flatnonzero(whole & ~water & ~land & tile.own)
+        ratios = [_over(v["red"], v["swir1"]), _over(v["nir"], v["swir1"])]
+        reach = _over(pure["red"], v["swir1"])
+        wide = [np.pad(a, r, constant_values=np.nan) for a in (*ratios, *v.values())]
+        y, x = np.divmod(mixed, i.shape[1])
+        row = wide[0].shape[1]
+        centre = (y + r) * row + x + r
+        flat = [a.ravel() for a in wide]
+        tops = [a.ravel()[mixed] for a in ratios]
+        lows = [t - reach.ravel()[mixed] for t in tops]
+        n, sums = np.zeros(len(mixed)), np.zeros((3, len(mixed)))
+        for dy in range(-r, r + 1):
+            for dx in range(-r, r + 1):
+                at = centre + dy * row + dx
+                first, second = flat[0][at], flat[1][at]
+                like = (first > lows[0]) & (first < tops[0]) & (second > lows[1]) & (second < tops[1])
+                if like.any():
+                    n += like
+                    for k in range(3):
+                        sums[k] += np.where(like, flat[2 + k][at], 0.0)
+        total = np.zeros(len(mixed))
+        for k, b in enumerate(bands):
+            ground = np.where(n >= 1, sums[k] / np.maximum(n, 1), tile[f"__l_{b}"].ravel()[mixed])
+            total += np.clip(_over(ground - v[b].ravel()[mixed], ground - pure[b].ravel()[mixed]), 0, 1)
+        result = np.where(whole, np.where(water, 1.0, 0.0), np.nan)
+        result.ravel()[mixed] = total / 3
+        return {out: result}
+
+    return tiled(d, ["__i", *bands, *means], r, fractions, f"{out} double", tile).drop("__i", *means)
 
 
 def latest_before(px: DataFrame, band: str, target: str, months: int = 2) -> DataFrame:
@@ -249,24 +301,34 @@ def fill_depth(px: DataFrame, water: str, dem: DataFrame, steps: int = 10, bound
     return d.withColumn(out, F.col("__d")).drop("__d", "__in", "__level", "elevation")
 
 
-def starfm(coarse: DataFrame, fine: DataFrame, band: str, target: str, r: int = 16, a: float = 0.5, days: int = 5, out: str = "predicted") -> DataFrame:
+def starfm(coarse: DataFrame, fine: DataFrame, band: str, target: str, r: int = 16, a: float = 0.5, days: int = 5, out: str = "predicted", tile: int = TILE) -> DataFrame:
     """Fine pixels predicted for the coarse scenes within ``days`` of the target, by weighted fusion.
 
     The base images are the latest valid values of the two months before the target. Spectral and
     temporal distances are averaged by nearness; a zero distance in time gives no weight, so NULL.
     """
     end = F.lit(target).cast("timestamp_ntz")
-    near = {(dy, dx): 1 + (dy * dy + dx * dx) ** 0.5 / a for dy, dx in square(r)}
+    away = np.arange(-r, r + 1)
+    kernel = 1 + np.hypot(away[:, None], away[None, :]) / a
     seen = fine.where((F.col("ts") < end) & (F.col("ts") >= end - F.expr("INTERVAL 2 MONTH")) & F.col(band).isNotNull())
     base = seen.groupBy(*YX).agg(F.max_by(band, F.struct("ts", "scene_id")).alias("__base"), F.max("ts").alias("__t0"))
     old = latest_before(coarse, band, target).withColumnRenamed(band, "__old")
     span = F.expr(f"INTERVAL {days} DAY")
     d = coarse.where((F.col("ts") >= end - span) & (F.col("ts") < end + span)).select("scene_id", *YX, "ts", band)
     d = d.join(base, YX).join(old, YX).withColumn("__away", F.abs(F.col(band) - F.col("__old")))
-    d = weighted_mean(d, "__away", "__s", near)
     since = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("__t0").cast("timestamp"))) / 86_400_000_000.0
-    d = weighted_mean(d.withColumn("__st", F.col("__s") * since), "__st", "__c", near)
-    d = weighted_mean(d.withColumn("__ic", F.try_divide(F.lit(1.0), F.col("__c"))), "__ic", "__icm", near)
-    d = weighted_mean(d.withColumn("__w", F.try_divide(F.col("__ic"), F.col("__icm"))), "__w", "__wm", near)
-    value = F.try_divide(F.col("__base"), F.col("__wm")) + F.col("__s")
-    return d.select("scene_id", *YX, "ts", value.alias(out))
+
+    def predicted(tile: Tile) -> dict[str, np.ndarray]:
+        def mean(a: np.ndarray) -> np.ndarray:
+            return np.where(tile.present, weighted_mean(a, kernel), np.nan)
+
+        def over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return a / np.where(b == 0, np.nan, b)
+
+        s = mean(tile["__away"])
+        close = over(np.ones_like(s), mean(s * tile["__since"]))
+        return {out: over(tile["__base"], mean(over(close, mean(close)))) + s}
+
+    # Four windows in a row: the halo holds all of them, so the scenes are shuffled once.
+    got = tiled(d.withColumn("__since", since), ["__away", "__since", "__base"], 4 * r, predicted, f"{out} double", max(tile, 8 * r))
+    return got.select("scene_id", *YX, "ts", out)

@@ -1,16 +1,18 @@
 """Moving-window operators over pixel DataFrames.
 
-Full square windows are two passes of range windows (rows, then columns). Everything else sends each
-pixel to the windows that hold it through a literal table of offsets and aggregates by target, so
-the shuffle is an equi-group by (scene_id, y, x). Neighbours that are missing or masked are skipped.
+Windows are computed in tiles with a halo (``tiles``): one shuffle, of each pixel to the tiles it touches. Small
+patterns of neighbours go through a literal table of offsets and an equi-group by (scene_id, y, x).
+Neighbours that are missing or masked are skipped.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .quantiles import quantile
+from .tiles import Tile, box_sum, distance2, shifts, tiled
 
 KEYS = ["scene_id", "y", "x"]
 
@@ -18,20 +20,22 @@ KEYS = ["scene_id", "y", "x"]
 def box_stats(px: DataFrame, band: str, r: int, prefix: str = "") -> DataFrame:
     """Adds ``mean``, ``var`` (population) and ``count`` of the (2r+1)-square window around each pixel.
 
-    Two passes, over rows and over columns; no task holds more than one of these. Masked pixels are rows
-    with NULL: where a row is absent, its whole row of the windows above and below it is not seen. A
-    variance that is less than the rounding of its sums (1e-12 of the mean square) is 0.
+    Only pixels that are there and not NULL count, wherever others are absent. A variance that is less
+    than the rounding of its sums (1e-12 of the mean square) is 0.
     """
-    rows = Window.partitionBy("scene_id", "y").orderBy("x").rangeBetween(-r, r)
-    columns = Window.partitionBy("scene_id", "x").orderBy("y").rangeBetween(-r, r)
-    v = F.col(band).cast("double")
-    d = px.withColumns({"__s": F.sum(v).over(rows), "__q": F.sum(v * v).over(rows), "__n": F.count(v).over(rows)})
-    d = d.withColumns({"__s": F.sum("__s").over(columns), "__q": F.sum("__q").over(columns), "__n": F.sum("__n").over(columns)})
-    mean, square = F.try_divide(F.col("__s"), F.col("__n")), F.try_divide(F.col("__q"), F.col("__n"))
-    var = square - mean * mean
-    return d.withColumns(
-        {f"{prefix}mean": mean, f"{prefix}var": F.when(var <= square * 1e-12, 0.0).otherwise(var), f"{prefix}count": F.col("__n")}
-    ).drop("__s", "__q", "__n")
+
+    def stats(tile: Tile) -> dict[str, np.ndarray]:
+        v = tile[band]
+        known = ~np.isnan(v)
+        n = box_sum(known.astype(float), r)
+        v = np.where(known, v, 0.0)
+        of = np.where(n > 0, n, np.nan)
+        mean, square = box_sum(v, r) / of, box_sum(v * v, r) / of
+        var = square - mean * mean
+        return {f"{prefix}mean": mean, f"{prefix}var": np.where(var <= square * 1e-12, 0.0, var), f"{prefix}count": n}
+
+    got = tiled(px, [band], r, stats, f"{prefix}mean double, {prefix}var double, {prefix}count double")
+    return got.withColumn(f"{prefix}count", F.col(f"{prefix}count").cast("long"))
 
 
 def square(r: int, centre: bool = True) -> list[tuple[int, int]]:
@@ -70,33 +74,67 @@ def gamma_map(px: DataFrame, band: str, out: str, window: int = 7, enl: float =
     return s.withColumn(out, F.when(F.col(band).isNotNull(), value)).drop("__p", "__mean", "__var", "__count")
 
 
-def lee_sigma(px: DataFrame, band: str, out: str, window: int = 9, eta: float = 0.5, tk: int = 7) -> DataFrame:
-    """Lee sigma filter: MMSE in the window, but groups of at least ``tk`` bright pixels stay."""
+#: The speckle's deviation by number of looks and by the share of pixels within the sigma range.
+SPECKLE_DEVIATION = {
+    1: {0.5: 0.4057, 0.6: 0.4954, 0.7: 0.5911, 0.8: 0.6966, 0.9: 0.8191, 0.95: 0.8599},
+    2: {0.5: 0.2763, 0.6: 0.3388, 0.7: 0.4062, 0.8: 0.4819, 0.9: 0.5699, 0.95: 0.6254},
+    3: {0.5: 0.2222, 0.6: 0.2736, 0.7: 0.3280, 0.8: 0.3892, 0.9: 0.4624, 0.95: 0.5084},
+    4: {0.5: 0.1921, 0.6: 0.2348, 0.7: 0.2825, 0.8: 0.3354, 0.9: 0.3991, 0.95: 0.4391},
+}
+
+
+def lee_sigma(px: DataFrame, band: str, out: str, window: int = 9, sigma: float = 0.9, looks: int = 4, tk: int = 7) -> DataFrame:
+    """Lee sigma filter of a band in decibels: MMSE in the window, but what has ``tk`` bright pixels around it stays.
+
+    Bright is what reaches the scene's 99th percentile; a pixel keeps its value if its 3 x 3 window has
+    at least ``tk`` of these, bright itself or not. The window's focus is right of and below its middle,
+    at window // 2 + 1 if the window is odd. ``sigma`` and ``looks`` pick the speckle's deviation.
+    """
+    eta = SPECKLE_DEVIATION[looks][sigma] ** 2
+    focus = window // 2 + window % 2
     power = px.withColumn("__p", F.pow(F.lit(10.0), F.col(band) / 10))
-    s = box_stats(power, "__p", window // 2, "__")
-    z, v, x = F.col("__mean"), F.col("__var"), F.col("__p")
-    varx = (v - z * z * eta * eta) / (1 + eta * eta)
-    b = F.coalesce(F.try_divide(varx, v), F.lit(0.0))
-    s = s.withColumn("__mmse", (1 - b) * F.abs(z) + b * x)
     top = quantile(power, ["scene_id"], "__p", 0.99, "__p99", order=band)
-    s = s.join(top, "scene_id", "left").withColumn("__bright", (x >= F.col("__p99")).cast("int")).drop("__p99")
-    k = box_stats(s, "__bright", 1, "__k_")
-    value = F.when((F.col("__k_mean") * F.col("__k_count") >= tk - 1e-9) & (F.col("__bright") == 1), x).otherwise(F.col("__mmse"))
-    db = 10 * F.when(value > 0, F.log10(value))
-    return k.withColumn(out, db).drop("__p", "__mean", "__var", "__count", "__mmse", "__bright", "__k_mean", "__k_var", "__k_count")
+
+    def filtered(tile: Tile) -> dict[str, np.ndarray]:
+        p = tile["__p"]
+        known = ~np.isnan(p)
+        low, high = -focus, window - 1 - focus
+        n = box_sum(known.astype(float), low, high)
+        n[n == 0] = np.nan
+        v = np.where(known, p, 0.0)
+        z, squares = box_sum(v, low, high) / n, box_sum(v * v, low, high) / n
+        var = squares - z * z
+        var = np.where(var <= squares * 1e-12, 0.0, var)
+        b = np.where(var == 0, 0.0, (var - z * z * eta) / (1 + eta) / var)
+        mmse = (1 - b) * np.abs(z) + b * p
+        around = box_sum((p >= tile["__p99"]).astype(float), 1)
+        value = np.where(around >= tk, p, mmse)
+        return {out: np.where(known & (value > 0), 10 * np.log10(value), np.nan)}
+
+    got = tiled(power.join(top, "scene_id", "left"), ["__p", "__p99"], max(focus, 1), filtered, f"{out} double")
+    return got.drop("__p", "__p99")
 
 
 def p_median(px: DataFrame, band: str, out: str, window: int = 5) -> DataFrame:
     """Mean of the medians over the cross and over the two diagonals of the window."""
     r = window // 2
-    offsets = [(dy, dx) for dy, dx in square(r) if dy == 0 or dx == 0 or abs(dy) == abs(dx)]
-    cross = (F.col("dy") == 0) | (F.col("dx") == 0)
-    diagonal = F.abs("dy") == F.abs("dx")
-    half = F.lit(0.5)
-    got = focal(
-        px, [band], offsets, __a=F.percentile(F.when(cross, F.col(band)), half), __b=F.percentile(F.when(diagonal, F.col(band)), half)
-    )
-    return got.withColumn(out, F.when(F.col(band).isNotNull(), (F.col("__a") + F.col("__b")) / 2)).drop("__a", "__b")
+    cross = [(dy, dx) for dy, dx in square(r) if dy == 0 or dx == 0]
+    diagonals = [(dy, dx) for dy, dx in square(r) if abs(dy) == abs(dx)]
+
+    def medians(tile: Tile) -> dict[str, np.ndarray]:
+        v = tile[band]
+        both = [median(np.stack(list(shifts(v, lines)))) for lines in (cross, diagonals)]
+        return {out: np.where(np.isnan(v), np.nan, (both[0] + both[1]) / 2)}
+
+    return tiled(px, [band], r, medians, f"{out} double")
+
+
+def median(stack: np.ndarray) -> np.ndarray:
+    """Medians along the first axis of the values that are no NaN; NaN without any."""
+    stack = np.sort(stack, axis=0)
+    n = (~np.isnan(stack)).sum(axis=0)[None]
+    low, high = (np.take_along_axis(stack, np.maximum(i, 0), axis=0)[0] for i in ((n - 1) // 2, n // 2))
+    return np.where(n[0] == 0, np.nan, np.where(n[0] % 2, low, low + (high - low) * 0.5))
 
 
 def perona_malik(px: DataFrame, band: str, out: str, n_iters: int = 10, k: float = 3.0, method: int = 1) -> DataFrame:
@@ -121,32 +159,37 @@ def perona_malik(px: DataFrame, band: str, out: str, n_iters: int = 10, k: float
     return d.withColumn(out, 10 * F.when(F.col("__i") > 0, F.log10("__i"))).drop("__i")
 
 
-def modified_median_zscore(px: DataFrame, band: str, out: str, limit: float = 3.5) -> DataFrame:
-    """Replaces high outliers of the 3 x 3 window by the median of the eight neighbours."""
-    half = F.lit(0.5)
-    ring = (F.col("dy") != 0) | (F.col("dx") != 0)
-    first = focal(px, [band], square(1), __med=F.percentile(band, half), __ring=F.percentile(F.when(ring, F.col(band)), half))
-    away = first.withColumn("__abs", F.abs(F.col(band) - F.col("__med")))
-    second = focal(away, ["__abs"], square(1), __mad=F.percentile("__abs", half))
-    z = F.try_divide(0.6745 * (F.col(band) - F.col("__med")), F.col("__mad"))
-    return second.withColumn(out, F.when(z > limit, F.col("__ring")).otherwise(F.col(band))).drop("__med", "__ring", "__abs", "__mad")
+def modified_median_zscore(px: DataFrame, band: str, out: str, limit: float = 3.5, fill: str | None = None) -> DataFrame:
+    """``fill`` (by default the band itself) with the median of the eight neighbours where the band is a high outlier of its 3 x 3 window."""
+    bands = [band] + [fill] * (fill is not None)
 
+    def replaced(tile: Tile) -> dict[str, np.ndarray]:
+        v = tile[band]
+        middle = median(np.stack(list(shifts(v, square(1)))))
+        away = median(np.stack(list(shifts(np.abs(v - middle), square(1)))))
+        z = 0.6745 * (v - middle) / np.where(away == 0, np.nan, away)
+        ring = median(np.stack(list(shifts(v, square(1, centre=False)))))
+        return {out: np.where(z > limit, ring, tile[fill] if fill else v)}
 
-def _disc(r: int) -> list[tuple[int, int]]:
-    return [(dy, dx) for dy, dx in square(r) if dy * dy + dx * dx <= r * r]
+    return tiled(px, bands, 2, replaced, f"{out} double")
 
 
 def erode(px: DataFrame, band: str, out: str, r: int = 3) -> DataFrame:
     """1 where no 0 lies within distance ``r``; masked pixels stay masked."""
-    got = focal(px, [band], _disc(r), __low=F.min(band))
-    return got.withColumn(out, F.when(F.col(band).isNotNull(), (F.col("__low") == 1).cast("int"))).drop("__low")
+
+    def low(tile: Tile) -> dict[str, np.ndarray]:
+        return {out: np.where(np.isnan(tile[band]), np.nan, distance2(tile[band] == 0, r) > r * r)}
+
+    return tiled(px, [band], r, low, f"{out} int")
 
 
 def dilate(px: DataFrame, band: str, out: str, r: int = 3) -> DataFrame:
     """1 where a 1 lies nearer than ``r``; masked pixels stay masked."""
-    inside = [(dy, dx) for dy, dx in square(r) if dy * dy + dx * dx < r * r]
-    got = focal(px, [band], inside, __high=F.max(band))
-    return got.withColumn(out, F.when(F.col(band).isNotNull(), (F.col("__high") == 1).cast("int"))).drop("__high")
+
+    def high(tile: Tile) -> dict[str, np.ndarray]:
+        return {out: np.where(np.isnan(tile[band]), np.nan, distance2(tile[band] == 1, r) < r * r)}
+
+    return tiled(px, [band], r, high, f"{out} int")
 
 
 def open_binary(px: DataFrame, band: str, out: str, r: int = 3) -> DataFrame:
@@ -172,41 +215,42 @@ def refined_lee(px: DataFrame, band: str, out: str) -> DataFrame:
     first counts; a gradient with a side off the scene does not count, and a pixel without any gradient
     keeps its value. Half windows of no variance give their mean.
     """
-    power = px.withColumn("__p", F.pow(F.lit(10.0), F.col(band) / 10))
-    means = box_stats(power, "__p", 1, "__b_")
     spots = [(dy, dx) for dy in (-2, 0, 2) for dx in (-2, 0, 2)]
-    dy, dx, p = F.col("dy"), F.col("dx"), F.col("__p")
-    ratio = F.try_divide(F.col("__b_var"), F.col("__b_mean") * F.col("__b_mean"))
-    wanted = {}
-    for i, (sy, sx) in enumerate(spots):
-        here = (dy == sy) & (dx == sx)
-        wanted |= {f"__m{i}": F.max(F.when(here, F.col("__b_mean"))), f"__r{i}": F.max(F.when(here, ratio))}
-    for k, half in enumerate(_HALVES):
-        value = F.when(half(dy, dx), p)
-        wanted |= {f"__h{k}": F.avg(value), f"__v{k}": F.var_pop(value)}
-    got = focal(means, ["__p", "__b_mean", "__b_var"], square(3), **wanted)
-    m = [F.col(f"__m{i}") for i in range(9)]
-    across = [(m[1], m[7]), (m[6], m[2]), (m[3], m[5]), (m[0], m[8])]
-    steepest = F.greatest(*[F.abs(a - b) for a, b in across])
-    mean, var = F.lit(None).cast("double"), F.lit(None).cast("double")
-    for k, (a, b) in reversed(list(enumerate(across))):
-        chosen, near = F.abs(a - b) == steepest, a - m[4] > m[4] - b
-        mean = F.when(chosen, F.when(near, F.col(f"__h{k}")).otherwise(F.col(f"__h{k + 4}"))).otherwise(mean)
-        var = F.when(chosen, F.when(near, F.col(f"__v{k}")).otherwise(F.col(f"__v{k + 4}"))).otherwise(var)
-    least = F.slice(F.array_sort(F.array_compact(F.array(*[F.col(f"__r{i}") for i in range(9)]))), 1, 5)
-    noise = F.try_divide(F.aggregate(least, F.lit(0.0), lambda s, v: s + v), F.size(least))
-    got = got.withColumns({"__mean": mean, "__var": var, "__noise": noise})
-    signal = (F.col("__var") - F.col("__mean") * F.col("__mean") * F.col("__noise")) / (F.col("__noise") + 1)
-    share = F.coalesce(F.try_divide(signal, F.col("__var")), F.lit(0.0))
-    value = F.coalesce(F.col("__mean") + share * (p - F.col("__mean")), p)
-    db = F.when(F.col(band).isNotNull(), 10 * F.when(value > 0, F.log10(value)))
-    return got.withColumn(out, db).drop("__p", "__b_mean", "__b_var", "__b_count", "__mean", "__var", "__noise", *wanted)
-
-
-def weighted_mean(px: DataFrame, band: str, out: str, weight: dict[tuple[int, int], float]) -> DataFrame:
-    """Mean of ``band`` over the offsets of ``weight``, by weight; offsets without a value do not count."""
-    w = F.lit(None).cast("double")
-    for (dy, dx), value in weight.items():
-        w = F.when((F.col("dy") == dy) & (F.col("dx") == dx), value).otherwise(w)
-    got = focal(px, [band], list(weight), __sum=F.sum(w * F.col(band)), __of=F.sum(F.when(F.col(band).isNotNull(), w)))
-    return got.withColumn(out, F.try_divide(F.col("__sum"), F.col("__of"))).drop("__sum", "__of")
+
+    def filtered(tile: Tile) -> dict[str, np.ndarray]:
+        p = 10.0 ** (tile[band] / 10)
+        known = ~np.isnan(p)
+        n = box_sum(known.astype(float), 1)
+        n[n == 0] = np.nan
+        near = np.where(known, p, 0.0)
+        mean, squares = box_sum(near, 1) / n, box_sum(near * near, 1) / n
+        var = squares - mean * mean
+        var = np.where(var <= squares * 1e-12, 0.0, var)
+        # Windows stand only around pixels of the scene.
+        mean, var = (np.where(tile.present, a, np.nan) for a in (mean, var))
+        ratio = np.sort(np.stack(list(shifts(var / np.where(mean == 0, np.nan, mean * mean), spots))), axis=0)[:5]
+        of = (~np.isnan(ratio)).sum(axis=0)
+        noise = np.nansum(ratio, axis=0) / np.where(of == 0, np.nan, of)
+        m = list(shifts(mean, spots))
+        across = [(m[1], m[7]), (m[6], m[2]), (m[3], m[5]), (m[0], m[8])]
+        steep = np.stack([np.abs(a - b) for a, b in across])
+        flat = np.isnan(steep).all(axis=0)
+        chosen = np.nan_to_num(steep, nan=-1.0).argmax(axis=0)
+        a, b = (np.take_along_axis(np.stack([pair[i] for pair in across]), chosen[None], axis=0)[0] for i in (0, 1))
+        half = chosen + np.where(a - m[4] > m[4] - b, 0, 4)
+        out_mean, out_var = np.full(p.shape, np.nan), np.full(p.shape, np.nan)
+        for k, inside in enumerate(_HALVES):
+            side = np.stack(list(shifts(p, [(dy, dx) for dy, dx in square(3) if inside(dy, dx)])))
+            here = (half == k) & ~flat
+            count = (~np.isnan(side)).sum(axis=0)
+            count = np.where(count == 0, np.nan, count)
+            middle = np.nansum(side, axis=0) / count
+            out_mean[here] = middle[here]
+            out_var[here] = (np.nansum((side - middle) ** 2, axis=0) / count)[here]
+        signal = (out_var - out_mean * out_mean * noise) / (noise + 1)
+        share = signal / np.where(out_var == 0, np.nan, out_var)
+        value = out_mean + np.where(np.isnan(share), 0.0, share) * (p - out_mean)
+        value = np.where(np.isnan(value), p, value)
+        return {out: np.where(known & (value > 0), 10 * np.log10(value), np.nan)}
+
+    return tiled(px, [band], 3, filtered, f"{out} double")

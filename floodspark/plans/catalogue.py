@@ -392,11 +392,13 @@ def log_amplitude_ratio(spark, d):
     return rounded(view(spark, d, "sar_px").select(*YX, floods.log_amplitude_ratio(F.col("vv"), F.col("vh")).alias("ratio")))
 
 
-@query("""SELECT s.scene_id, s.y, s.x, (elevation < lo + (hi - lo) * f)::int AS water FROM (SELECT s.*, elevation,
-       min(elevation) OVER w AS lo, max(elevation) OVER w AS hi, avg(nir) OVER w AS f FROM opt_px s JOIN dem USING (y, x)
-       WINDOW w AS (PARTITION BY scene_id, s.y // 5, s.x // 5)) s""")
+@query("""SELECT * FROM (WITH d AS (SELECT scene_id, y, x, elevation AS z, CASE WHEN red < 0.4 THEN 0 ELSE nir END AS f FROM opt_px JOIN dem USING (y, x)),
+  r AS (SELECT a.scene_id, a.y, a.x, any_value(a.z) AS z, any_value(a.f) AS f, min(b.z) FILTER (b.f > 0) AS lo, max(b.z) FILTER (b.f > 0) AS hi
+        FROM d a JOIN d b ON a.scene_id = b.scene_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL)
+  SELECT scene_id, y, x, (z >= lo AND z < lo + (hi - lo) * f)::int AS water FROM r) /* opt_px dem */""")
 def downscale_fraction(spark, d):
-    return floods.downscale_fraction(view(spark, d, "opt_px"), "nir", view(spark, d, "dem"), 5).select(*YX, "water")
+    px = view(spark, d, "opt_px").withColumn("f", F.when(F.col("red") < 0.4, 0.0).otherwise(F.col("nir")))
+    return floods.downscale_fraction(px, "f", view(spark, d, "dem"), 2).select(*YX, "water")
 
 
 @query("SELECT y, x, round(arg_max(nir, epoch_us(ts)::hugeint * 100000 + scene_id), 6) AS nir FROM opt_px WHERE ts < TIMESTAMP '2024-01-20' AND ts >= TIMESTAMP '2023-11-20' GROUP BY ALL")

@@ -40,10 +40,12 @@ def gamma_map(spark, d):
 
 
 @query(f"""SELECT * FROM (WITH p AS ({_power()}),
-  s AS ({_box('p', 4, 'any_value(a.p) AS p, avg(b.p) AS z, var_pop(b.p) AS v')}),
-  m AS (SELECT *, coalesce((v - z * z * 0.25) / 1.25 / nullif(v, 0), 0) AS b, (p >= quantile_cont(p, 0.99) OVER (PARTITION BY scene_id))::int AS bright FROM s),
-  k AS ({_box('m', 1, 'any_value(a.p) AS p, any_value((1 - a.b) * abs(a.z) + a.b * a.p) AS mmse, any_value(a.bright) AS bright, sum(b.bright) AS k')}),
-  w AS (SELECT *, CASE WHEN k >= 7 AND bright = 1 THEN p ELSE mmse END AS w FROM k)
+  s AS (SELECT a.scene_id, a.y, a.x, any_value(a.p) AS p, avg(b.p) AS z, var_pop(b.p) AS v FROM p a JOIN p b
+        ON a.scene_id = b.scene_id AND b.y - a.y BETWEEN -5 AND 3 AND b.x - a.x BETWEEN -5 AND 3 GROUP BY ALL),
+  m AS (SELECT *, coalesce((v - z * z * {0.3991**2}::double) / {1 + 0.3991**2}::double / nullif(v, 0), 0) AS b,
+        (p >= quantile_cont(p, 0.99) OVER (PARTITION BY scene_id))::int AS bright FROM s),
+  k AS ({_box('m', 1, 'any_value(a.p) AS p, any_value((1 - a.b) * abs(a.z) + a.b * a.p) AS mmse, sum(b.bright) AS k')}),
+  w AS (SELECT *, CASE WHEN k >= 7 THEN p ELSE mmse END AS w FROM k)
   SELECT scene_id, y, x, round({_DB.format('w')}, 4) + 0.0 AS out FROM w) /* sar_px */""")
 def lee_sigma(spark, d):
     return rounded(focal.lee_sigma(view(spark, d, "sar_px"), "vv", "out").select(*YX, "out"), 4)
@@ -166,14 +168,33 @@ def illumination_correction(spark, d):
 
 # --- water by relief -----------------------------------------------------------------------------------
 
-@query(f"""SELECT * FROM (WITH d AS (SELECT scene_id, s.y, s.x, (vv < -20)::int AS w, elevation FROM sar_px s JOIN dem USING (y, x)),
-  near AS (SELECT a.scene_id, a.y, a.x, b.elevation - a.elevation AS raw FROM d a JOIN d b ON a.scene_id = b.scene_id AND a.w = 1 AND b.w = 0
-    QUALIFY row_number() OVER (PARTITION BY a.scene_id, a.y, a.x ORDER BY (a.y - b.y) ^ 2 + (a.x - b.x) ^ 2, b.elevation) = 1),
-  p AS (SELECT d.scene_id, d.y, d.x, raw FROM d LEFT JOIN near USING (scene_id, y, x) WHERE w = 1)
-  {_box('p', 3, 'round(CASE WHEN any_value(a.raw) IS NOT NULL THEN greatest(avg(b.raw), 0) END, 8) + 0.0 AS depth')}) /* sar_px dem */""")
+def _relaxed(rounds: int) -> str:
+    """Path costs p0, p1 and p2 of the rows g, by rounds in which each pixel looks at its eight neighbours."""
+    start = ", ".join(f"CASE WHEN dry THEN 0 ELSE 'inf'::double END AS p{i}" for i in range(3))
+    step = "(a.c{0} + b.c{0}) / 2 * CASE WHEN a.y <> b.y AND a.x <> b.x THEN sqrt(2.0::double) ELSE 1 END"
+    best = ", ".join(f"least(any_value(a.p{i}), min(b.p{i} + {step.format(i)})) AS p{i}" for i in range(3))
+    kept = ", ".join(f"any_value(a.{c}) AS {c}" for c in ("z", "dry", "c0", "c1", "c2"))
+    out = [f"r0 AS MATERIALIZED (SELECT *, {start} FROM g)"]
+    for i in range(rounds):
+        near = "abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND (a.y, a.x) <> (b.y, b.x)"
+        joined = f"FROM r{i} a LEFT JOIN r{i} b ON a.scene_id = b.scene_id AND {near} GROUP BY a.scene_id, a.y, a.x"
+        out.append(f"r{i + 1} AS MATERIALIZED (SELECT a.scene_id, a.y, a.x, {kept}, {best} {joined})")
+    return ", ".join(out)
+
+
+#: Enough rounds for every path over water in these scenes; one more changes no row.
+_ROUNDS = 14
+
+
+@query(f"""SELECT * FROM (WITH w AS (SELECT scene_id, s.y, s.x, elevation AS z, vv >= -20 AS dry FROM sar_px s JOIN dem USING (y, x)),
+  g AS (SELECT *, CASE WHEN dry THEN 0 ELSE 10000 END::double AS c0, CASE WHEN dry THEN 1 ELSE 10000 END::double AS c1,
+        CASE WHEN dry THEN z ELSE 10000 END AS c2 FROM w), {_relaxed(_ROUNDS)},
+  d AS (SELECT scene_id, y, x, dry, CASE WHEN dry THEN 0 WHEN isfinite(p0) THEN (p2 - p0) / (p1 - p0) - z END AS raw FROM r{_ROUNDS}),
+  m AS ({_box('d', 3, 'any_value(a.dry) AS dry, any_value(a.raw) AS raw, avg(b.raw) AS mean')})
+  SELECT scene_id, y, x, round(CASE WHEN raw IS NOT NULL THEN greatest(mean, 0) END, 6) + 0.0 AS depth FROM m WHERE NOT dry) /* sar_px dem */""")
 def water_depth(spark, d):
     px = view(spark, d, "sar_px").withColumn("w", (F.col("vv") < -20).cast("int")).select(*YX, "w")
-    return rounded(floods.water_depth(px, "w", view(spark, d, "dem")).select(*YX, "depth"), 8)
+    return rounded(floods.water_depth(px, "w", view(spark, d, "dem")).select(*YX, "depth"))
 
 
 @query("""SELECT * FROM (WITH d AS (SELECT scene_id, o.y, o.x, nir, hand, o.y // 5 AS cy, o.x // 5 AS cx FROM opt_px o JOIN dem USING (y, x)),
@@ -184,20 +205,38 @@ def bathtub(spark, d):
     return floods.bathtub(view(spark, d, "opt_px"), "nir", view(spark, d, "dem"), 5)
 
 
-def _pure(band: str) -> str:
-    return f"avg(b.{band}) FILTER (b.i > 0.15) AS w_{band}, avg(b.{band}) FILTER (b.i < -0.15) AS l_{band}"
+_BANDS = ("red", "nir", "swir1")
 
 
-def _mixed(band: str) -> str:
-    return f"CASE WHEN l_{band} - w_{band} <> 0 THEN greatest(0, least(1, (l_{band} - {band}) / (l_{band} - w_{band}))) END"
+def _dnns_sql(r: int) -> str:
+    """Every division by zero gives 0; water and land are sums over the number of all pixels where nothing pure is near."""
+    over = "coalesce(({0}) / nullif({1}, 0), 0)".format
+    means = ", ".join(f"avg((i {side})::int * {b}) AS {k}_{b}" for k, side in (("w", "> 0.15"), ("l", "< -0.15")) for b in _BANDS)
+    kept = ", ".join(f"any_value(a.{c}) AS {c}" for c in ("i", "r1", "r2", *_BANDS))
+    pure = ", ".join(f"{over(f'sum(b.{b}) FILTER (b.i > 0.15)', 'count(*) FILTER (b.i > 0.15)')} AS near_{b}" for b in _BANDS)
+    filled = ", ".join(f"CASE WHEN near_{b} = 0 THEN w_{b} ELSE near_{b} END AS p_{b}" for b in _BANDS)
+    like = "b.r1 > a.lo1 AND b.r1 < a.r1 AND b.r2 > a.lo2 AND b.r2 < a.r2"
+    same = ", ".join(f"any_value(a.{k}{b}) AS {k}{b}" for k in ("", "p_", "l_") for b in _BANDS)
+    lands = ", ".join(f"avg(b.{b}) FILTER ({like}) AS g_{b}" for b in _BANDS)
+    share = " + ".join(f"greatest(0, least(1, {over(f'coalesce(g_{b}, l_{b}) - {b}', f'coalesce(g_{b}, l_{b}) - p_{b}')}))" for b in _BANDS)
+    return f"""SELECT * FROM (WITH d AS (SELECT *, (green - swir1) / nullif(green + swir1, 0) AS i, {over('red', 'swir1')} AS r1, {over('nir', 'swir1')} AS r2 FROM opt_px),
+  s AS (SELECT scene_id, {means} FROM d GROUP BY 1),
+  n AS ({_box('d', r, f'{kept}, {pure}')}),
+  f AS (SELECT n.*, {filled}, l_red, l_nir, l_swir1 FROM n JOIN s USING (scene_id)),
+  t AS (SELECT *, r1 - {over('p_red', 'swir1')} AS lo1, r2 - {over('p_red', 'swir1')} AS lo2 FROM f),
+  g AS ({_box('t', r, f'any_value(a.i) AS i, {same}, {lands}')})
+  SELECT scene_id, y, x, round(CASE WHEN i > 0.15 THEN 1 WHEN i < -0.15 THEN 0 WHEN i IS NOT NULL THEN ({share}) / 3 END, 6) + 0.0 AS fraction FROM g) /* opt_px */"""
 
 
-@query(f"""SELECT * FROM (WITH d AS (SELECT *, (green - swir1) / nullif(green + swir1, 0) AS i FROM opt_px),
-  n AS ({_box('d', 2, f"any_value(a.i) AS i, any_value(a.nir) AS nir, any_value(a.swir1) AS swir1, {_pure('nir')}, {_pure('swir1')}")})
-  SELECT scene_id, y, x, round(CASE WHEN i > 0.15 THEN 1 WHEN i < -0.15 THEN 0 ELSE ({_mixed('nir')} + {_mixed('swir1')}) / 2 END, 7) + 0.0 AS fraction
-  FROM n) /* opt_px */""")
+@query(_dnns_sql(3))
 def dnns(spark, d):
-    return rounded(floods.dnns(view(spark, d, "opt_px"), 2).select(*YX, "fraction"), 7)
+    return rounded(floods.dnns(view(spark, d, "opt_px"), 3).select(*YX, "fraction"))
+
+
+@query(_dnns_sql(40))
+def dnns_wide(spark, d):
+    """The search over its own 81 x 81 windows."""
+    return rounded(floods.dnns(view(spark, d, "opt_px")).select(*YX, "fraction"))
 
 
 # --- fits and series -----------------------------------------------------------------------------------
