@@ -38,17 +38,17 @@ from .common import cut_lineage, written
 MIN_DOCS, TOP, UNIT = 3, 200, 1_000_000_000
 SEATS, SEATED, BLOCK_TERMS = 4, 256, 4096
 #: Terms that a task counts before it passes their counts on.
-HELD_TERMS, WHOLE_BYTES = 200_000, 1 << 22
+HELD_TERMS, WHOLE_BYTES = 400_000, 1 << 22
 #: Languages or groups that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _COUNTS = "lang string, source string, term string, n long, docs long"
 
 
-def terms_of(text: bytes) -> Iterator[bytes]:
+def terms_of(text: bytes) -> list[bytes] | Iterator[bytes]:
     """Runs of ASCII letters, lower-cased, and of all characters beyond ASCII; of very long texts one by one."""
     text = text.lower()
-    return iter(_TERM.findall(text)) if len(text) <= WHOLE_BYTES else (m.group() for m in _TERM.finditer(text))
+    return _TERM.findall(text) if len(text) <= WHOLE_BYTES else (m.group() for m in _TERM.finditer(text))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,10 +76,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").cast(pa.large_binary())
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts):
             n, docs = held.setdefault((lang, source), (Counter(), Counter()))
-            text = text.as_py()
+            found = terms_of(text.as_py())
             size -= len(docs)
-            n.update(terms_of(text))
-            docs.update(set(terms_of(text)))
+            n.update(found)
+            docs.update(set(found if isinstance(found, list) else terms_of(text.as_py())))
             size += len(docs)
             if size > HELD_TERMS:
                 yield from passed()

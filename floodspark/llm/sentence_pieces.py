@@ -13,7 +13,7 @@ block of texts of about a megabyte, or one longer text.
 Defined cases: a null text is encoded as an empty one (the end id alone), a null list of ids is
 decoded as an empty one; the end id has the empty span at the text's end; of a character without a
 piece the last byte's piece holds its span and those before are empty; bytes that are no UTF-8 are
-decoded as U+FFFD each; ids outside the vocabulary make the decoded text null. Rows keep their order
+decoded as U+FFFD each; ids outside the vocabulary, null ones too, make the decoded text null. Rows keep their order
 and number, repeated rows repeat the result, and columns of any name pass through.
 """
 
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 MARK = "▁"
-MODEL_BYTES, REMEMBERED, REMEMBERED_CHARS = 64 << 20, 1 << 17, 48
-BLOCK_BYTES = 1 << 20
+MODEL_BYTES, REMEMBERED, REMEMBERED_CHARS = 64 << 20, 200_000, 48
+SCANNED_CHARS, BLOCK_BYTES = 64, 1 << 20
 #: The kinds of pieces and the replacement of an unknown piece in the model's format.
 UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 3, 4, 5, 6
 UNKNOWN_SURFACE = " ⁇ "
@@ -217,31 +217,62 @@ class Vocabulary:
             raise ValueError(f"pieces with a mark after another character, such as {inner[0]!r}, can't be merged in parts")
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.end_id = self.pieces.index(training.get(47, b"</s>").decode())
-        self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
         self.part = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        order = {score: i for i, score in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
+        self.ranks = {p: order[self.scores[i]] for p, i in self.ids.items()}
+        #: (id, bytes of the normalised text) of each piece, as 32-bit integers.
+        self.packed = {p: struct.pack("ii", i, len(p.encode())) for p, i in self.ids.items()}
         #: What each id adds to a decoded text, in bytes.
-        self.said = [
+        said = [
             b"" if k == CONTROL else UNKNOWN_SURFACE.encode() if k == UNKNOWN
             else bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode()
             for p, k in zip(self.pieces, self.kinds)
         ]
+        self.said_bytes = np.frombuffer(b"".join(said), np.uint8)
+        self.said_sizes = np.array([len(b) for b in said])
+        self.said_starts = np.cumsum(self.said_sizes) - self.said_sizes
+        self.kind_of = np.array(self.kinds)
+
+    def surface(self, ids: np.ndarray) -> bytes:
+        """What ``ids`` add to a text, one after another."""
+        sizes = self.said_sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.said_starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return self.said_bytes[at].tobytes()
 
     def merged(self, part: str) -> list[str]:
         """The pieces of a part: the best pair of neighbours is merged, of equals the leftmost, until none is known."""
+        if len(part) > SCANNED_CHARS:
+            return self._merged_by_heap(part)
+        symbols, known, none = list(part), self.ranks.get, len(self.ranks)
+        ranks = [known(part[i : i + 2], none) for i in range(len(part) - 1)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            symbols[i] = both = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = known(both + symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = known(symbols[i - 1] + both, none)
+        return symbols
+
+    def _merged_by_heap(self, part: str) -> list[str]:
         symbols: list[str | None] = list(part)
         before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
-        heap: list[tuple[float, int, int, str]] = []
+        heap: list[tuple[int, int, int, str]] = []
 
         def offer(left: int, right: int) -> None:
             if left >= 0 and right >= 0:
                 both = symbols[left] + symbols[right]
-                found = self.ids.get(both)
-                if found is not None:
-                    heap.append((-self.scores[found], left, right, both))
+                rank = self.ranks.get(both)
+                if rank is not None:
+                    heapq.heappush(heap, (rank, left, right, both))
 
         for i in range(1, len(symbols)):
             offer(i - 1, i)
-        heapq.heapify(heap)
         while heap:
             _, left, right, both = heapq.heappop(heap)
             if symbols[left] is None or symbols[right] is None or after[left] != right or symbols[left] + symbols[right] != both:
@@ -250,38 +281,38 @@ class Vocabulary:
             after[left] = after[right]
             if after[right] >= 0:
                 before[after[right]] = left
-            for pair in ((before[left], left), (left, after[left])):
-                size = len(heap)
-                offer(*pair)
-                if len(heap) > size:
-                    heapq.heappush(heap, heap.pop())
+            offer(before[left], left)
+            offer(left, after[left])
         return [s for s in symbols if s is not None]
 
     def numbered(self, part: str) -> bytes:
         """(id, bytes of the normalised text) of each piece of a part, as 32-bit integers in a row."""
-        out: list[int] = []
-        for piece in self.merged(part):
-            found = self.ids.get(piece)
-            raw = piece.encode()
-            if found is not None:
-                out += (found, len(raw))
-            else:
-                for i, byte in enumerate(raw):
-                    out += (self.bytes[byte], len(raw) if i == len(raw) - 1 else 0)
-        return np.array(out, np.int32).tobytes()
+        pieces = self.merged(part)
+        try:
+            return b"".join([self.packed[p] for p in pieces])
+        except KeyError:
+            out = []
+            for piece in pieces:
+                raw = piece.encode()
+                last = len(raw) - 1
+                out.append(self.packed.get(piece) or b"".join(struct.pack("ii", self.bytes[b], len(raw) * (i == last)) for i, b in enumerate(raw)))
+            return b"".join(out)
 
 
 class _Known(dict):
-    """The numbered pieces of parts, computed when first met."""
+    """The numbered pieces of parts, computed when first met; those of the generation before are kept if met again."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.before = vocabulary, {}
 
     def __missing__(self, part: str) -> bytes:
-        found = self.vocabulary.numbered(part)
+        found = self.before.get(part)
+        if found is None:
+            found = self.vocabulary.numbered(part)
         if len(part) <= REMEMBERED_CHARS:
             if len(self) >= REMEMBERED:
+                self.before = dict(self)
                 self.clear()
             self[part] = found
         return found
@@ -319,22 +350,25 @@ def _text_of(raw: bytes) -> str:
     return "".join(out)
 
 
-def decode_ids(vocabulary: Vocabulary, ids: list[int]) -> str | None:
+def decode_ids(vocabulary: Vocabulary, ids: np.ndarray | list[int]) -> str | None:
     """The text of ``ids``; the mark that normalisation put in front goes. A control id ends a run of byte pieces."""
-    said, kinds = vocabulary.said, vocabulary.kinds
-    if ids and (min(ids) < 0 or max(ids) >= len(said)):
+    ids = np.asarray(ids, np.int64)
+    if not len(ids):
+        return ""
+    if ids.min() < 0 or ids.max() >= len(vocabulary.pieces):
         return None
-    shown = [i for i in ids if kinds[i] != CONTROL]
-    normal, joined = vocabulary.normaliser, b"".join([said[i] for i in shown])
-    mark = bool(shown) and kinds[shown[0]] == 1 and joined[:1] == b" " and (normal.dummy_prefix or normal.strip)
+    controls = vocabulary.kind_of[ids] == CONTROL
+    normal, joined = vocabulary.normaliser, vocabulary.surface(ids)
+    first = vocabulary.kind_of[ids[np.argmin(controls)]]
+    mark = first == 1 and joined[:1] == b" " and (normal.dummy_prefix or normal.strip)
     try:
         text = joined.decode()
-        if vocabulary.controls.isdisjoint(ids[1:-1]):
+        if not controls[1:-1].any():
             return text[mark:]
     except UnicodeDecodeError:
         pass
-    runs = groupby(ids, lambda i: kinds[i] == CONTROL)
-    return "".join(_text_of(b"".join([said[i] for i in run])) for control, run in runs if not control)[mark:]
+    runs = np.split(ids, np.flatnonzero(controls))
+    return "".join(_text_of(vocabulary.surface(run)) for run in runs)[mark:]
 
 
 def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -362,7 +396,7 @@ def _mapped(df: DataFrame, column: str, model: bytes, added: str, work: Callable
             text = pa.types.is_string(values.type) or pa.types.is_large_string(values.type)
             sizes = pc.binary_length(values) if text else pc.list_value_length(values)
             for first, last in _blocks(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)):
-                made = work(vocabulary, known, values.slice(first, last - first).to_pylist())
+                made = work(vocabulary, known, values.slice(first, last - first))
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(first, last - first), made], names=["row", "made"])
 
     typed = StructType([packed.schema["row"], StructType.fromDDL(f"made {added}")["made"]])
@@ -372,8 +406,8 @@ def _mapped(df: DataFrame, column: str, model: bytes, added: str, work: Callable
 def encode(df: DataFrame, model: bytes, text: str = "text", add_end: bool = True, out: str = "pieces") -> DataFrame:
     """``df`` with a struct ``out`` of ids, starts and ends (spans of the text's UTF-8 bytes), one of each for every piece."""
 
-    def work(vocabulary: Vocabulary, known: dict[str, bytes], texts: list[str | None]) -> pa.Array:
-        found = [encode_text(vocabulary, known, t or "", add_end) for t in texts]
+    def work(vocabulary: Vocabulary, known: dict[str, bytes], texts: pa.Array) -> pa.Array:
+        found = [encode_text(vocabulary, known, t or "", add_end) for t in texts.to_pylist()]
         edges = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32))
         lists = [pa.ListArray.from_arrays(edges, pa.array(np.concatenate([f[i] for f in found]))) for i in range(3)]
         return pa.StructArray.from_arrays(lists, names=["ids", "starts", "ends"])
@@ -385,7 +419,10 @@ def encode(df: DataFrame, model: bytes, text: str = "text", add_end: bool = True
 def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text ``out`` of the list of ids in column ``ids``."""
 
-    def work(vocabulary: Vocabulary, known: dict[str, bytes], lists: list[list[int] | None]) -> pa.Array:
-        return pa.StructArray.from_arrays([pa.array([decode_ids(vocabulary, i or []) for i in lists], pa.string())], names=["text"])
+    def work(vocabulary: Vocabulary, known: dict[str, bytes], lists: pa.Array) -> pa.Array:
+        numbers = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        texts = [decode_ids(vocabulary, ids) for ids in np.split(numbers, ends[:-1])]
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string())], names=["text"])
 
     return _mapped(df, ids, model, "struct<text: string>", work).select("row.*", F.col("made.text").alias(out))

@@ -86,8 +86,8 @@ def test_odd_rows_and_clashing_columns(spark):
     assert got.columns == [*docs.columns, "found"]
     found = [r.found.ids for r in got.collect()]
     assert found == [[2], [2], LIBRARY.encode("a b", add_eos=True), LIBRARY.encode("a b", add_eos=True)]
-    lists = spark.createDataFrame([(None,), ([],), ([2],), ([99999],)], "ids array<int>")
-    assert [r.decoded for r in sp.decode(lists, MODEL).collect()] == ["", "", "", None]
+    lists = spark.createDataFrame([(None,), ([],), ([2],), ([99999],), ([2, None],)], "ids array<int>")
+    assert [r.decoded for r in sp.decode(lists, MODEL).collect()] == ["", "", "", None, None]
     assert sp.decode(lists.limit(0), MODEL).count() == sp.encode(docs.limit(0), MODEL).count() == 0
 
 
