@@ -360,7 +360,7 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray | list[int]) -> str | Non
     controls = vocabulary.kind_of[ids] == CONTROL
     normal, joined = vocabulary.normaliser, vocabulary.surface(ids)
     first = vocabulary.kind_of[ids[np.argmin(controls)]]
-    mark = first == 1 and joined[:1] == b" " and (normal.dummy_prefix or normal.strip)
+    mark = int(first == 1 and joined[:1] == b" " and (normal.dummy_prefix or normal.strip))
     try:
         text = joined.decode()
         if not controls[1:-1].any():
