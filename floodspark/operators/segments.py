@@ -11,19 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import patch_sizes
-from .focal import KEYS, focal, square
+from .focal import KEYS
 from .lineage import cut_lineage
-from .threshold import edges, histogram, otsu
-
-
-def long_edge_otsu(px: DataFrame, band: str, initial: float, length: int = 20, buffer: int = 1, no_data: float | None = None, width: float = 0.25) -> DataFrame:
-    """(scene_id, threshold) from the pixels within ``buffer`` of edges of at least ``length`` connected pixels."""
-    marked = patch_sizes(edges(px, band, initial), "edge", "__size")
-    marked = marked.withColumn("__long", (F.coalesce("__size", F.lit(0)) >= length).cast("int"))
-    near = focal(marked, ["__long"], square(buffer), __near=F.max("__long")).where(F.col("__near") == 1)
-    cut = otsu(histogram(near, band, width, ["scene_id"]), ["scene_id"])
-    scenes = px.select("scene_id").distinct()
-    return scenes.join(cut, "scene_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(no_data).cast("double")))
 
 
 def unsupervised_forest(sample: DataFrame, features: list[str], rank: str | None = None, ranking: str = "min", trees: int = 100, sizes=range(3, 13), seed: int = 0):

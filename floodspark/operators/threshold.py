@@ -1,11 +1,11 @@
-"""Histogram thresholds: Otsu per scene, on the most bimodal tiles, or around edges."""
+"""Histogram thresholds: Otsu per scene, on the most bimodal tiles, and what they tell apart."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .focal import KEYS, focal, neighbours, square
+from .focal import KEYS, neighbours
 
 
 def histogram(px: DataFrame, band: str, width: float, by: list[str]) -> DataFrame:
@@ -44,51 +44,95 @@ def otsu_extent(px: DataFrame, band: str, out: str = "water", width: float = 0.2
     return joined.withColumn(out, (F.col(band) < F.col("threshold")).cast("int"))
 
 
+def _moments(px: DataFrame, band: str, initial: float, cell: int) -> DataFrame:
+    """(scene_id, ty, tx, moments) of squares of ``cell`` pixels: numbers, sums and squares below the initial threshold and in all."""
+    valid = px.where(F.col(band).isNotNull()).withColumns({f"t{c}": F.floor(F.col(c) / cell) for c in "yx"})
+    v, low = F.col(band).cast("double"), F.col(band) < initial
+    return valid.groupBy("scene_id", "ty", "tx").agg(
+        F.count("*").alias("n"),
+        F.sum(v).alias("s"),
+        F.sum(v * v).alias("q"),
+        F.count(F.when(low, 1)).alias("n_low"),
+        F.coalesce(F.sum(F.when(low, v)), F.lit(0.0)).alias("s_low"),
+    )
+
+
+def _bmax(m: DataFrame) -> DataFrame:
+    """(scene_id, ty, tx, bmax) of moments. A square all on one side of the initial threshold counts as -25 or 0 on the other."""
+    n, low = F.col("n"), F.col("n_low")
+    p = F.when(low == 0, 0.9999).otherwise(low / n)
+    first = F.coalesce(F.try_divide(F.col("s_low"), low), F.lit(-25.0))
+    second = F.coalesce(F.try_divide(F.col("s") - F.col("s_low"), n - low), F.lit(0.0))
+    mean, square = F.col("s") / n, F.col("q") / n
+    var = square - mean * mean
+    var = F.when(var <= square * 1e-12, 2.0).otherwise(var)
+    return m.select("scene_id", "ty", "tx", F.round(p * (1 - p) * F.pow(first - second, F.lit(2)) / var, 6).alias("bmax"))
+
+
 def tile_scores(px: DataFrame, band: str, initial: float, grid: int) -> DataFrame:
     """(scene_id, ty, tx, bmax): how bimodal each tile is about an initial threshold."""
-    tiles = px.where(F.col(band).isNotNull()).withColumns({"ty": F.floor(F.col("y") / grid), "tx": F.floor(F.col("x") / grid)})
-    low = F.col(band) < initial
-    stats = tiles.groupBy("scene_id", "ty", "tx").agg(
-        F.avg(low.cast("double")).alias("p"),
-        F.coalesce(F.avg(F.when(low, F.col(band))), F.lit(-25.0)).alias("m1"),
-        F.coalesce(F.avg(F.when(~low, F.col(band))), F.lit(0.0)).alias("m2"),
-        F.var_pop(band).alias("v"),
-    )
-    p = F.when(F.col("p") == 0, 0.9999).otherwise(F.col("p"))
-    v = F.when(F.col("v") == 0, 2.0).otherwise(F.col("v"))
-    bmax = p * (1 - p) * F.pow(F.col("m1") - F.col("m2"), F.lit(2)) / v
-    return stats.select("scene_id", "ty", "tx", F.round(bmax, 6).alias("bmax"))
+    return _bmax(_moments(px, band, initial, grid))
+
+
+def bimodal_tiles(px: DataFrame, band: str, initial: float, grid: int, least: float = 0.75, iters: int = 1) -> DataFrame:
+    """(scene_id, ty, tx, bmax) of the squares of ``grid / 2 ** (iters - 1)`` pixels that are bimodal, as are all that they lie in.
+
+    The pixels are read once: their moments are added up in the finest squares, and those of the coarser
+    ones are sums of these.
+    """
+    finest = grid >> (iters - 1)
+    if grid != finest << (iters - 1):
+        raise ValueError(f"a grid of {grid} pixels can't be halved {iters - 1} times")
+    base = _moments(px, band, initial, finest)
+    sums = ("n", "s", "q", "n_low", "s_low")
+    chosen = None
+    for level in range(iters - 1, -1, -1):
+        up = {f"t{c}": F.floor(F.col(f"t{c}") / (1 << level)) for c in "yx"}
+        rolled = base.withColumns(up).groupBy("scene_id", "ty", "tx").agg(*[F.sum(c).alias(c) for c in sums]) if level else base
+        scored = _bmax(rolled).where(F.col("bmax") > least)
+        if chosen is not None:
+            parents = chosen.select("scene_id", F.col("ty").alias("__py"), F.col("tx").alias("__px"))
+            inside = (F.floor(F.col("ty") / 2) == F.col("__py")) & (F.floor(F.col("tx") / 2) == F.col("__px"))
+            scored = scored.alias("own").join(parents.alias("up"), (F.col("own.scene_id") == F.col("up.scene_id")) & inside, "left_semi")
+        chosen = scored
+    return chosen
 
 
 def bmax_otsu(
-    px: DataFrame, band: str, initial: float, grid: int = 5, least: float = 0.75, max_boxes: int = 100, width: float = 0.25
+    px: DataFrame,
+    band: str,
+    initial: float,
+    grid: int = 5,
+    least: float = 0.75,
+    max_boxes: int | None = 100,
+    width: float = 0.25,
+    iters: int = 1,
+    thresh_no_data: float | None = None,
 ) -> DataFrame:
-    """(scene_id, threshold) from the ``max_boxes`` most bimodal tiles of each scene.
+    """(scene_id, threshold) from the ``max_boxes`` most bimodal tiles of each scene; scenes without one have ``thresh_no_data``.
 
-    Tiles are ranked downwards by score, ties by their row and column.
+    With ``iters`` the grid is halved so often, within the tiles found before. Tiles are ranked
+    downwards by score, ties by their row and column.
     """
-    ranked = Window.partitionBy("scene_id").orderBy(F.desc("bmax"), "ty", "tx")
-    chosen = tile_scores(px, band, initial, grid).where(F.col("bmax") > least).withColumn("__r", F.row_number().over(ranked))
-    tiled = px.withColumns({"ty": F.floor(F.col("y") / grid), "tx": F.floor(F.col("x") / grid)})
-    inside = tiled.join(chosen.where(F.col("__r") <= max_boxes), ["scene_id", "ty", "tx"], "left_semi")
-    return otsu(histogram(inside, band, width, ["scene_id"]), ["scene_id"])
-
-
-def edges(px: DataFrame, band: str, initial: float) -> DataFrame:
-    """Adds ``edge``: 1 where a side neighbour lies on the other side of the initial threshold."""
-    binary = px.withColumn("__b", (F.col(band) < initial).cast("int"))
-    cross = [(0, 1), (1, 0), (0, -1), (-1, 0), (0, 0)]
-    got = focal(binary, ["__b"], cross, __lo=F.min("__b"), __hi=F.max("__b"))
-    return got.withColumn("edge", F.when(F.col("__b").isNotNull(), (F.col("__lo") != F.col("__hi")).cast("int"))).drop("__b", "__lo", "__hi")
-
-
-def edge_otsu(px: DataFrame, band: str, initial: float, buffer: int = 1, no_data: float | None = None, width: float = 0.25) -> DataFrame:
-    """(scene_id, threshold) from the pixels within ``buffer`` of an edge; ``no_data`` where there is none."""
-    marked = edges(px, band, initial)
-    near = focal(marked, ["edge"], square(buffer), __near=F.max("edge")).where(F.col("__near") == 1)
-    cut = otsu(histogram(near, band, width, ["scene_id"]), ["scene_id"])
+    finest = grid >> (iters - 1)
+    chosen = bimodal_tiles(px, band, initial, grid, least, iters)
+    if max_boxes is not None:
+        ranked = Window.partitionBy("scene_id").orderBy(F.desc("bmax"), "ty", "tx")
+        chosen = chosen.withColumn("__r", F.row_number().over(ranked)).where(F.col("__r") <= max_boxes)
+    squares = px.withColumns({f"t{c}": F.floor(F.col(c) / finest) for c in "yx"})
+    inside = squares.join(chosen, ["scene_id", "ty", "tx"], "left_semi")
+    cut = otsu(histogram(inside, band, width, ["scene_id"]), ["scene_id"])
+    if thresh_no_data is None:
+        return cut
     scenes = px.select("scene_id").distinct()
-    return scenes.join(cut, "scene_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(no_data).cast("double")))
+    return scenes.join(cut, "scene_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(thresh_no_data).cast("double")))
+
+
+def threshold_extent(px: DataFrame, band: str, cuts: DataFrame, invert: bool = False, out: str = "water") -> DataFrame:
+    """1 below (or, inverted, above) the threshold of the pixel's scene, else 0; NULL where either is missing."""
+    joined = px.join(cuts.select("scene_id", F.col("threshold").alias("__cut")), "scene_id", "left")
+    side = F.col(band) > F.col("__cut") if invert else F.col(band) < F.col("__cut")
+    return joined.withColumn(out, side.cast("int")).drop("__cut")
 
 
 def modis_flood(red: str = "red", nir: str = "nir", swir2: str = "swir2"):
@@ -96,4 +140,4 @@ def modis_flood(red: str = "red", nir: str = "nir", swir2: str = "swir2"):
     return ((ratio < 0.7) & (F.col(red) < 0.2027) & (F.col(swir2) < 0.06757)).cast("int")
 
 
-__all__ = ["KEYS", "bmax_otsu", "edge_otsu", "edges", "histogram", "modis_flood", "neighbours", "otsu", "otsu_extent", "tile_scores"]
+__all__ = ["KEYS", "bmax_otsu", "histogram", "modis_flood", "neighbours", "otsu", "otsu_extent", "threshold_extent", "tile_scores"]

@@ -314,6 +314,27 @@ def bmax_otsu(spark, d):
     return rounded(threshold.bmax_otsu(view(spark, d, "sar_px"), "vv", -23.3, least=0.5, max_boxes=10), 4)
 
 
+def _scored(grid: int, least: float) -> str:
+    """The squares of ``grid`` pixels that are bimodal."""
+    p = "(CASE WHEN p = 0 THEN 0.9999 ELSE p END)"
+    return f"""SELECT scene_id, ty, tx, round({p} * (1 - {p}) * (m1 - m2) ^ 2 / (CASE WHEN v = 0 THEN 2 ELSE v END), 6) AS bmax FROM (
+      SELECT scene_id, y // {grid} AS ty, x // {grid} AS tx, avg((vv < -23.3::double)::int) AS p, coalesce(avg(vv) FILTER (vv < -23.3::double), -25) AS m1,
+             coalesce(avg(vv) FILTER (vv >= -23.3::double), 0) AS m2, var_pop(vv) AS v FROM sar_px GROUP BY ALL) WHERE bmax > {least}"""
+
+
+@query(f"""SELECT * FROM (WITH a AS ({_scored(8, 0.45)}), b AS ({_scored(4, 0.45)}), c AS ({_scored(2, 0.45)}),
+  k AS (SELECT c.* FROM c SEMI JOIN (SELECT b.* FROM b SEMI JOIN a ON a.scene_id = b.scene_id AND a.ty = b.ty // 2 AND a.tx = b.tx // 2) b
+        ON b.scene_id = c.scene_id AND b.ty = c.ty // 2 AND b.tx = c.tx // 2),
+  r AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY bmax DESC, ty, tx) <= 100),
+  i AS (SELECT s.* FROM sar_px s SEMI JOIN r ON r.scene_id = s.scene_id AND r.ty = s.y // 2 AND r.tx = s.x // 2), {_OTSU.format(band='vv', source='i')}
+  SELECT scene_id, y, x, (vv > coalesce(threshold, -20))::int AS water FROM sar_px LEFT JOIN cut USING (scene_id))""")
+def bmax_otsu_iters(spark, d):
+    """Three grids, each half of the one before; water above the threshold, -20 where no square is bimodal."""
+    px = view(spark, d, "sar_px")
+    cuts = threshold.bmax_otsu(px, "vv", -23.3, grid=8, least=0.45, iters=3, thresh_no_data=-20.0)
+    return threshold.threshold_extent(px, "vv", cuts, invert=True).select(*YX, "water")
+
+
 # --- time series ----------------------------------------------------------------------------------
 
 _TIME = "epoch_us(ts) / 86400000000.0::double / 365.25::double"

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from math import pi
+from math import pi, tan
 
 from pyspark.sql import functions as F
 
 from ..fixtures import view
-from ..operators import floods, focal, segments, threshold, timeseries, workflows
+from ..operators import edges, floods, focal, threshold, timeseries, workflows
 from .catalogue import _OFF_TIES_8, _OTSU, _TIME, YX, query, rounded
 
 _DB = "10 * CASE WHEN {0} > 0 THEN log10({0}) END"
@@ -90,26 +90,52 @@ def wide_focal_mean(spark, d):
 
 # --- edges ---------------------------------------------------------------------------------------------
 
-@query(f"""SELECT * FROM (WITH b AS (SELECT scene_id, y, x, vv, (vv < -23.3::double)::int AS low FROM sar_px),
-  e AS ({_box('b', 1, 'any_value(a.vv) AS vv, (min(b.low) <> max(b.low))::int AS edge', 'AND abs(a.y - b.y) + abs(a.x - b.x) <= 1')}),
-  n AS (SELECT * FROM ({_box('e', 1, 'any_value(a.vv) AS vv, max(b.edge) AS near')}) WHERE near = 1), {_OTSU.format(band='vv', source='n')}
-  SELECT scene_id, round(threshold, 4) + 0.0 AS threshold FROM (SELECT DISTINCT scene_id FROM sar_px) LEFT JOIN cut USING (scene_id)) /* sar_px */""")
+def _at(v: str, dy: int, dx: int) -> str:
+    return f"coalesce(max(b.{v}) FILTER (b.y - a.y = {dy} AND b.x - a.x = {dx}), any_value(a.{v}))"
+
+
+def _slopes(v: str) -> str:
+    """Horn's weighted differences along x and y."""
+    z = lambda dy, dx: _at(v, dy, dx)
+    gx = f"(({z(-1, 1)} + 2 * {z(0, 1)} + {z(1, 1)}) - ({z(-1, -1)} + 2 * {z(0, -1)} + {z(1, -1)}))"
+    gy = f"(({z(1, -1)} + 2 * {z(1, 0)} + {z(1, 1)}) - ({z(-1, -1)} + 2 * {z(-1, 0)} + {z(-1, 1)}))"
+    return f"{gx} / 8.0::double AS gx, {gy} / 8.0::double AS gy"
+
+
+_CANNY = f"""b AS (SELECT scene_id, y, x, vv, (vv < -23.3::double)::int::double AS low FROM sar_px),
+  g AS ({_box('b', 1, f"any_value(a.vv) AS vv, {_slopes('low')}")}),
+  m AS (SELECT *, sqrt(gx * gx + gy * gy) AS size, CASE WHEN abs(gy) <= {tan(pi / 8)} * abs(gx) THEN 0 WHEN abs(gy) >= {tan(3 * pi / 8)} * abs(gx) THEN 1 ELSE 1 END AS dy,
+        CASE WHEN abs(gy) <= {tan(pi / 8)} * abs(gx) THEN 1 WHEN abs(gy) >= {tan(3 * pi / 8)} * abs(gx) THEN 0 WHEN gx * gy > 0 THEN 1 ELSE -1 END AS dx FROM g),
+  e AS MATERIALIZED (SELECT a.scene_id, a.y, a.x, a.vv, a.size, (a.size > 0.05::double AND a.size > coalesce(b.size, 0) AND a.size >= coalesce(c.size, 0))::int AS edge
+    FROM m a LEFT JOIN m b ON a.scene_id = b.scene_id AND b.y = a.y - a.dy AND b.x = a.x - a.dx
+    LEFT JOIN m c ON a.scene_id = c.scene_id AND c.y = a.y + a.dy AND c.x = a.x + a.dx)"""
+
+
+@query(f"""SELECT * FROM (WITH {_CANNY} SELECT scene_id, y, x, round(edge * size, 6) + 0.0 AS edge FROM e) /* sar_px */""")
+def canny_edges(spark, d):
+    px = view(spark, d, "sar_px").withColumn("low", (F.col("vv") < -23.3).cast("int"))
+    return rounded(edges.canny(px, "low").select(*YX, "edge"))
+
+
+@query(f"""SELECT * FROM (WITH {_CANNY}, n AS (SELECT * FROM ({_box('e', 1, 'any_value(a.vv) AS vv, max(b.edge) AS near')}) WHERE near = 1), {_OTSU.format(band='vv', source='n')}
+  SELECT scene_id, round(coalesce(threshold, -20), 4) + 0.0 AS threshold FROM (SELECT DISTINCT scene_id FROM sar_px) LEFT JOIN cut USING (scene_id)) /* sar_px */""")
 def edge_otsu(spark, d):
-    return rounded(threshold.edge_otsu(view(spark, d, "sar_px"), "vv", -23.3), 4)
+    return rounded(edges.edge_otsu(view(spark, d, "sar_px"), "vv", -23.3, no_data=-20.0, length=1), 4)
 
 
 _SPREAD = "SELECT DISTINCT t.scene_id, t.y0, t.x0, e.y, e.x FROM grown t JOIN e ON e.scene_id = t.scene_id AND e.edge = 1 AND abs(e.y - t.y) <= 1 AND abs(e.x - t.x) <= 1"
 
 
-@query(f"""SELECT * FROM (WITH RECURSIVE b AS (SELECT scene_id, y, x, vv, (vv < -23.3::double)::int AS low FROM sar_px),
-  e AS MATERIALIZED ({_box('b', 1, 'any_value(a.vv) AS vv, (min(b.low) <> max(b.low))::int AS edge', 'AND abs(a.y - b.y) + abs(a.x - b.x) <= 1')}),
+@query(f"""SELECT * FROM (WITH RECURSIVE {_CANNY},
   grown AS (SELECT scene_id, y AS y0, x AS x0, y, x FROM e WHERE edge = 1 UNION {_SPREAD}),
   long AS (SELECT scene_id, y0 AS y, x0 AS x, 1 AS far FROM grown GROUP BY ALL HAVING count(*) >= 5),
-  m AS (SELECT e.*, coalesce(far, 0) AS far FROM e LEFT JOIN long USING (scene_id, y, x)),
-  n AS (SELECT * FROM ({_box('m', 1, 'any_value(a.vv) AS vv, max(b.far) AS near')}) WHERE near = 1), {_OTSU.format(band='vv', source='n')}
-  SELECT scene_id, round(threshold, 4) + 0.0 AS threshold FROM (SELECT DISTINCT scene_id FROM sar_px) LEFT JOIN cut USING (scene_id)) /* sar_px */""")
+  f AS (SELECT e.*, coalesce(far, 0) AS far FROM e LEFT JOIN long USING (scene_id, y, x)),
+  n AS (SELECT * FROM ({_box('f', 1, 'any_value(a.vv) AS vv, max(b.far) AS near')}) WHERE near = 1), {_OTSU.format(band='vv', source='n')}
+  SELECT scene_id, y, x, (vv > threshold)::int AS water FROM sar_px LEFT JOIN cut USING (scene_id)) /* sar_px */""")
 def long_edge_otsu(spark, d):
-    return rounded(segments.long_edge_otsu(view(spark, d, "sar_px"), "vv", -23.3, length=5), 4)
+    px = view(spark, d, "sar_px")
+    cuts = edges.edge_otsu(px, "vv", -23.3, length=5)
+    return threshold.threshold_extent(px, "vv", cuts, invert=True).select(*YX, "water")
 
 
 # --- terrain -------------------------------------------------------------------------------------------
