@@ -11,18 +11,7 @@ from pyspark.sql import functions as F
 from .components import patch_sizes, patches
 from .focal import KEYS
 from .threshold import histogram, otsu
-from .tiles import TILE, Tile, shifts, tiled, weighted_mean, window_extreme
-
-_RING = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-
-
-def gradients(v: np.ndarray, cell: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Slopes along x and y by Horn's weights of the 3 x 3 window; a missing neighbour takes the centre's value."""
-    z = {o: np.where(np.isnan(a), v, a) for o, a in zip(_RING, shifts(v, _RING))}
-    gx = (z[-1, 1] + 2 * z[0, 1] + z[1, 1]) - (z[-1, -1] + 2 * z[0, -1] + z[1, -1])
-    gy = (z[1, -1] + 2 * z[1, 0] + z[1, 1]) - (z[-1, -1] + 2 * z[-1, 0] + z[-1, 1])
-    return gx / (8 * cell), gy / (8 * cell)
-
+from .tiles import TILE, Tile, gradients, shifts, tiled, weighted_mean, window_extreme
 
 def thinned(v: np.ndarray, sigma: float) -> np.ndarray:
     """Gradient of ``v``, smoothed by a Gaussian, where it is greatest across the edge, else 0.

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .costs import cumulative_costs
-from .focal import box_stats, modified_median_zscore, neighbours, square
-from .tiles import TILE, Tile, box_sum, tiled, weighted_mean, window_extreme
+from .focal import box_stats, modified_median_zscore
+from .tiles import TILE, Tile, box_sum, distance2, gradients, tiled, weighted_mean, window_extreme
 
 YX = ["y", "x"]
 
@@ -98,34 +98,63 @@ def downscale_fraction(px: DataFrame, fraction: str, dem: DataFrame, cell: int,
     return tiled(d, [fraction, "elevation"], cell, wet, f"{out} int").drop("elevation")
 
 
-def terrain(dem: DataFrame, cell: float = 30.0) -> DataFrame:
+def slope_and_aspect(gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Degrees of slope, and of the direction downhill clockwise from north; rows grow southwards."""
+    return np.degrees(np.arctan(np.hypot(gx, gy))), (450.0 - np.degrees(np.arctan2(gy, -gx))) % 360.0
+
+
+def terrain(dem: DataFrame, cell: float = 30.0, tile: int = TILE) -> DataFrame:
     """Adds ``slope`` and ``aspect`` in degrees (Horn's gradients; a missing neighbour takes the centre's value)."""
-    one = dem.withColumn("scene_id", F.lit(0))
-    z = F.col("elevation")
-    pick = lambda dy, dx: F.max(F.when((F.col("dy") == dy) & (F.col("dx") == dx), z))
-    around = neighbours(one, ["elevation"], square(1)).groupBy("scene_id", *YX).agg(
-        *[pick(dy, dx).alias(f"z_{dy + 1}_{dx + 1}") for dy, dx in square(1)]
-    )
-    j = one.join(around, ["scene_id", *YX])
-    v = lambda dy, dx: F.coalesce(f"z_{dy + 1}_{dx + 1}", "elevation")
-    gx = ((v(-1, 1) + 2 * v(0, 1) + v(1, 1)) - (v(-1, -1) + 2 * v(0, -1) + v(1, -1))) / (8 * cell)
-    gy = ((v(1, -1) + 2 * v(1, 0) + v(1, 1)) - (v(-1, -1) + 2 * v(-1, 0) + v(-1, 1))) / (8 * cell)
-    j = j.withColumns({"__gx": gx, "__gy": gy})
-    slope = F.degrees(F.atan(F.sqrt(F.col("__gx") * F.col("__gx") + F.col("__gy") * F.col("__gy"))))
-    aspect = F.pmod(F.degrees(F.atan2(F.col("__gy"), -F.col("__gx"))) + 360, F.lit(360.0))
-    return j.select(*dem.columns, slope.alias("slope"), aspect.alias("aspect"))
+
+    def relief(part: Tile) -> dict[str, np.ndarray]:
+        slope, aspect = slope_and_aspect(*gradients(part["elevation"], cell))
+        return {"slope": slope, "aspect": aspect}
+
+    got = tiled(dem.withColumn("scene_id", F.lit(0)), ["elevation"], 1, relief, "slope double, aspect double", tile)
+    return got.select(*dem.columns, "slope", "aspect")
+
+
+def headings(px: DataFrame, angle: str = "angle", cell: float = 30.0, tile: int = TILE) -> DataFrame:
+    """(scene_id, heading): a scene's look direction, the mean aspect of its incidence angles."""
+
+    def turned(part: Tile) -> dict[str, np.ndarray]:
+        return {"__aspect": slope_and_aspect(*gradients(part[angle], cell))[1]}
+
+    return tiled(px.select("scene_id", *YX, angle), [angle], 1, turned, "__aspect double", tile).groupBy("scene_id").agg(F.avg("__aspect").alias("heading"))
 
 
-def slope_correction(px: DataFrame, bands: list[str], relief: DataFrame, heading: float = 0.0, model: str = "volume") -> DataFrame:
-    """Radiometric terrain correction of bands in decibels; pixels in layover or shadow are masked.
+def slope_correction(
+    px: DataFrame,
+    bands: list[str],
+    relief: DataFrame,
+    heading: float | None = None,
+    model: str = "volume",
+    buffer: float = 0.0,
+    in_units: str = "db",
+    out_units: str = "same",
+    cell: float = 30.0,
+    tile: int = TILE,
+) -> DataFrame:
+    """Radiometric terrain correction; pixels in layover or shadow, or within ``buffer`` metres of one, are masked.
 
-    ``relief`` has slope and aspect by pixel; ``heading`` is the look direction in degrees.
+    ``relief`` has slope and aspect by pixel; ``heading`` is the look direction in degrees, by default each
+    scene's own (``headings``). Adds ``local_inc_angle`` in degrees. Bands are in decibels or ``power`` and stay so,
+    unless ``out_units`` is other: then decibels come out as power and power as decibels. A buffer reaches 10 pixels
+    at most and does not grow from beyond the scene.
     """
     if model not in ("volume", "surface"):
         raise NotImplementedError(f"model {model}")
+    if in_units not in ("db", "power"):
+        raise ValueError("in_units must be db or power")
+    if out_units not in ("same", "other", None):
+        raise ValueError("out_units must be same or other")
     rad = pi / 180
     d = px.join(relief.select(*YX, "slope", "aspect"), YX)
-    phi = (heading - F.col("aspect")) * rad
+    if heading is None:
+        d = d.join(headings(px, cell=cell, tile=tile).withColumnRenamed("heading", "__heading"), "scene_id")
+    else:
+        d = d.withColumn("__heading", F.lit(float(heading)))
+    phi = (F.col("__heading") - F.col("aspect")) * rad
     alpha_r = F.atan(F.tan(F.col("slope") * rad) * F.cos(phi))
     alpha_az = F.atan(F.tan(F.col("slope") * rad) * F.sin(phi))
     theta = F.col("angle") * rad
@@ -134,24 +163,40 @@ def slope_correction(px: DataFrame, bands: list[str], relief: DataFrame, heading
     else:
         factor = F.cos(pi / 2 - theta) / (F.cos(alpha_az) * F.cos(pi / 2 - theta + alpha_r))
     seen = (alpha_r < theta) & (alpha_r > -(pi / 2 - theta))
+    incidence = F.degrees(F.acos(F.cos(alpha_az) * F.cos(theta - alpha_r)))
+    d = d.withColumns({"__seen": F.coalesce(seen, F.lit(False)).cast("int"), "__factor": factor, "local_inc_angle": incidence})
+    if buffer > 0:
+
+        def away(part: Tile) -> dict[str, np.ndarray]:
+            far = np.sqrt(distance2(part["__seen"] == 0, 10)) * cell
+            return {"__seen": (far > buffer) & (part["__seen"] == 1)}
+
+        d = tiled(d, ["__seen"], 10, away, "__seen int", tile)
     out = {}
+    decibels = (in_units == "db") == (out_units == "same")
     for b in bands:
-        flat = F.pow(F.lit(10.0), F.col(b) / 10) / F.cos(theta) / factor
-        out[b] = F.when(seen, 10 * F.when(flat > 0, F.log10(flat)))
-    return d.withColumns(out).drop("slope", "aspect")
+        power = F.pow(F.lit(10.0), F.col(b) / 10) if in_units == "db" else F.col(b)
+        flat = power / F.cos(F.col("angle") * rad) / F.col("__factor")
+        out[b] = F.when(F.col("__seen") == 1, 10 * F.when(flat > 0, F.log10(flat)) if decibels else flat)
+    return d.withColumns(out).drop("slope", "aspect", "__heading", "__seen", "__factor")
 
 
 def illumination_correction(
-    px: DataFrame, bands: list[str], relief: DataFrame, azimuth: float, zenith: float, model: str = "rotation"
+    px: DataFrame, bands: list[str], relief: DataFrame, azimuth: float | str, zenith: float | str, model: str = "rotation"
 ) -> DataFrame:
-    """Topographic correction of optical bands: cosine, c, scsc or rotation."""
+    """Topographic correction of optical bands: cosine, c, scsc or rotation.
+
+    The sun's azimuth and zenith, in degrees, are numbers or columns that hold those of each scene. The fits
+    of bands on the light that a slope gets are one for each scene.
+    """
     if model not in ("cosine", "c", "scsc", "rotation"):
         raise NotImplementedError(f"model {model}")
     rad = pi / 180
     d = px.join(relief.select(*YX, "slope", "aspect"), YX)
-    cos_p, sin_p = F.cos(F.col("slope") * rad), F.sin(F.col("slope") * rad)
-    cos_z, sin_z = F.cos(F.lit(zenith * rad)), F.sin(F.lit(zenith * rad))
-    d = d.withColumn("__ci", cos_p * cos_z + sin_p * sin_z * F.cos((F.col("aspect") - azimuth) * rad))
+    sun = [F.col(a) if isinstance(a, str) else F.lit(float(a)) for a in (azimuth, zenith)]
+    d = d.withColumns({"__az": sun[0].cast("double"), "__cz": F.cos(sun[1] * rad), "__sz": F.sin(sun[1] * rad)})
+    cos_p, sin_p, cos_z = F.cos(F.col("slope") * rad), F.sin(F.col("slope") * rad), F.col("__cz")
+    d = d.withColumn("__ci", cos_p * cos_z + sin_p * F.col("__sz") * F.cos((F.col("aspect") - F.col("__az")) * rad))
     fits = [f(b, "__ci").alias(f"__{n}_{b}") for b in bands for n, f in (("a", F.regr_slope), ("i", F.regr_intercept))]
     ci, fitted = F.col("__ci"), d.groupBy("scene_id").agg(*fits)
     d = d.join(fitted, "scene_id", "left")
@@ -165,7 +210,7 @@ def illumination_correction(
             "scsc": F.col(b) * F.try_divide(cos_p * cos_z + c, ci + c),
             "rotation": F.col(b) - a * (ci - cos_z),
         }[model]
-    return d.withColumns(out).drop("slope", "aspect", "__ci", *fitted.columns[1:])
+    return d.withColumns(out).drop("slope", "aspect", "__az", "__cz", "__sz", "__ci", *fitted.columns[1:])
 
 
 def bathtub(px: DataFrame, fraction: str, hand: DataFrame, cell: int, depths: int = 20) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .quantiles import quantile
+from .ranks import quantile
 from .tiles import Tile, box_sum, distance2, shifts, tiled
 
 KEYS = ["scene_id", "y", "x"]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .focal import box_stats, focal, square
+from .ranks import next_value, running_counts
 from .threshold import histogram, otsu
 
 YX = ["y", "x"]
@@ -33,31 +34,26 @@ def fuzzy_otsu(
     return px.join(middle, "scene_id", "left").withColumn(out, value).drop("__mid")
 
 
-def match_histograms(px: DataFrame, predictor: str, target: str, out: str = "dn", buckets: int = 4096) -> DataFrame:
+def match_histograms(px: DataFrame, predictor: str, target: str, out: str = "dn") -> DataFrame:
     """``predictor`` with the distribution of ``target``: the least target value whose cumulative share reaches its own.
 
-    Both histograms have ``buckets`` buckets of equal width, so the windows over them and the broadcast
-    lookup are bounded whatever the input; only the four limits come to the driver.
+    Exact for any values: equal ones are counted, the counts are ranked over ranges, and the ranks of both, each
+    times the other's number of values, are merged in one order. NULL predictors stay NULL, as do all if
+    there is no target value.
     """
-    limits = px.agg(*[f(c) for c in (predictor, target) for f in (F.min, F.max)]).first()
-
-    def place(column: str, low: float | None, high: float | None) -> Column:
-        if low is None or low == high:
-            return F.when(F.col(column).isNotNull(), F.lit(0.0))
-        return F.least(F.floor((F.col(column) - low) / (high - low) * buckets), F.lit(buckets - 1)).cast("double")
-
-    def shares(column: str, at: Column) -> DataFrame:
-        counts = px.where(F.col(column).isNotNull()).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.avg(column).alias("mean"))
-        below = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-        return counts.withColumn("share", F.sum("n").over(below) / F.sum("n").over(Window.partitionBy()))
-
-    own = place(predictor, limits[0], limits[1])
-    left = shares(predictor, own).select("share", F.lit(0).alias("side"), "at", F.lit(None).cast("double").alias("value"))
-    right = shares(target, place(target, limits[2], limits[3])).select("share", F.lit(1), F.lit(None).cast("double"), "mean")
-    following = Window.orderBy("share", "side", "value").rowsBetween(0, Window.unboundedFollowing)
-    found = left.union(right).withColumn(out, F.first("value", ignorenulls=True).over(following))
-    lookup = found.where("side = 0").select(F.col("at").alias("__at"), out)
-    return px.withColumn("__at", own).join(F.broadcast(lookup), "__at", "left").drop("__at")
+
+    def ranked(column: str) -> DataFrame:
+        counts = px.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("n"))
+        return running_counts(counts, [], "__v")
+
+    own, other = ranked(predictor), ranked(target)
+    # Whole numbers of 38 digits: counts of both sides can be multiplied.
+    sizes = [r.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("decimal(19,0)").alias("__of")) for r in (other, own)]
+    keyed = [r.crossJoin(F.broadcast(s)).withColumn("__key", F.col("upto").cast("decimal(19,0)") * F.col("__of")) for r, s in zip((own, other), sizes)]
+    left = keyed[0].select("__key", F.lit(0).alias("__side"), "__v", F.lit(None).cast("double").alias("__to"))
+    right = keyed[1].select("__key", F.lit(1).alias("__side"), "__v", F.col("__v").cast("double").alias("__to"))
+    found = next_value(left.unionAll(right), ["__key", "__side", "__v"], "__to", out).where("__side = 0")
+    return px.join(found.select(F.col("__v").alias("__own"), out), F.col(predictor) == F.col("__own"), "left").drop("__own")
 
 
 def pca_fusion(

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,29 +43,67 @@ def covariance(df: DataFrame, features: list[str]) -> DataFrame:
     return df.agg(*[F.covar_pop(a, b).alias(f"{a}_{b}") for i, a in enumerate(features) for b in features[i:]])
 
 
-def pca(df: DataFrame, features: list[str]) -> tuple[list[float], list[list[float]], list[float]]:
-    """(centre, components, eigenvalues) of the population covariance, largest first.
+def _decomposed(df: DataFrame, features: list[str], centre: list[float]) -> tuple[int, np.ndarray]:
+    """(rows, R) of the centred features' QR decomposition: each batch's triangle, stacked and decomposed again up a tree."""
+    k = len(features)
+
+    def triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, top = 0, np.zeros((0, k))
+        for batch in batches:
+            block = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) - centre
+            rows += len(block)
+            top = np.linalg.qr(np.vstack([top, block]), mode="r")
+        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64()), "r": [top.tobytes()]})
+
+    def merged(a: tuple, b: tuple) -> tuple:
+        return a[0] + b[0], np.linalg.qr(np.vstack([a[1], b[1]]), mode="r")
+
+    valid = df.select(*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]).dropna()
+    parts = valid.mapInArrow(triangles, "rows long, r binary").rdd.map(lambda r: (r["rows"], np.frombuffer(r["r"]).reshape(-1, k)))
+    return parts.treeAggregate((0, np.zeros((0, k))), merged, merged)
 
-    One pass gives means and covariances; only the k x k matrix is solved on the driver.
-    """
-    import numpy as np
 
-    row = df.agg(*[F.avg(f).alias(f"__{f}") for f in features]).crossJoin(covariance(df, features)).first()
+def pca(df: DataFrame, features: list[str], method: str = "svd") -> tuple[list[float], list[list[float]], list[float]]:
+    """(centre, components, eigenvalues) of the population covariance, largest first; rows with a NULL do not count.
+
+    ``svd`` takes the components from the centred features' triangle (its singular values squared, over
+    the rows, are the eigenvalues) and squares no small differences; ``eigendecomp`` from their covariance. Only k x k
+    matrices reach the driver. The largest weight of a component, the first of equal ones, is positive.
+    """
+    if method not in ("svd", "eigendecomp"):
+        raise ValueError(f"method must be svd or eigendecomp, not {method}")
+    valid = df.select(*features).dropna()
     k = len(features)
-    matrix = np.zeros((k, k))
-    for i, a in enumerate(features):
-        for j in range(i, k):
-            matrix[i, j] = matrix[j, i] = row[f"{a}_{features[j]}"]
-    values, vectors = np.linalg.eigh(matrix)
-    order = values.argsort()[::-1]
-    return [row[f"__{f}"] for f in features], vectors[:, order].T.tolist(), values[order].tolist()
+    row = valid.agg(*[F.avg(f).alias(f) for f in features]).first()
+    centre = [row[f] for f in features]
+    if centre[0] is None:
+        raise ValueError("no row has all features")
+    if method == "svd":
+        rows, triangle = _decomposed(df, features, centre)
+        _, singular, vectors = np.linalg.svd(np.vstack([triangle, np.zeros((k, k))]))
+        values = singular**2 / rows
+    else:
+        row = covariance(valid, features).first()
+        matrix = np.zeros((k, k))
+        for i, a in enumerate(features):
+            for j in range(i, k):
+                matrix[i, j] = matrix[j, i] = row[f"{a}_{features[j]}"]
+        values, columns = np.linalg.eigh(matrix)
+        values, vectors = values[::-1], columns[:, ::-1].T
+    signs = [np.sign(v[np.abs(v).argmax()]) or 1.0 for v in vectors]
+    return centre, (vectors * np.array(signs)[:, None]).tolist(), values.tolist()
 
 
-def apply_pca(df: DataFrame, features: list[str], centre: list[float], components: list[list[float]]) -> DataFrame:
-    def project(component: list[float]) -> Column:
-        return sum((w * (F.col(f) - m) for f, m, w in zip(features, centre, component)), F.lit(0.0))
+def apply_pca(
+    df: DataFrame, features: list[str], centre: list[float], components: list[list[float]], eigenvalues: list[float] | None = None
+) -> DataFrame:
+    """Adds the scores ``pc_0``, ``pc_1``, ...; with ``eigenvalues`` divided by their deviations (NULL where that is 0)."""
 
-    return df.withColumns({f"pc_{i}": project(c) for i, c in enumerate(components)})
+    def project(i: int, component: list[float]) -> Column:
+        score = sum((w * (F.col(f) - m) for f, m, w in zip(features, centre, component)), F.lit(0.0))
+        return score if eigenvalues is None else F.try_divide(score, F.lit(max(eigenvalues[i], 0.0) ** 0.5))
+
+    return df.withColumns({f"pc_{i}": project(i, c) for i, c in enumerate(components)})
 
 
 def argmax(names: list[str]) -> Column:
@@ -70,10 +112,6 @@ def argmax(names: list[str]) -> Column:
     return (F.array_position(layers, F.array_max(layers)) - 1).cast("int")
 
 
-def cumulative_share(df: DataFrame, by: list[str], value: str, out: str = "cdf") -> DataFrame:
-    return df.withColumn(out, F.cume_dist().over(Window.partitionBy(*by).orderBy(value)))
-
-
 def random_forest(df: DataFrame, features: list[str], label: str, mode: str = "regression", n_trees: int = 30, min_leaf: int = 1, seed: int = 0):
     if mode not in ("regression", "classification", "probability"):
         raise ValueError("mode must be regression, classification or probability")
@@ -91,10 +129,12 @@ def gradient_boosting(df: DataFrame, features: list[str], label: str, rounds: in
 
 def kmeans_extent(px: DataFrame, band: str, other: str, initial: float, n: int = 500, seed: int = 0, out: str = "water") -> DataFrame:
     """Two clusters of a stratified sample; the one with the lower mean of ``band`` is water."""
-    key = F.xxhash64("scene_id", "y", "x", F.lit(seed))
-    side = Window.partitionBy(F.col(band) > initial).orderBy(key)
-    valid = px.where(F.col(band).isNotNull() & F.col(other).isNotNull())
-    sample = valid.withColumn("__r", F.row_number().over(side)).where(F.col("__r") <= n)
+    valid = px.where(F.col(band).isNotNull() & F.col(other).isNotNull()).withColumn("__above", F.col(band) > initial)
+    # The first of each side by a hash, chosen by a sort that keeps n rows a task.
+    key = [F.xxhash64("scene_id", "y", "x", F.lit(seed)), "scene_id", "y", "x"]
+    sides = [valid.where(F.col("__above") == above).orderBy(*key).limit(n) for above in (True, False)]
+    sample = sides[0].unionAll(sides[1]).drop("__above")
+    valid = valid.drop("__above")
     assembler = VectorAssembler(inputCols=[band, other], outputCol="__x", handleInvalid="skip")
     model = KMeans(k=2, seed=seed, featuresCol="__x", predictionCol="__k").fit(assembler.transform(sample.coalesce(1)))
     centres = model.clusterCenters()

@@ -17,6 +17,28 @@ def histogram(px: DataFrame, band: str, width: float, by: list[str]) -> DataFram
     )
 
 
+def adaptive_histogram(px: DataFrame, band: str, by: list[str], max_buckets: int = 255, finest: int = -9) -> DataFrame:
+    """(by, bucket, n, mean, width): the width is the least power of 2, from 2 ** ``finest``, that leaves few enough buckets.
+
+    The pixels are counted once, in the finest buckets; a group's buckets are these, halved in number while
+    there are more than ``max_buckets``, rounded up to a power of 2, from its first to its last. So they do not depend
+    on how the pixels are dealt.
+    """
+    most = 1 << (max_buckets - 1).bit_length()
+    v = F.col(band).cast("double")
+    fine = px.where(v.isNotNull() & ~F.isnan(v)).groupBy(*by, F.floor(v / 2.0**finest).alias("__fine"))
+    fine = fine.agg(F.count("*").alias("n"), F.sum(v).alias("s"))
+    ends = fine.groupBy(*by).agg(F.min("__fine").alias("__lo"), F.max("__fine").alias("__hi"))
+    span = lambda k: F.shiftright("__hi", k) - F.shiftright("__lo", k)
+    halvings = F.lit(62)
+    for k in range(61, -1, -1):
+        halvings = F.when(span(k) < most, F.lit(k)).otherwise(halvings)
+    widths = ends.select(*by, halvings.cast("int").alias("__k"))
+    rolled = fine.join(widths, by).withColumn("bucket", F.expr("shiftright(__fine, __k)"))
+    merged = rolled.groupBy(*by, "bucket", "__k").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
+    return merged.select(*by, "bucket", "n", "mean", (F.pow(F.lit(2.0), F.col("__k")) * 2.0**finest).alias("width"))
+
+
 def otsu(hist: DataFrame, by: list[str]) -> DataFrame:
     """(by, threshold): the bucket mean at the greatest between-class sum of squares.
 

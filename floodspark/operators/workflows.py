@@ -13,7 +13,7 @@ from .components import patch_sizes
 from .focal import close_binary, gamma_map, open_binary
 from .floods import slope_correction
 from .lineage import cut_lineage
-from .quantiles import quantile
+from .ranks import quantile
 from .threshold import histogram, otsu
 from .timeseries import add_harmonics, harmonic_trend, linear_trend, years, yearly_anomalies
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view, with_views
 from ..functions import fuzzy, pixel
-from ..operators import floods, focal, scaling, threshold, timeseries
+from ..operators import floods, focal, ranks, scaling, threshold, timeseries
 from ..sources import datasets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,6 +304,16 @@ def otsu(spark, d):
     return rounded(threshold.otsu(threshold.histogram(px, "vv", 0.25, ["scene_id"]), ["scene_id"]), 4)
 
 
+@query(f"""SELECT * FROM (WITH m AS (SELECT scene_id, min(floor(vv * 512)) AS a, max(floor(vv * 512)) AS b FROM sar_px WHERE vv IS NOT NULL GROUP BY 1),
+  w AS (SELECT scene_id, min(k) AS k FROM m, (SELECT unnest(range(0, 60)) AS k) WHERE floor(b / pow(2, k)) - floor(a / pow(2, k)) < 256 GROUP BY 1),
+  h AS (SELECT scene_id, floor(floor(vv * 512) / pow(2, k)) AS bucket, count(*) AS n, avg(vv) AS mean FROM sar_px JOIN w USING (scene_id) WHERE vv IS NOT NULL GROUP BY ALL),
+  {_OTSU[_OTSU.index('p AS ('):]} SELECT scene_id, round(threshold, 4) + 0.0 AS threshold FROM cut) /* sar_px */""")
+def otsu_adaptive(spark, d):
+    """Buckets whose width doubles while a scene has more than 256."""
+    px = view(spark, d, "sar_px")
+    return rounded(threshold.otsu(threshold.adaptive_histogram(px, "vv", ["scene_id"]), ["scene_id"]), 4)
+
+
 @query(f"""SELECT * FROM (WITH t AS (SELECT *, y // 5 AS ty, x // 5 AS tx, vv < -23.3::double AS low FROM sar_px),
   s AS (SELECT scene_id, ty, tx, avg(low::int) AS p, coalesce(avg(vv) FILTER (low), -25) AS m1, coalesce(avg(vv) FILTER (NOT low), 0) AS m2, var_pop(vv) AS v FROM t GROUP BY ALL),
   k AS (SELECT scene_id, ty, tx, round((CASE WHEN p = 0 THEN 0.9999 ELSE p END) * (1 - (CASE WHEN p = 0 THEN 0.9999 ELSE p END)) * (m1 - m2) ^ 2 / (CASE WHEN v = 0 THEN 2 ELSE v END), 6) AS bmax FROM s),
@@ -453,7 +463,7 @@ def covariance(spark, d):
 
 @query("SELECT scene_id, y, x, round(cume_dist() OVER (PARTITION BY scene_id ORDER BY nir), 6) AS cdf FROM opt_px")
 def cumulative_share(spark, d):
-    return rounded(scaling.cumulative_share(view(spark, d, "opt_px"), ["scene_id"], "nir").select(*YX, "cdf"))
+    return rounded(ranks.cumulative_share(view(spark, d, "opt_px"), ["scene_id"], "nir").select(*YX, "cdf"))
 
 
 @query("SELECT scene_id, y, x, CASE WHEN nir >= red AND nir >= blue THEN 0 WHEN red >= blue THEN 1 ELSE 2 END AS best FROM opt_px")
@@ -461,8 +471,23 @@ def argmax(spark, d):
     return view(spark, d, "opt_px").select(*YX, scaling.argmax(["nir", "red", "blue"]).alias("best"))
 
 
-@query()
+_SPREAD = "(a - c) / 2"
+
+
+@query(f"""SELECT * FROM (WITH s AS (SELECT avg(nir) AS mn, avg(red) AS mr, var_pop(nir) AS a, covar_pop(nir, red) AS b, var_pop(red) AS c FROM opt_px),
+  e AS (SELECT *, (a + c) / 2 + sqrt({_SPREAD} * {_SPREAD} + b * b) AS top FROM s), v AS (SELECT *, b AS x, top - a AS y FROM e),
+  u AS (SELECT *, x / sqrt(x * x + y * y) * CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END AS wn,
+               y / sqrt(x * x + y * y) * CASE WHEN abs(x) >= abs(y) THEN sign(x) ELSE sign(y) END AS wr FROM v)
+  SELECT scene_id, o.y, o.x, round(((nir - mn) * wn + (red - mr) * wr) / sqrt(top), 4) + 0.0 AS pc_0 FROM opt_px o, u) /* opt_px */""")
 def pca(spark, d):
+    px, names = view(spark, d, "opt_px"), ["nir", "red"]
+    centre, components, values = scaling.pca(px, names)
+    return rounded(scaling.apply_pca(px, names, centre, components, values).select(*YX, "pc_0"), 4)
+
+
+@query()
+def pca_bands(spark, d):
+    """All six bands; tests compare both methods."""
     px, names = view(spark, d, "opt_px"), list(datasets.OPTICAL_BANDS)
-    centre, components, _ = scaling.pca(px, names)
-    return rounded(scaling.apply_pca(px, names, centre, components).select(*YX, "pc_0"), 4)
+    centre, components, values = scaling.pca(px, names)
+    return rounded(scaling.apply_pca(px, names, centre, components, values).select(*YX, *[f"pc_{i}" for i in range(len(names))]), 4)

@@ -140,14 +140,17 @@ def long_edge_otsu(spark, d):
 
 # --- terrain -------------------------------------------------------------------------------------------
 
-def _z(dy: int, dx: int) -> str:
-    return f"coalesce(max(b.elevation) FILTER (b.y - a.y = {dy} AND b.x - a.x = {dx}), any_value(a.elevation))"
+_COMPASS = "(450 - degrees(atan2(gy, -gx))) % 360"
 
 
-_GX = f"(({_z(-1, 1)} + 2 * {_z(0, 1)} + {_z(1, 1)}) - ({_z(-1, -1)} + 2 * {_z(0, -1)} + {_z(1, -1)})) / 240.0::double"
-_GY = f"(({_z(1, -1)} + 2 * {_z(1, 0)} + {_z(1, 1)}) - ({_z(-1, -1)} + 2 * {_z(-1, 0)} + {_z(-1, 1)})) / 240.0::double"
-_RELIEF = f"""SELECT y, x, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope, (degrees(atan2(gy, -gx)) + 360) % 360 AS aspect
-  FROM (SELECT a.y, a.x, {_GX} AS gx, {_GY} AS gy FROM dem a JOIN dem b ON abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.y, a.x)"""
+def _tilted(source: str, v: str, scene: str = "") -> str:
+    """Slopes gx and gy of the column ``v``, a metre of which is 1 / 30 of a pixel."""
+    near = f"abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 {'AND a.scene_id = b.scene_id' if scene else ''}"
+    return f"""SELECT {scene} y, x, gx / 30 AS gx, gy / 30 AS gy FROM (SELECT {'a.scene_id,' if scene else ''} a.y, a.x, {_slopes(v)}
+      FROM {source} a JOIN {source} b ON {near} GROUP BY ALL)"""
+
+
+_RELIEF = f"SELECT y, x, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope, {_COMPASS} AS aspect FROM ({_tilted('dem', 'elevation')})"
 
 
 def _relief(spark, d):
@@ -160,36 +163,68 @@ def terrain(spark, d):
 
 
 _RAD = pi / 180
-_FACTOR = f"tan({pi / 2} - theta + ar) / tan({pi / 2} - theta)"
+_LOOKS = f"SELECT scene_id, avg({_COMPASS}) AS heading FROM ({_tilted('sar_px', 'angle', 'scene_id,')}) GROUP BY 1"
+
+
+@query(f"SELECT scene_id, round(heading, 4) + 0.0 AS heading FROM ({_LOOKS})")
+def headings(spark, d):
+    return rounded(floods.headings(view(spark, d, "sar_px")), 4)
+
+
+#: Radar pixels with the range and azimuth parts of their slope.
+_SEEN = f"""SELECT s.*, angle * {_RAD} AS theta, atan(tan(slope * {_RAD}) * cos((heading - aspect) * {_RAD})) AS ar,
+  atan(tan(slope * {_RAD}) * sin((heading - aspect) * {_RAD})) AS az
+  FROM sar_px s JOIN ({_RELIEF}) USING (y, x) JOIN ({_LOOKS}) USING (scene_id)"""
+_VOLUME = f"tan({pi / 2} - theta + ar) / tan({pi / 2} - theta)"
+_SURFACE = f"cos({pi / 2} - theta) / (cos(az) * cos({pi / 2} - theta + ar))"
+_OPEN = f"ar < theta AND ar > -({pi / 2} - theta)"
 
 
-def _flat(band: str) -> str:
-    power = f"(pow(10.0::double, {band} / 10) / cos(theta) / ({_FACTOR}))"
-    return f"CASE WHEN ar < theta AND ar > -({pi / 2} - theta) THEN {_DB.format(power)} END AS {band}"
+def _flat(band: str, factor: str = _VOLUME, seen: str = _OPEN) -> str:
+    power = f"(pow(10.0::double, {band} / 10) / cos(theta) / ({factor}))"
+    return f"CASE WHEN {seen} THEN {_DB.format(power)} END AS {band}"
 
 
-_FLAT = f"""SELECT scene_id, y, x, ts, {_flat('vv')}, {_flat('vh')} FROM (SELECT s.*, angle * {_RAD} AS theta,
-  atan(tan(slope * {_RAD}) * cos(-aspect * {_RAD})) AS ar FROM sar_px s JOIN ({_RELIEF}) USING (y, x))"""
+_FLAT = f"SELECT scene_id, y, x, ts, {_flat('vv')}, {_flat('vh')} FROM ({_SEEN})"
 
 
-@query(f"SELECT scene_id, y, x, round(vv, 4) + 0.0 AS vv, round(vh, 4) + 0.0 AS vh FROM ({_FLAT})")
+@query(f"""SELECT scene_id, y, x, round(vv, 4) + 0.0 AS vv, round(vh, 4) + 0.0 AS vh, round(lia, 4) + 0.0 AS local_inc_angle
+  FROM (SELECT scene_id, y, x, {_flat('vv')}, {_flat('vh')}, degrees(acos(cos(az) * cos(theta - ar))) AS lia FROM ({_SEEN}))""")
 def slope_correction(spark, d):
     got = floods.slope_correction(view(spark, d, "sar_px"), ["vv", "vh"], _relief(spark, d))
-    return rounded(got.select(*YX, "vv", "vh"), 4)
+    return rounded(got.select(*YX, "vv", "vh", "local_inc_angle"), 4)
 
 
-_LIT = f"cos(slope * {_RAD}) * cos({40 * _RAD}) + sin(slope * {_RAD}) * sin({40 * _RAD}) * cos((aspect - 135.0) * {_RAD})"
+@query(f"""SELECT * FROM (WITH s AS MATERIALIZED (SELECT *, 1 AS one FROM ({_SEEN.replace('tan(slope', 'tan(8 * slope')})),
+  n AS (SELECT a.scene_id, a.y, a.x, any_value(a.vv) AS vv, any_value(a.theta) AS theta, any_value(a.ar) AS ar, any_value(a.az) AS az,
+        coalesce(min(CASE WHEN NOT (b.ar < b.theta AND b.ar > -({pi / 2} - b.theta)) THEN (a.y - b.y) ^ 2 + (a.x - b.x) ^ 2 END), 1e9) AS far
+        FROM s a JOIN s b ON a.scene_id = b.scene_id AND abs(a.y - b.y) <= 10 AND abs(a.x - b.x) <= 10 GROUP BY ALL)
+  SELECT scene_id, y, x, round(vv, 6) + 0.0 AS vv FROM (SELECT scene_id, y, x,
+    CASE WHEN sqrt(far) * 30 > 40 AND {_OPEN} THEN pow(10.0::double, vv / 10) / cos(theta) / ({_SURFACE}) END AS vv FROM n)) /* sar_px dem */""")
+def slope_correction_buffered(spark, d):
+    """The surface model over relief eight times as steep, 40 m around layover and shadow masked, decibels in and power out."""
+    relief = _relief(spark, d).withColumn("slope", 8 * F.col("slope"))
+    got = floods.slope_correction(view(spark, d, "sar_px"), ["vv"], relief, model="surface", buffer=40.0, out_units="other")
+    return rounded(got.select(*YX, "vv"))
 
 
-def _turned(band: str) -> str:
-    return f"round({band} - regr_slope({band}, ci) OVER (PARTITION BY scene_id) * (ci - cos({40 * _RAD})), 4) + 0.0 AS {band}"
+_LIT = f"""SELECT o.scene_id, o.y, o.x, nir, cos(slope * {_RAD}) AS cp, cos((30 + scene_id % 7) * {_RAD}) AS cz, cos(slope * {_RAD}) * cos((30 + scene_id % 7) * {_RAD})
+  + sin(slope * {_RAD}) * sin((30 + scene_id % 7) * {_RAD}) * cos((aspect - (100 + scene_id * 5 % 90)) * {_RAD}) AS ci FROM opt_px o JOIN ({_RELIEF}) USING (y, x)"""
 
 
-@query(f"""SELECT scene_id, y, x, {_turned('nir')}, {_turned('red')} FROM (SELECT o.scene_id, o.y, o.x, nir, red, {_LIT} AS ci
-  FROM opt_px o JOIN ({_RELIEF}) USING (y, x))""")
+@query(f"""SELECT * FROM (WITH l AS ({_LIT}), f AS (SELECT *, regr_slope(nir, ci) OVER w AS a, regr_intercept(nir, ci) OVER w AS b FROM l WINDOW w AS (PARTITION BY scene_id)),
+  g AS (SELECT *, b / nullif(a, 0) AS c FROM f)
+  SELECT scene_id, y, x, round(nir * cz / nullif(ci, 0), 4) + 0.0 AS cosine, round(nir * (cz + c) / nullif(ci + c, 0), 4) + 0.0 AS c,
+         round(nir * (cp * cz + c) / nullif(ci + c, 0), 4) + 0.0 AS scsc, round(nir - a * (ci - cz), 4) + 0.0 AS rotation FROM g) /* opt_px dem */""")
 def illumination_correction(spark, d):
-    got = floods.illumination_correction(view(spark, d, "opt_px"), ["nir", "red"], _relief(spark, d), 135.0, 40.0)
-    return rounded(got.select(*YX, "nir", "red"), 4)
+    """All four models, with the sun of each scene."""
+    px = view(spark, d, "opt_px").withColumns({"az": 100 + F.col("scene_id") * 5 % 90, "zen": 30 + F.col("scene_id") % 7})
+    relief, kept = _relief(spark, d), [*YX, "az", "zen"]
+    out = None
+    for model in ("cosine", "c", "scsc", "rotation"):
+        got = floods.illumination_correction(px.select(*kept, "nir"), ["nir"], relief, "az", "zen", model).select(*YX, F.col("nir").alias(model))
+        out = got if out is None else out.join(got, YX)
+    return rounded(out, 4)
 
 
 # --- water by relief -----------------------------------------------------------------------------------

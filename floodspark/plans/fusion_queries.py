@@ -30,12 +30,11 @@ def fuzzy_otsu(spark, d):
     return rounded(fusion.fuzzy_otsu(view(spark, d, "sar_px"), "vv", -23.3, least=5).select(*YX, "water"), 4)
 
 
-@query("""SELECT * FROM (WITH l AS (SELECT min(nir) AS a, max(nir) AS b, min(red) AS c, max(red) AS d FROM opt_px),
-  px AS (SELECT *, least(floor((nir - a) / (b - a) * 4096), 4095) AS kp, least(floor((red - c) / (d - c) * 4096), 4095) AS kt FROM opt_px, l),
-  hp AS (SELECT kp, count(*) AS n FROM px GROUP BY 1), ht AS (SELECT kt, count(*) AS n, avg(red) AS mean FROM px GROUP BY 1),
-  cp AS (SELECT kp, sum(n) OVER (ORDER BY kp) AS s FROM hp), ct AS (SELECT kt, mean, sum(n) OVER (ORDER BY kt) AS s FROM ht),
-  m AS (SELECT kp, arg_min(mean, kt) AS dn FROM cp JOIN ct ON ct.s >= cp.s GROUP BY 1)
-  SELECT scene_id, y, x, round(dn, 6) + 0.0 AS dn FROM px JOIN m USING (kp)) /* opt_px */""")
+@query("""SELECT * FROM (WITH hp AS (SELECT nir AS v, count(*) AS n FROM opt_px GROUP BY 1), ht AS (SELECT red AS v, count(*) AS n FROM opt_px GROUP BY 1),
+  cp AS (SELECT v, (sum(n) OVER (ORDER BY v) * (SELECT sum(n) FROM ht))::hugeint AS k FROM hp),
+  ct AS (SELECT v, (sum(n) OVER (ORDER BY v) * (SELECT sum(n) FROM hp))::hugeint AS k FROM ht),
+  m AS (SELECT cp.v, ct.v AS dn FROM cp ASOF JOIN ct ON cp.k <= ct.k)
+  SELECT scene_id, y, x, round(dn, 6) + 0.0 AS dn FROM opt_px JOIN m ON nir = v) /* opt_px */""")
 def histogram_matching(spark, d):
     return rounded(fusion.match_histograms(view(spark, d, "opt_px"), "nir", "red").select(*YX, "dn"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from floodspark.operators import components, floods, focal, quantiles, workflows
+from floodspark.operators import components, floods, focal, ranks, workflows
 from floodspark.sources import datasets
 
 
@@ -41,7 +41,7 @@ def test_quantiles_are_exact(spark):
     rows = [(g, float(v)) for g, values in groups.items() for v in values] + [(1, None), (9, None)]
     px = spark.createDataFrame(rows, "scene_id int, v double")
     for share in (0.0, 0.5, 0.9, 0.99, 1.0):
-        got = {r["scene_id"]: r["q"] for r in quantiles.quantile(px, ["scene_id"], "v", share, "q").collect()}
+        got = {r["scene_id"]: r["q"] for r in ranks.quantile(px, ["scene_id"], "v", share, "q").collect()}
         assert got == pytest.approx({g: np.quantile(v, share) for g, v in groups.items()})
 
 
