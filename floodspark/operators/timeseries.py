@@ -28,14 +28,15 @@ def add_harmonics(df: DataFrame, n_cycles: int = 2) -> DataFrame:
 
 
 def linear_trend(df: DataFrame, by: list[str], y: str) -> DataFrame:
-    """(by, constant, time, n, mean_x, residual_x, residual_y) of least squares of ``y`` on ``time``."""
+    """(by, constant, time, n, mean_x, residual_x, residual_y) of least squares of ``y`` on ``time``; residual_y is the root mean square of the residuals."""
+    squares = F.regr_syy(y, "time") - F.coalesce(F.try_divide(F.pow(F.regr_sxy(y, "time"), F.lit(2)), F.regr_sxx(y, "time")), F.lit(0.0))
     got = df.where(F.col(y).isNotNull()).groupBy(*by).agg(
         F.regr_intercept(y, "time").alias("constant"),
         F.regr_slope(y, "time").alias("time"),
         F.count("*").alias("n"),
         F.avg("time").alias("mean_x"),
         F.regr_sxx(y, "time").alias("residual_x"),
-        (F.regr_syy(y, "time") - F.coalesce(F.try_divide(F.pow(F.regr_sxy(y, "time"), F.lit(2)), F.regr_sxx(y, "time")), F.lit(0.0))).alias("residual_y"),
+        F.sqrt(F.greatest(squares, F.lit(0.0)) / F.count("*")).alias("residual_y"),
     )
     return got
 
@@ -44,11 +45,16 @@ def gram(df: DataFrame, by: list[str], predictors: list[str], y: str) -> DataFra
     """Sums of all products of predictors, and with ``y``: what any least squares needs, in one pass."""
     pairs = [F.sum(F.col(a) * F.col(b)).alias(f"g_{i}_{j}") for i, a in enumerate(predictors) for j, b in enumerate(predictors) if i <= j]
     right = [F.sum(F.col(a) * F.col(y)).alias(f"h_{i}") for i, a in enumerate(predictors)]
-    return df.where(F.col(y).isNotNull()).groupBy(*by).agg(*pairs, *right, F.count("*").alias("n"))
+    return df.where(F.col(y).isNotNull()).groupBy(*by).agg(*pairs, *right, F.sum(F.col(y) * F.col(y)).alias("yy"), F.count("*").alias("n"))
 
 
-def solve(sums: DataFrame, by: list[str], predictors: list[str], ridge: float = 0.0) -> DataFrame:
-    """(by, one coefficient for each predictor, n): the small solves, vectorised over Arrow batches."""
+def solve(sums: DataFrame, by: list[str], predictors: list[str], ridge: float = 0.0, output_err: bool = False) -> DataFrame:
+    """(by, one coefficient for each predictor, n): the small solves, vectorised over Arrow batches.
+
+    With ``output_err`` also mean_x and residual_x (of the second predictor, the first being constant) and residual_y, the
+    root mean square of the residuals, all from the same sums.
+    """
+    errors = ["mean_x", "residual_x", "residual_y"] if output_err else []
     k = len(predictors)
 
     def solved(batches):
@@ -68,16 +74,21 @@ def solve(sums: DataFrame, by: list[str], predictors: list[str], ridge: float =
                 b[full] = np.linalg.solve(g[full], h[full][:, :, None])[:, :, 0]
             for i, name in enumerate(predictors):
                 out[name] = b[:, i]
-            yield out[by + predictors + ["n"]]
+            if errors:
+                n = rows["n"].to_numpy(float)
+                out["mean_x"] = g[:, 0, 1] / n
+                out["residual_x"] = g[:, 1, 1] - n * out["mean_x"] ** 2
+                out["residual_y"] = np.sqrt(np.maximum(rows["yy"] - (b * h).sum(axis=1), 0) / n)
+            yield out[by + predictors + ["n"] + errors]
 
     types = dict(sums.dtypes)
-    schema = ", ".join([f"{c} {types[c]}" for c in by] + [f"{p} double" for p in predictors] + ["n long"])
+    schema = ", ".join([f"{c} {types[c]}" for c in by] + [f"{p} double" for p in predictors] + ["n long"] + [f"{e} double" for e in errors])
     return sums.mapInPandas(solved, schema)
 
 
-def harmonic_trend(df: DataFrame, by: list[str], y: str, n_cycles: int = 2) -> DataFrame:
+def harmonic_trend(df: DataFrame, by: list[str], y: str, n_cycles: int = 2, output_err: bool = False) -> DataFrame:
     names = ["constant", "time"] + [f"{n}_{k}" for k in range(1, n_cycles + 1) for n in ("cos", "sin")]
-    return solve(gram(df, by, names, y), by, names)
+    return solve(gram(df, by, names, y), by, names, output_err=output_err)
 
 
 def ridge_trend(df: DataFrame, by: list[str], y: str, penalty: float = 0.1) -> DataFrame:

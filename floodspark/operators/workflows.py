@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions.pixel import INDICES, add_indices
 from .components import patch_sizes
+from .edges import edge_otsu
 from .focal import close_binary, gamma_map, open_binary
 from .floods import slope_correction
 from .lineage import cut_lineage
@@ -58,9 +59,9 @@ def fusion_samples(joined: DataFrame, occurrence: DataFrame, n: int, seed: int =
 
 
 def water_harmonics(fused: DataFrame, target: str = "mndwi", n_cycles: int = 2, scale: float = 0.0001) -> DataFrame:
-    """(y, x, coefficients, n): harmonic fit of a fused series, as integers of ``scale``."""
+    """(y, x, coefficients, n, mean_x, residual_x, residual_y): harmonic fit of a fused series, as integers of ``scale``."""
     d = add_harmonics(fused.withColumns({"constant": F.lit(1.0), "time": years("ts")}), n_cycles)
-    got = harmonic_trend(d, YX, target, n_cycles)
+    got = harmonic_trend(d, YX, target, n_cycles, output_err=True)
     return got.withColumns({c: (F.nullif(F.col(c), F.lit(float("nan"))) / scale).cast("int") for c in got.columns if c not in (*YX, "n")})
 
 
@@ -77,7 +78,8 @@ def fusion_product(fused: DataFrame, target: str, coefficients: DataFrame, day:
     """(y, x, fused_product, n, mean_x, residual_x, residual_y) of one day.
 
     The harmonic prediction minus the linear trend of its residuals: predictions minus daily medians of
-    the ``look_back`` days that end ``lag - 1`` days before. Pixels with no trend are left out.
+    the ``look_back`` days that end ``lag - 1`` days before. Pixels with no trend are left out. If
+    ``coefficients`` has errors (n, mean_x, residual_x, residual_y), these come along as long_n and so on.
     """
     end = F.date_sub(F.to_date(F.lit(day)), lag - 1)
     when = F.to_date("ts")
@@ -88,14 +90,15 @@ def fusion_product(fused: DataFrame, target: str, coefficients: DataFrame, day:
         .withColumnRenamed("ts", "__day")
     )
     names = ["constant", "time"] + [f"{f}_{k}" for k in range(1, n_cycles + 1) for f in ("cos", "sin")]
-    harmonic = coefficients.select(*YX, *[F.col(c).alias(f"__{c}") for c in names])
+    errors = [c for c in ("n", "mean_x", "residual_x", "residual_y") if c in coefficients.columns]
+    harmonic = coefficients.select(*YX, *[F.col(c).alias(f"__{c}") for c in names], *[F.col(c).alias(f"long_{c}") for c in errors])
     d = daily.join(harmonic, YX).withColumn("time", years("__day"))
     d = d.withColumn("residual", harmonic_value(F.col("time"), n_cycles, "__") - F.col("__seen"))
     trend = linear_trend(d, YX, "residual")
     now = years(F.to_date(F.lit(day)))
     value = harmonic_value(now, n_cycles, "__") - (F.col("constant") + F.col("time") * now)
-    got = trend.join(harmonic, YX).withColumn("fused_product", value)
-    return got.where(F.col("fused_product").isNotNull()).select(*YX, "fused_product", "n", "mean_x", "residual_x", "residual_y")
+    got = trend.join(harmonic, YX).withColumn("fused_product", value).where(F.col("fused_product").isNotNull())
+    return got.select(*YX, "fused_product", "n", "mean_x", "residual_x", "residual_y", *[f"long_{c}" for c in errors])
 
 
 def interval(error: Column, n: Column, time: Column, mean: Column, spread: Column) -> Column:
@@ -104,26 +107,45 @@ def interval(error: Column, n: Column, time: Column, mean: Column, spread: Colum
     return error * F.sqrt(1 + F.try_divide(F.lit(1.0), n) + F.try_divide(away * away, spread))
 
 
-def confidence(value: Column, width: Column, threshold: Column | float, draws: int = 100) -> Column:
-    """Percent of ``draws`` in which ``value`` with an error within 1.96 widths is over the threshold.
+def confidence(value: Column, widths: list[Column], threshold: Column, draws: int = 100) -> Column:
+    """Percent of ``draws`` in which ``value`` with an error within 1.96 of each width is over the threshold.
 
-    The draws are a fixed low-discrepancy sequence shifted by the pixel's place, so they repeat.
+    The draws are fixed low-discrepancy sequences, one for each width, shifted by the pixel's place, so they repeat.
     """
     shift = (F.col("y") * 73 + F.col("x") * 37) % 101 / 101.0
-    over = lambda s, i: s + (value + width * 1.96 * (2 * ((i * 0.6180339887498949 + shift) % 1.0) - 1) > threshold).cast("int")
+    steps = (0.6180339887498949, 0.41421356237309515)
+
+    def over(done: Column, i: Column) -> Column:
+        drawn = value
+        for width, step in zip(widths, steps):
+            drawn = drawn + width * 1.96 * (2 * ((i * step + shift) % 1.0) - 1)
+        return done + (drawn > threshold).cast("int")
+
     hits = F.aggregate(F.sequence(F.lit(1), F.lit(draws)), F.lit(0), over)
     return F.floor(hits * 100 / F.lit(draws)).cast("int")
 
 
-def daily_surface_water(product: DataFrame, permanent: DataFrame, threshold: float, day: str, draws: int = 100) -> DataFrame:
+def daily_surface_water(
+    product: DataFrame, permanent: DataFrame, threshold: float | None, day: str, draws: int = 100, initial: float = 0.0, no_data: float = 0.0, length: int = 50
+) -> DataFrame:
     """(y, x, water, flood, confidence) from a fusion product: over the threshold, or permanent water.
 
+    Without a ``threshold`` it is Otsu's around the map's long edges at ``initial``, ``no_data`` if there are none.
+    The confidence counts draws of the errors of the short trend and, if the product has them, of the harmonics.
     ``permanent`` has (y, x, permanent); a pixel that it lacks is not permanent.
     """
     d = product.join(permanent.select(*YX, F.col("permanent").alias("__p")), YX, "left").withColumn("__p", F.coalesce("__p", F.lit(0)))
-    wet = ((F.col("fused_product") > threshold) | (F.col("__p") == 1)).cast("int")
-    width = F.coalesce(interval(F.col("residual_y"), F.col("n"), years(F.to_date(F.lit(day))), F.col("mean_x"), F.col("residual_x")), F.lit(0.0))
-    sure = confidence(F.col("fused_product"), width, threshold, draws)
+    if threshold is None:
+        one = d.withColumn("scene_id", F.lit(0))
+        cut = edge_otsu(one, "fused_product", initial, no_data, length=length, buffer=10, width=0.05).select("scene_id", F.col("threshold").alias("__t"))
+        d = one.join(F.broadcast(cut.limit(1)), "scene_id").drop("scene_id")
+    else:
+        d = d.withColumn("__t", F.lit(float(threshold)))
+    wet = ((F.col("fused_product") > F.col("__t")) | (F.col("__p") == 1)).cast("int")
+    now = years(F.to_date(F.lit(day)))
+    kinds = [""] + ["long_"] * ("long_residual_y" in product.columns)
+    widths = [F.coalesce(interval(*[F.col(k + c) for c in ("residual_y", "n")], now, *[F.col(k + c) for c in ("mean_x", "residual_x")]), F.lit(0.0)) for k in kinds]
+    sure = confidence(F.col("fused_product"), widths, F.col("__t"), draws)
     return d.select(*YX, wet.alias("water"), F.when(wet == 1, 1 - F.col("__p")).otherwise(0).alias("flood"), sure.alias("confidence"))
 
 

@@ -10,6 +10,7 @@ from ..fixtures import view
 from ..operators import floods, focal, scaling, segments, timeseries, workflows
 from ..sources import datasets
 from ..streaming.daily import daily_means as streamed_daily_means
+from .filter_queries import _FLAT
 from .catalogue import YX, _TIME, query, rounded
 
 _FIT = "regr_intercept(CASE WHEN k THEN y END, t) OVER w AS a, regr_slope(CASE WHEN k THEN y END, t) OVER w AS b"
@@ -103,30 +104,61 @@ _PREDICTED = f"(0.1::double + 0.01::double * t + 0.05::double * cos({2 * pi} * t
 _T_DAY = "epoch_us(TIMESTAMP '2024-01-25') / 86400000000.0::double / 365.25::double"
 
 
+def _fused(spark, d):
+    """Optical pixels' index, and the normalised difference of the corrected radar bands in its place."""
+    sar = workflows.radar_features(view(spark, d, "sar_px"), floods.terrain(view(spark, d, "dem")))
+    return workflows.fuse(view(spark, d, "opt_px"), sar, lambda px: px.withColumn("mndwi", F.col("ndpi")))
+
+
+_FUSED = f"""SELECT y, x, ts, (green - swir1) / nullif(green + swir1, 0) AS v FROM opt_px UNION ALL
+  SELECT y, x, ts, (vv - vh) / nullif(vv + vh, 0) AS v FROM ({_FLAT})"""
+
+
 def _product(spark, d):
-    opt = view(spark, d, "opt_px")
-    fused = workflows.fuse(opt, opt.where("false"), lambda px: px.withColumn("mndwi", F.lit(0.0)))
-    one = {"constant": 0.1, "time": 0.01, "cos_1": 0.05, "sin_1": -0.02}
-    coefficients = view(spark, d, "dem").select("y", "x", *[F.lit(v).alias(c) for c, v in one.items()])
-    return workflows.fusion_product(fused, "mndwi", coefficients, "2024-01-25", look_back=20, lag=4, n_cycles=1)
+    one = {"constant": 0.1, "time": 0.01, "cos_1": 0.05, "sin_1": -0.02, "mean_x": 53.0, "residual_x": 4.0, "residual_y": 0.2}
+    coefficients = view(spark, d, "dem").select("y", "x", *[F.lit(v).alias(c) for c, v in one.items()], F.lit(9).alias("n"))
+    return workflows.fusion_product(_fused(spark, d), "mndwi", coefficients, "2024-01-25", look_back=20, lag=4, n_cycles=1)
 
 
-@query(f"""SELECT * FROM (WITH o AS (SELECT y, x, date_trunc('day', ts) AS ts, quantile_cont((green - swir1) / nullif(green + swir1, 0), 0.5) AS v FROM opt_px
-    WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-22' GROUP BY ALL HAVING v IS NOT NULL),
+_PRODUCT = f"""o AS (SELECT y, x, date_trunc('day', ts) AS ts, quantile_cont(v, 0.5) AS v FROM ({_FUSED})
+    WHERE v IS NOT NULL AND ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-22' GROUP BY ALL),
   r AS (SELECT y, x, t, {_PREDICTED} - v AS e FROM (SELECT *, {_TIME} AS t FROM o) SEMI JOIN dem USING (y, x)),
-  f AS (SELECT y, x, regr_intercept(e, t) AS a, regr_slope(e, t) AS b, count(*) AS n FROM r GROUP BY ALL)
-  SELECT y, x, n, round({_PREDICTED} - (a + b * t), 3) + 0.0 AS fused_product FROM (SELECT *, {_T_DAY} AS t FROM f)
-  WHERE a IS NOT NULL AND b IS NOT NULL) /* opt_px dem */""")
+  f AS (SELECT y, x, regr_intercept(e, t) AS a, regr_slope(e, t) AS b, count(*) AS n, avg(t) AS mx, regr_sxx(e, t) AS rx,
+        sqrt(greatest(regr_syy(e, t) - coalesce(regr_sxy(e, t) ^ 2 / nullif(regr_sxx(e, t), 0), 0), 0) / count(*)) AS ry FROM r GROUP BY ALL),
+  g AS (SELECT *, {_PREDICTED} - (a + b * t) AS product FROM (SELECT *, {_T_DAY} AS t FROM f) WHERE a IS NOT NULL AND b IS NOT NULL)"""
+
+
+@query(f"""SELECT * FROM (WITH {_PRODUCT} SELECT y, x, n, round(product, 3) + 0.0 AS fused_product, round(ry, 4) + 0.0 AS residual_y FROM g) /* opt_px dem */""")
 def fusion_product(spark, d):
-    return rounded(_product(spark, d).select("y", "x", "n", "fused_product"), 3)
+    got = _product(spark, d)
+    return got.select("y", "x", "n", (F.round("fused_product", 3) + 0.0).alias("fused_product"), (F.round("residual_y", 4) + 0.0).alias("residual_y"))
 
 
-@query()
+def _band(error: str, n: str, mean: str, spread: str) -> str:
+    return f"coalesce({error} * sqrt(1 + 1 / {n} + (t - {mean}) ^ 2 / nullif({spread}, 0)), 0)"
+
+
+_DRAW = "2 * ((i * {0}::double + (y * 73 + x * 37) % 101 / 101.0::double) % 1.0::double) - 1"
+
+
+@query(f"""SELECT * FROM (WITH {_PRODUCT}, w AS (SELECT g.*, coalesce((occurrence > 75)::int, 0) AS p, {_band('ry', 'n::double', 'mx', 'rx')} AS short,
+    {_band('0.2::double', '9.0::double', '53.0::double', '4.0::double')} AS long FROM g LEFT JOIN occurrence USING (y, x)),
+  c AS (SELECT y, x, floor(sum((product + short * 1.96::double * ({_DRAW.format(0.6180339887498949)}) + long * 1.96::double * ({_DRAW.format(0.41421356237309515)}) > 0)::int))::int AS sure
+        FROM w, (SELECT unnest(range(1, 101)) AS i) GROUP BY ALL)
+  SELECT y, x, (product > 0 OR p = 1)::int AS water, CASE WHEN product > 0 OR p = 1 THEN 1 - p ELSE 0 END AS flood, sure AS confidence
+  FROM w JOIN c USING (y, x)) /* opt_px dem occurrence */""")
 def daily_surface_water(spark, d):
     permanent = view(spark, d, "occurrence").select("y", "x", (F.col("occurrence") > 75).cast("int").alias("permanent"))
     return workflows.daily_surface_water(_product(spark, d), permanent, 0.0, "2024-01-25")
 
 
+@query()
+def daily_water_by_edges(spark, d):
+    """With the map's own threshold."""
+    permanent = view(spark, d, "occurrence").select("y", "x", (F.col("occurrence") > 75).cast("int").alias("permanent"))
+    return workflows.daily_surface_water(_product(spark, d), permanent, None, "2024-01-25", length=5)
+
+
 @query("""SELECT stratum, count(*) AS n, least(count(*), 20) AS n_taken FROM (SELECT least(floor(occurrence / 20), 4)::int + 1 AS stratum
   FROM opt_px JOIN occurrence USING (y, x)) GROUP BY 1""")
 def fusion_samples(spark, d):
@@ -138,8 +170,7 @@ def fusion_samples(spark, d):
 
 @query()
 def water_harmonics(spark, d):
-    opt = view(spark, d, "opt_px")
-    return workflows.water_harmonics(workflows.fuse(opt, opt.where("false"), lambda px: px.withColumn("mndwi", F.lit(0.0))), n_cycles=1)
+    return workflows.water_harmonics(_fused(spark, d), n_cycles=1)
 
 
 @query()
@@ -151,7 +182,7 @@ def radar_water(spark, d):
 
 @query()
 def semisupervised_extent(spark, d):
-    got = segments.semisupervised_extent(view(spark, d, "sar_px"), ["vv", "vh"], n=200, sizes=range(3, 6), trees=10)
+    got = segments.semisupervised_extent(view(spark, d, "sar_px"), ["vv", "vh"], n=200, sizes=(3, 6), trees=10)
     return rounded(got.select(*YX, "water_proba"), 4)
 
 
@@ -179,3 +210,60 @@ _model_query("gradient_boosting", lambda px, x, y: scaling.gradient_boosting(px,
 def daily_means(spark, d):
     got = streamed_daily_means(view(spark, d, "sar_px"), "vv")
     return rounded(got.withColumn("day", F.col("day").cast("timestamp_ntz")), 4)
+
+
+# --- collections ---------------------------------------------------------------------------------------
+
+_AZIMUTH = "(100 + scene_id * 17 % 90)"
+_RAY = f"sin(radians({_AZIMUTH} + 180))", f"-cos(radians({_AZIMUTH} + 180))"
+
+
+@query(f"""SELECT * FROM (WITH p AS (SELECT scene_id, y, x, green, nir, qa_pixel, ((y * 7 + x * 3 + scene_id) % 10 = 0 AND qa_pixel < 64) OR (y BETWEEN 8 AND 12 AND x BETWEEN 4 AND 9) AS cloud,
+    nir * 0.3::double < 0.175::double AND scene_id % 3 <> 6 AND (y + x) % 4 <> 3 AS dark, floor(x * ({_RAY[1]}) - y * ({_RAY[0]}) + 0.5) AS ray,
+    round(x * ({_RAY[0]}) + y * ({_RAY[1]}), 6) AS along FROM opt_px),
+  s AS (SELECT *, max(CASE WHEN cloud THEN along END) OVER (PARTITION BY scene_id, ray ORDER BY along RANGE UNBOUNDED PRECEDING) AS last FROM p),
+  b AS (SELECT *, (cloud OR coalesce(along - last <= 6 AND dark, false))::int AS bad FROM s),
+  c AS (SELECT a.scene_id, a.y, a.x, any_value(a.green) AS green, (any_value(a.bad) = 1 AND
+        count(*) FILTER (b.bad = 0 AND (a.y - b.y) ^ 2 + (a.x - b.x) ^ 2 <= 1) = 0)::int AS core
+        FROM b a JOIN b ON a.scene_id = b.scene_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL)
+  SELECT a.scene_id, a.y, a.x, round(CASE WHEN count(*) FILTER (b.core = 1 AND (a.y - b.y) ^ 2 + (a.x - b.x) ^ 2 <= 4) = 0 THEN any_value(a.green) END, 9) + 0.0 AS green
+  FROM c a JOIN c b ON a.scene_id = b.scene_id AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL) /* opt_px */""")
+def cloud_shadow_mask(spark, d):
+    """The shadow mask of the 10 m optical sensor."""
+    cloud = ((F.col("y") * 7 + F.col("x") * 3 + F.col("scene_id")) % 10 == 0) & (F.col("qa_pixel") < 64)
+    cloud = cloud | (F.col("y").between(8, 12) & F.col("x").between(4, 9))
+    px = view(spark, d, "opt_px").withColumns({
+        "cloud_probability": F.when(cloud, 90).otherwise(10), "azimuth": 100 + F.col("scene_id") * 17 % 90,
+        "scl": F.when((F.col("y") + F.col("x")) % 4 == 3, 6).otherwise(4), "nir": F.col("nir") * 0.3,
+    })
+    return rounded(datasets.Sentinel2.shadow_mask(px, reach=6, shrink=1, grow=2).select(*YX, "green"), 9)
+
+
+@query("""SELECT scene_id, count(CASE WHEN k % 5 <> 0 AND k % 7 <> 3 AND k % 11 <> 2 AND k % 13 <> 1 AND k % 17 <> 4 THEN nir END) AS n_good
+  FROM (SELECT *, y * 31 + x AS k FROM opt_px) GROUP BY 1""")
+def viirs_qa(spark, d):
+    k = F.col("k")
+    bit = lambda column, value, at: F.when(k % column == value, 1 << at).otherwise(0)
+    px = view(spark, d, "opt_px").withColumn("k", F.col("y") * 31 + F.col("x"))
+    px = px.withColumns({"qf1": bit(5, 0, 2) + 1, "qf2": bit(7, 3, 3) + 4, "qf3": bit(11, 2, 3) + 4, "qf4": bit(13, 1, 2) + 32, "zenith": F.when(k % 17 == 4, -7000).otherwise(5999)})
+    return datasets.Viirs(px).qa(px).groupBy("scene_id").agg(F.count("nir").alias("n_good"))
+
+
+@query("SELECT scene_id, count(*) AS n, round(min(vv), 6) AS least FROM sar_px WHERE scene_id % 2 = 1 GROUP BY 1")
+def descending_scenes(spark, d):
+    px = view(spark, d, "sar_px").withColumn("orbit", F.when(F.col("scene_id") % 2 == 0, "ASCENDING").otherwise("DESCENDING"))
+    got = datasets.Sentinel1(px).pass_only(F.col("orbit"), "DESCENDING").pixels
+    return rounded(got.groupBy("scene_id").agg(F.count("*").alias("n"), F.min("vv").alias("least")))
+
+
+_BOXES = """SELECT n_name, n_regionkey, c_acctbal AS w, CAST(c_custkey AS DOUBLE) / 10 AS s, c_acctbal + 2 AS e, CAST(c_custkey AS DOUBLE) / 10 + 1 AS n
+  FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+
+@query(f"SELECT round(min(w), 2) AS w, round(min(s), 2) AS s, round(max(e), 2) AS e, round(max(n), 2) AS n FROM ({_BOXES}) WHERE n_name = (SELECT min(n_name) FROM nation)")
+def admin_box(spark, d):
+    """The box of a named area, over all its parts."""
+    customer, nation = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("customer", "nation"))
+    boxes = spark.sql(_BOXES.replace("customer", "{customer}", 1).replace("nation ON", "{nation} ON"), customer=customer, nation=nation)
+    name = nation.agg(F.min("n_name")).first()[0]
+    return rounded(datasets.admin_bbox(boxes.withColumnRenamed("n_name", "ADM1_NAME"), name), 2)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixel import extract_bits, rescale
@@ -217,25 +218,29 @@ class Sentinel2(Dataset):
     def shadow_mask(px: DataFrame, reach: int = 30, shrink: int = 2, grow: int = 10, dark: float = 0.175) -> DataFrame:
         """Masks clouds and the dark land pixels within ``reach`` of a cloud, away from the sun.
 
-        Each cloud pixel marks the ``reach`` pixels along its scene's direction; the mask then loses
-        patches narrower than ``shrink`` and grows by ``grow`` pixels. A missing probability is no cloud.
+        Pixels lie on parallel rays along their scene's direction away from the sun; on each, one window has
+        the last cloud before a pixel, whatever the reach. The mask then loses what is nearer than
+        ``shrink`` to its border and grows by ``grow`` pixels. A missing probability is no cloud.
         """
-        from ..operators.focal import box_stats
+        from ..operators.tiles import Tile, distance2, tiled
 
-        keys = ["scene_id", "y", "x"]
-        cloud = F.coalesce((F.col("cloud_probability") > 40).cast("int"), F.lit(0))
-        d = px.withColumn("__cloud", cloud)
         away = F.radians(F.col("azimuth") + 180)  # clockwise from north; rows grow southwards
-        steps = d.where("__cloud = 1").select("scene_id", "y", "x", away.alias("a"), F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("i"))
-        shaded = steps.select(
-            "scene_id", (F.col("y") - F.round(F.cos("a") * F.col("i"))).cast("int").alias("y"), (F.col("x") + F.round(F.sin("a") * F.col("i"))).cast("int").alias("x")
-        ).distinct()
-        d = d.join(shaded.withColumn("__shade", F.lit(1)), keys, "left")
-        shadow = (F.col("__shade") == 1) & (F.col("nir") < dark) & (F.col("scl") != 6)
-        d = d.withColumn("__bad", F.when((F.col("__cloud") == 1) | F.coalesce(shadow, F.lit(False)), 1).otherwise(0))
-        d = box_stats(d, "__bad", shrink, "__i_").withColumn("__core", (F.col("__i_mean") > 1 - 1e-9).cast("int"))
-        d = box_stats(d, "__core", grow, "__o_").withColumn("__hit", F.col("__o_mean") * F.col("__o_count") > 0.5)
-        masked = mask(d, [b for b in OPTICAL_BANDS if b in px.columns], ~F.col("__hit"))
+        dx, dy = F.sin(away), -F.cos(away)
+        ray = F.floor(F.col("x") * dy - F.col("y") * dx + 0.5)
+        d = px.withColumns({"__ray": ray, "__along": F.round(F.col("x") * dx + F.col("y") * dy, 6)})
+        cloud = F.coalesce(F.col("cloud_probability") > 40, F.lit(False))
+        before = Window.partitionBy("scene_id", "__ray").orderBy("__along").rangeBetween(Window.unboundedPreceding, 0)
+        last = F.max(F.when(cloud, F.col("__along"))).over(before)
+        shade = F.coalesce(F.col("__along") - last <= reach, F.lit(False))
+        shadow = F.coalesce(shade & (F.col("nir") < dark) & (F.col("scl") != 6), F.lit(False))
+        d = d.withColumn("__bad", (cloud | shadow).cast("int")).drop("__ray", "__along")
+
+        def spread(part: Tile) -> dict[str, np.ndarray]:
+            core = (part["__bad"] == 1) & (distance2(part["__bad"] == 0, shrink) > shrink * shrink)
+            return {"__hit": distance2(core, grow) <= grow * grow}
+
+        d = tiled(d, ["__bad"], shrink + grow, spread, "__hit int")
+        masked = mask(d, [b for b in OPTICAL_BANDS if b in px.columns], F.col("__hit") == 0)
         return masked.select(px.columns)
 
 

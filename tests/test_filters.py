@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from floodspark.operators import focal, segments
+from floodspark.operators import components, focal
 
 
 def scene(spark, values):
@@ -34,6 +34,6 @@ def test_refined_lee_in_the_middle_of_a_scene(spark):
 
 def test_patches(spark):
     grid = [[1, 1, 0, 0, 1], [0, 0, 1, 0, 1], [0, 0, 0, 0, 0], [1, 0, 0, 0, 0]]
-    got = segments.patch_sizes(scene(spark, grid).withColumn("w", F.col("v").cast("int")), "w")
+    got = components.patch_sizes(scene(spark, grid).withColumn("w", F.col("v").cast("int")), "w")
     size = {(r.y, r.x): r["size"] for r in got.collect()}
     assert [size[k] for k in ((0, 0), (1, 2), (1, 4), (3, 0), (2, 2))] == [3, 3, 2, 1, None]

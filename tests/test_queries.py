@@ -14,12 +14,6 @@ def test_equals_sql(spark, name):
     assert differences(spark, FOLDER, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
-def test_rows_without_sql(spark, name):
-    df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
-
-
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
