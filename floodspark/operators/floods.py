@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .costs import cumulative_costs
+from .edges import edge_otsu
 from .focal import box_stats, modified_median_zscore
+from .threshold import bmax_otsu, threshold_extent
 from .tiles import TILE, Tile, box_sum, distance2, gradients, tiled, weighted_mean, window_extreme
 
 YX = ["y", "x"]
@@ -33,10 +35,28 @@ def flood_duration(px: DataFrame, water: str) -> DataFrame:
     return px.groupBy(*YX).agg((F.max(day) - F.min(day)).alias("days")).where("days IS NOT NULL")
 
 
-def log_amplitude_ratio(observed: Column, reference: Column) -> Column:
-    """log10 of the amplitude ratio of two bands in decibels."""
-    power = lambda x: F.pow(F.lit(10.0), x / 10)
-    return F.log10(F.sqrt(power(observed)) / F.sqrt(power(reference)))
+def log_amplitude_ratio(observed: Column, reference: Column, in_units: str = "db") -> Column:
+    """log10 of the amplitude ratio of two bands in decibels or ``power``."""
+    if in_units not in ("db", "power"):
+        raise NotImplementedError(f"units {in_units}")
+    power = lambda x: F.pow(F.lit(10.0), x / 10) if in_units == "db" else x
+    return F.log10(F.try_divide(F.sqrt(power(observed)), F.sqrt(power(reference))))
+
+
+def amplitude_change(
+    px: DataFrame, observed: str, reference: str, in_units: str = "db", segmentation: str | None = "edgeotsu", invert: bool = False, out: str = "water", **kwargs
+) -> DataFrame:
+    """Change by the log amplitude ratio ``lar``: 1 below its scene's threshold (inverted: above), found by ``edgeotsu`` or ``bmaxotsu``.
+
+    Without a segmentation only the ratio is added. ``kwargs`` go to the threshold's function; ``initial`` is 0 by default.
+    """
+    if segmentation not in ("edgeotsu", "bmaxotsu", None):
+        raise NotImplementedError(f"segmentation {segmentation}")
+    d = px.withColumn("lar", log_amplitude_ratio(F.col(observed), F.col(reference), in_units))
+    if segmentation is None:
+        return d
+    cuts = (edge_otsu if segmentation == "edgeotsu" else bmax_otsu)(d, "lar", **{"initial": 0.0, "width": 0.01, **kwargs})
+    return threshold_extent(d, "lar", cuts, invert, out)
 
 
 #: The cost of a metre of water and how far from dry land costs are followed, in metres.
@@ -213,19 +233,29 @@ def illumination_correction(
     return d.withColumns(out).drop("slope", "aspect", "__az", "__cz", "__sz", "__ci", *fitted.columns[1:])
 
 
-def bathtub(px: DataFrame, fraction: str, hand: DataFrame, cell: int, depths: int = 20) -> DataFrame:
-    """(scene_id, y, x, depth): the fill height whose water share is nearest each coarse cell's fraction.
+def bathtub(px: DataFrame, fraction: str, hand: DataFrame, cell: int, depths: int = 20, permanent: DataFrame | None = None) -> DataFrame:
+    """(scene_id, y, x, depth, water, error, away): the fill height whose water share is nearest each coarse cell's fraction.
 
-    Of equal differences the greater depth counts, which is the union of their water maps.
+    ``permanent`` (y, x, permanent) is water at any height. Of equal differences the greater depth counts, which is the
+    union of their water maps. ``away`` is the cell's least difference; ``error`` is that only where all heights
+    have it, else 0. The shares of all heights are one aggregate a cell.
     """
     d = px.join(hand.select(*YX, "hand"), YX).withColumns({"cy": F.floor(F.col("y") / cell), "cx": F.floor(F.col("x") / cell)})
-    tried = d.select("scene_id", "cy", "cx", fraction, "hand", F.explode(F.sequence(F.lit(0), F.lit(depths))).alias("depth"))
-    share = tried.groupBy("scene_id", "cy", "cx", "depth").agg(
-        F.abs(F.avg(fraction) - F.avg((F.col("hand") <= F.col("depth")).cast("double"))).alias("away")
+    always = F.lit(False)
+    if permanent is not None:
+        d = d.join(permanent.select(*YX, F.col("permanent").alias("__p")), YX, "left")
+        always = F.coalesce(F.col("__p") == 1, F.lit(False))
+    wet = lambda depth: (F.col("hand") <= depth) | always
+    shares = [F.abs(F.avg(fraction) - F.avg(wet(F.lit(k)).cast("double"))).alias(f"__{k}") for k in range(depths + 1)]
+    tried = d.groupBy("scene_id", "cy", "cx").agg(*shares)
+    ranked = F.array(*[F.struct(F.round(f"__{k}", 9).alias("away"), F.lit(-k).alias("deep")) for k in range(depths + 1)])
+    same = F.array_max(ranked)["away"] == F.array_min(ranked)["away"]
+    best = tried.select(
+        "scene_id", "cy", "cx", (-F.array_min(ranked)["deep"]).alias("depth"), F.array_min(ranked)["away"].alias("away"), same.alias("__same")
     )
-    rank = F.struct(F.round("away", 9).alias("away"), (-F.col("depth")).alias("deep"))
-    best = share.groupBy("scene_id", "cy", "cx").agg(F.min_by("depth", rank).alias("depth"))
-    return d.join(best, ["scene_id", "cy", "cx"]).select("scene_id", *YX, "depth", (F.col("hand") <= F.col("depth")).cast("int").alias("water"))
+    got = d.join(best, ["scene_id", "cy", "cx"])
+    error = F.when(F.col("__same"), F.col("away")).otherwise(F.col("away") * 0)
+    return got.select("scene_id", *YX, "depth", wet(F.col("depth")).cast("int").alias("water"), error.alias("error"), "away")
 
 
 def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def minmax_dict(df: DataFrame, features: list[str]) -> DataFrame:
@@ -112,6 +113,35 @@ def argmax(names: list[str]) -> Column:
     return (F.array_position(layers, F.array_max(layers)) - 1).cast("int")
 
 
+def apply_model(df: DataFrame, bands: list[str], load: Callable[[], Callable[[np.ndarray], np.ndarray]], names: list[str], output_probas: bool = False) -> DataFrame:
+    """Adds a model's outputs, one column for each of ``names``, or the place of the greatest as ``class``.
+
+    ``load`` gives, once for each task, a function from rows of bands to rows of outputs; rows with a NULL
+    band have NULL outputs. Rows go through in Arrow batches, without a shuffle.
+    """
+    if not names:
+        raise ValueError("names of the outputs are needed")
+    new = [StructField(n, DoubleType()) for n in names] if output_probas else [StructField("class", IntegerType())]
+    schema = StructType([f for f in df.schema if f.name not in {g.name for g in new}] + new)
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for batch in batches:
+            x = np.stack([batch.column(b).cast(pa.float64()).to_numpy(zero_copy_only=False) for b in bands], axis=1)
+            known = ~np.isnan(x).any(axis=1)
+            made = np.full((len(x), len(names)), np.nan)
+            if known.any():
+                made[known] = model(x[known])
+            if output_probas:
+                columns = [pa.array(c, pa.float64(), mask=~known) for c in made.T]
+            else:
+                columns = [pa.array(np.nan_to_num(made).argmax(axis=1).astype(np.int32), mask=~known)]
+            kept = [batch.column(f.name) for f in schema.fields[: -len(new)]]
+            yield pa.RecordBatch.from_arrays(kept + columns, names=schema.names)
+
+    return df.mapInArrow(predicted, schema)
+
+
 def random_forest(df: DataFrame, features: list[str], label: str, mode: str = "regression", n_trees: int = 30, min_leaf: int = 1, seed: int = 0):
     if mode not in ("regression", "classification", "probability"):
         raise ValueError("mode must be regression, classification or probability")

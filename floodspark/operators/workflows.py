@@ -41,6 +41,17 @@ def water_strata(occurrence: Column, interval: int = 20, top: int = 80) -> Colum
     return F.when(occurrence >= 0, F.least(F.floor(occurrence / interval), F.lit(top // interval)) + 1).cast("int")
 
 
+#: The class of each of the 17 land-cover types.
+LAND_CLASSES = (1, 1, 1, 1, 1, 2, 2, 2, 2, 2, 6, 3, 5, 3, 4, 4, 6)
+
+
+def strata(occurrence: Column, cover: Column, interval: int = 20, top: int = 80) -> Column:
+    """The water stratum, and where there is none the land cover's class, numbered on from the water strata."""
+    water_classes = top // interval + 1
+    classes = F.get(F.array(*map(F.lit, LAND_CLASSES)), cover.cast("int") - 1)
+    return F.coalesce(water_strata(occurrence, interval, top), (classes + water_classes).cast("int"))
+
+
 def stratified_sample(px: DataFrame, stratum: str, n: int, keys: list[str], seed: int = 0) -> DataFrame:
     """At most ``n`` rows of each stratum, those of least hash of ``keys``."""
     seen = px.where(F.col(stratum).isNotNull()).withColumn("__h", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)))
@@ -52,10 +63,17 @@ def stratified_sample(px: DataFrame, stratum: str, n: int, keys: list[str], seed
     return ranked.where(F.col("__r") <= n).select(*px.columns)
 
 
-def fusion_samples(joined: DataFrame, occurrence: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """``n`` pixels of each water stratum from joined optical and radar pixels, with ``stratum``."""
-    strata = occurrence.select(*YX, water_strata(F.col("occurrence")).alias("stratum"))
-    return stratified_sample(joined.join(strata, YX), "stratum", n, ["scene_id", *YX], seed)
+def fusion_samples(joined: DataFrame, occurrence: DataFrame, n: int, seed: int = 0, cover: DataFrame | None = None) -> DataFrame:
+    """``n`` pixels of each water stratum from joined optical and radar pixels, with ``stratum``.
+
+    With ``cover`` (y, x, cover: land-cover types from 1) also of each land class where there is no water stratum.
+    """
+    if cover is None:
+        named = occurrence.select(*YX, water_strata(F.col("occurrence")).alias("stratum"))
+    else:
+        both = occurrence.select(*YX, "occurrence").join(cover.select(*YX, "cover"), YX, "full")
+        named = both.select(*YX, strata(F.col("occurrence"), F.col("cover")).alias("stratum"))
+    return stratified_sample(joined.join(named, YX), "stratum", n, ["scene_id", *YX], seed)
 
 
 def water_harmonics(fused: DataFrame, target: str = "mndwi", n_cycles: int = 2, scale: float = 0.0001) -> DataFrame:

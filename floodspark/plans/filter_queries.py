@@ -258,12 +258,39 @@ def water_depth(spark, d):
     return rounded(floods.water_depth(px, "w", view(spark, d, "dem")).select(*YX, "depth"))
 
 
-@query("""SELECT * FROM (WITH d AS (SELECT scene_id, o.y, o.x, nir, hand, o.y // 5 AS cy, o.x // 5 AS cx FROM opt_px o JOIN dem USING (y, x)),
-  t AS (SELECT scene_id, cy, cx, depth, round(abs(avg(nir) - avg((hand <= depth)::int)), 9) AS away FROM d, (SELECT unnest(range(21)) AS depth) GROUP BY ALL),
-  b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY scene_id, cy, cx ORDER BY away, depth DESC) = 1)
-  SELECT scene_id, y, x, depth::int AS depth, (hand <= depth)::int AS water FROM d JOIN b USING (scene_id, cy, cx)) /* opt_px dem */""")
+def _bathtub_sql(wet: str) -> str:
+    return f"""SELECT * FROM (WITH d AS (SELECT scene_id, o.y, o.x, nir, hand, o.y // 5 AS cy, o.x // 5 AS cx, coalesce(occurrence > 75, false) AS perm
+      FROM opt_px o JOIN dem USING (y, x) LEFT JOIN occurrence USING (y, x)),
+  t AS (SELECT scene_id, cy, cx, depth, round(abs(avg(nir) - avg(({wet})::int)), 9) AS away FROM d, (SELECT unnest(range(21)) AS depth) GROUP BY ALL),
+  b AS (SELECT *, min(away) OVER w AS lo, max(away) OVER w AS hi FROM t WINDOW w AS (PARTITION BY scene_id, cy, cx)
+        QUALIFY row_number() OVER (PARTITION BY scene_id, cy, cx ORDER BY away, depth DESC) = 1)
+  SELECT scene_id, y, x, depth::int AS depth, ({wet})::int AS water, round(away, 6) AS away, round(CASE WHEN lo = hi THEN away ELSE 0 END, 6) AS error
+  FROM d JOIN b USING (scene_id, cy, cx)) /* opt_px dem occurrence */"""
+
+
+@query(_bathtub_sql("hand <= depth"))
 def bathtub(spark, d):
-    return floods.bathtub(view(spark, d, "opt_px"), "nir", view(spark, d, "dem"), 5)
+    return rounded(floods.bathtub(view(spark, d, "opt_px"), "nir", view(spark, d, "dem"), 5))
+
+
+@query(_bathtub_sql("hand <= depth OR perm"))
+def bathtub_seeded(spark, d):
+    """Permanent water at any height; heights of one metre in ten leave cells whose shares are all equal."""
+    permanent = view(spark, d, "occurrence").select("y", "x", (F.col("occurrence") > 75).cast("int").alias("permanent"))
+    return rounded(floods.bathtub(view(spark, d, "opt_px"), "nir", view(spark, d, "dem"), 5, permanent=permanent))
+
+
+@query(f"""SELECT * FROM (WITH l AS (SELECT scene_id, y, x, log10(sqrt(pow(10.0::double, vv / 10)) / sqrt(pow(10.0::double, (-20 - (y + x) * 0.013::double) / 10))) AS lar FROM sar_px),
+  t AS (SELECT *, y // 5 AS ty, x // 5 AS tx, lar < -0.1::double AS low FROM l),
+  s AS (SELECT scene_id, ty, tx, avg(low::int) AS p, coalesce(avg(lar) FILTER (low), -25) AS m1, coalesce(avg(lar) FILTER (NOT low), 0) AS m2, var_pop(lar) AS v FROM t GROUP BY ALL),
+  k AS (SELECT scene_id, ty, tx, round((CASE WHEN p = 0 THEN 0.9999 ELSE p END) * (1 - (CASE WHEN p = 0 THEN 0.9999 ELSE p END)) * (m1 - m2) ^ 2 / (CASE WHEN v = 0 THEN 2 ELSE v END), 6) AS bmax FROM s),
+  i AS (SELECT t.* FROM t SEMI JOIN (SELECT * FROM k WHERE bmax > 0.5 QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY bmax DESC, ty, tx) <= 100) USING (scene_id, ty, tx)),
+  {_OTSU.replace('/ 0.25', '/ 0.01').format(band='lar', source='i')}
+  SELECT scene_id, y, x, round(lar, 6) + 0.0 AS lar, (lar > threshold)::int AS water FROM l LEFT JOIN cut USING (scene_id)) /* sar_px */""")
+def amplitude_change(spark, d):
+    px = view(spark, d, "sar_px").withColumn("before", -20 - (F.col("y") + F.col("x")) * 0.013)
+    got = floods.amplitude_change(px, "vv", "before", segmentation="bmaxotsu", invert=True, initial=-0.1, least=0.5)
+    return rounded(got.select(*YX, "lar", "water"))
 
 
 _BANDS = ("red", "nir", "swir1")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..fixtures import view
@@ -168,6 +169,36 @@ def fusion_samples(spark, d):
     return whole.groupBy("stratum").agg(F.count("*").alias("n")).join(taken, "stratum")
 
 
+_COVER = "(y * 5 + x) % 17 + 1"
+_LAND = ", ".join(map(str, workflows.LAND_CLASSES))
+
+
+@query(f"""SELECT stratum, count(*) AS n, least(count(*), 20) AS n_taken FROM (
+  SELECT coalesce(CASE WHEN occurrence > 30 THEN least(floor(occurrence / 20), 4)::int + 1 END, 5 + ([{_LAND}])[({_COVER})::int]) AS stratum
+  FROM opt_px LEFT JOIN occurrence USING (y, x)) GROUP BY 1""")
+def fusion_samples_by_cover(spark, d):
+    """Water strata where water was seen, land classes elsewhere."""
+    opt = view(spark, d, "opt_px")
+    occurrence = view(spark, d, "occurrence").select("y", "x", F.when(F.col("occurrence") > 30, F.col("occurrence")).alias("occurrence"))
+    cover = opt.select("y", "x").distinct().withColumn("cover", F.expr(_COVER))
+    taken = workflows.fusion_samples(opt, occurrence, 20, cover=cover).groupBy("stratum").agg(F.count("*").alias("n_taken"))
+    both = opt.join(occurrence, ["y", "x"], "left").join(cover, ["y", "x"])
+    whole = both.select(workflows.strata(F.col("occurrence"), F.col("cover")).alias("stratum")).groupBy("stratum").agg(F.count("*").alias("n"))
+    return whole.join(taken, "stratum")
+
+
+def _sums():
+    """A model of three outputs."""
+    weights = np.array([[1.0, 0.0, 0.5], [0.0, 1.0, 0.5], [0.25, 0.25, 0.0]])
+    return lambda x: x @ weights
+
+
+@query("""SELECT scene_id, y, x, CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END AS class FROM (
+  SELECT scene_id, y, x, nir + 0.25::double * blue AS a, red + 0.25::double * blue AS b, 0.5::double * nir + 0.5::double * red AS c FROM opt_px)""")
+def apply_model(spark, d):
+    return scaling.apply_model(view(spark, d, "opt_px"), ["nir", "red", "blue"], _sums, ["a", "b", "c"]).select(*YX, "class")
+
+
 @query()
 def water_harmonics(spark, d):
     return workflows.water_harmonics(_fused(spark, d), n_cycles=1)
