@@ -50,8 +50,9 @@ def extract_flood_seasonal(spark, d):
     return floods.extract_flood_seasonal(px, "w", recurrence).select(*YX, "flood")
 
 
-def _around(source: str, inner: str) -> str:
-    return f"SELECT a.scene_id, a.y, a.x, {inner} FROM {source} a JOIN {source} b ON a.scene_id = b.scene_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY a.scene_id, a.y, a.x"
+def _around(source: str, inner: str, r: int = 1) -> str:
+    near = f"abs(a.y - b.y) <= {r} AND abs(a.x - b.x) <= {r}"
+    return f"SELECT a.scene_id, a.y, a.x, {inner} FROM {source} a JOIN {source} b ON a.scene_id = b.scene_id AND {near} GROUP BY a.scene_id, a.y, a.x"
 
 
 @query(f"""SELECT * FROM (WITH p AS (SELECT scene_id, y, x, elevation AS z, (vv < -20)::int AS w FROM sar_px JOIN dem USING (y, x)),
@@ -67,27 +68,41 @@ def fill_depth(spark, d):
     return rounded(floods.fill_depth(px, "w", view(spark, d, "dem"), steps=2).select(*YX, "depth"), 5)
 
 
-def _conv(source: str, value: str, out: str, keep: str) -> str:
+def _conv(source: str, value: str, out: str, keep: str, r: int) -> str:
     w = "(1 + sqrt((a.y - b.y) ^ 2 + (a.x - b.x) ^ 2) / 0.5::double)"
     kept = ", ".join(f"any_value(a.{k}) AS {k}" for k in keep.split())
-    return _around(source, f"{kept}, sum({w} * b.{value}) / nullif(sum(CASE WHEN b.{value} IS NOT NULL THEN {w} END), 0) AS {out}")
+    return _around(source, f"{kept}, sum({w} * b.{value}) / nullif(sum(CASE WHEN b.{value} IS NOT NULL THEN {w} END), 0) AS {out}", r)
 
 
-@query(f"""SELECT * FROM (WITH base AS (SELECT y, x, arg_max(nir, epoch_us(ts)::hugeint * 100000 + scene_id) AS base, max(ts) AS t0 FROM opt_px
+def _starfm_sql(r: int) -> str:
+    return f"""SELECT * FROM (WITH base AS (SELECT y, x, arg_max(nir, epoch_us(ts)::hugeint * 100000 + scene_id) AS base, max(ts) AS t0 FROM opt_px
     WHERE ts < TIMESTAMP '2024-01-20' AND ts >= TIMESTAMP '2023-11-20' GROUP BY ALL),
   old AS (SELECT y, x, arg_max(red, epoch_us(ts)::hugeint * 100000 + scene_id) AS old FROM opt_px
     WHERE ts < TIMESTAMP '2024-01-20' AND ts >= TIMESTAMP '2023-11-20' GROUP BY ALL),
   c0 AS (SELECT scene_id, y, x, base, abs(red - old) AS away, (epoch_us(ts) - epoch_us(t0)) / 86400000000.0::double AS since
     FROM opt_px JOIN base USING (y, x) JOIN old USING (y, x) WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-25'),
-  c1 AS ({_conv('c0', 'away', 's', 'base since')}), c2 AS (SELECT *, s * since AS st FROM c1),
-  c3 AS ({_conv('c2', 'st', 'c', 'base s')}), c4 AS (SELECT *, 1 / nullif(c, 0) AS ic FROM c3),
-  c5 AS ({_conv('c4', 'ic', 'icm', 'base s ic')}), c6 AS (SELECT *, ic / nullif(icm, 0) AS w FROM c5),
-  c7 AS ({_conv('c6', 'w', 'wm', 'base s')})
-  SELECT scene_id, y, x, round(base / nullif(wm, 0) + s, 4) + 0.0 AS predicted FROM c7) /* opt_px */""")
-def starfm(spark, d):
+  c1 AS ({_conv('c0', 'away', 's', 'base since', r)}), c2 AS (SELECT *, s * since AS st FROM c1),
+  c3 AS ({_conv('c2', 'st', 'c', 'base s', r)}), c4 AS (SELECT *, 1 / nullif(c, 0) AS ic FROM c3),
+  c5 AS ({_conv('c4', 'ic', 'icm', 'base s ic', r)}), c6 AS (SELECT *, ic / nullif(icm, 0) AS w FROM c5),
+  c7 AS ({_conv('c6', 'w', 'wm', 'base s', r)})
+  SELECT scene_id, y, x, round(base / nullif(wm, 0) + s, 4) + 0.0 AS predicted FROM c7) /* opt_px */"""
+
+
+def _starfm(spark, d, r):
     opt = view(spark, d, "opt_px")
     coarse = opt.select("scene_id", "y", "x", "ts", F.col("red").alias("nir"))
-    return rounded(floods.starfm(coarse, opt, "nir", "2024-01-20", r=1).select(*YX, "predicted"), 4)
+    return rounded(floods.starfm(coarse, opt, "nir", "2024-01-20", r=r).select(*YX, "predicted"), 4)
+
+
+@query(_starfm_sql(1))
+def starfm(spark, d):
+    return _starfm(spark, d, 1)
+
+
+@query(_starfm_sql(16))
+def starfm_wide(spark, d):
+    """With its own 33 x 33 windows."""
+    return _starfm(spark, d, 16)
 
 
 def _modis(px):
