@@ -91,7 +91,7 @@ def water_depth(
     own = {"__c0": F.lit(0.0), "__c1": F.lit(1.0), "__c2": F.col("__z")}
     costs = d.select("scene_id", *YX, dry.alias("__dry"), *[F.when(dry, v).when(wet, WATER_COST).alias(c) for c, v in own.items()])
     paths = cumulative_costs(costs, list(own), "__dry", tile)
-    d = d.join(paths, ["scene_id", *YX])
+    d = d.join(paths, ["scene_id", *YX], "left")
     level = F.try_divide(F.col("__c2") - F.col("__c0"), F.col("__c1") - F.col("__c0"))
     level = F.when(F.col("__c0") / WATER_COST * cell <= reach, level)
     raw = F.when(dry, F.lit(0.0)).otherwise(level - F.col("__z"))

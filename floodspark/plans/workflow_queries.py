@@ -12,7 +12,7 @@ from ..operators import floods, focal, scaling, segments, timeseries, workflows
 from ..sources import datasets
 from ..streaming.daily import daily_means as streamed_daily_means
 from .filter_queries import _FLAT
-from .catalogue import YX, _TIME, query, rounded
+from .catalogue import _OFF_TIES_6, _TIME, YX, query, rounded
 
 _FIT = "regr_intercept(CASE WHEN k THEN y END, t) OVER w AS a, regr_slope(CASE WHEN k THEN y END, t) OVER w AS b"
 
@@ -62,10 +62,11 @@ def _around(source: str, inner: str, r: int = 1) -> str:
   l1 AS ({_around('l', 'any_value(a.z) AS z, any_value(a.w) AS w, CASE WHEN any_value(a.w) = 1 THEN avg(b.l) END AS l')}),
   l2 AS ({_around('l1', 'any_value(a.z) AS z, any_value(a.w) AS w, CASE WHEN any_value(a.w) = 1 THEN avg(b.l) END AS l')}),
   r AS (SELECT *, CASE WHEN l IS NOT NULL THEN greatest(l - z, 0) END AS d FROM l2)
-  {_around('r', 'round(CASE WHEN any_value(a.w) = 1 THEN avg(b.d) END, 5) + 0.0 AS depth')}) /* sar_px dem */""")
+  {_around('r', f'round(CASE WHEN any_value(a.w) = 1 THEN avg(b.d) + {_OFF_TIES_6} END, 5) + 0.0 AS depth')}) /* sar_px dem */""")
 def fill_depth(spark, d):
     px = view(spark, d, "sar_px").select(*YX, (F.col("vv") < -20).cast("int").alias("w"))
-    return rounded(floods.fill_depth(px, "w", view(spark, d, "dem"), steps=2).select(*YX, "depth"), 5)
+    got = floods.fill_depth(px, "w", view(spark, d, "dem"), steps=2)
+    return rounded(got.select(*YX, (F.col("depth") + _OFF_TIES_6).alias("depth")), 5)
 
 
 def _conv(source: str, value: str, out: str, keep: str, r: int) -> str:
