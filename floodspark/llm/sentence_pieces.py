@@ -131,7 +131,7 @@ class Normaliser:
 
     def _identity(self, text: bytes) -> tuple[bytes, np.ndarray]:
         raw = np.frombuffer(text, np.uint8)
-        widths = np.where(raw == 32, len(self.space), 1)
+        widths = np.where(raw == 32, np.int32(len(self.space)), np.int32(1))
         lead = len(self.space) if self.dummy_prefix else 0
         origin = np.zeros(lead + int(widths.sum()) + 1, np.int32)
         origin[lead:-1] = np.repeat(np.arange(len(raw), dtype=np.int32), widths)
@@ -371,6 +371,35 @@ def decode_ids(vocabulary: Vocabulary, ids: np.ndarray | list[int]) -> str | Non
     return "".join(_text_of(vocabulary.surface(run)) for run in runs)[mark:]
 
 
+def decode_lists(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> list[str | None]:
+    """The texts of many lists of ids, one after another in ``ids`` up to ``ends``; the surfaces of all are made at once."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(vocabulary.pieces)):
+        return [decode_ids(vocabulary, part) for part in np.split(ids, ends[:-1])]
+    normal = vocabulary.normaliser
+    kinds = vocabulary.kind_of[ids]
+    raw = vocabulary.surface(ids)
+    controls = np.concatenate([[0], np.cumsum(kinds == CONTROL)])
+    stops = np.concatenate([[0], np.cumsum(vocabulary.said_sizes[ids])])
+    starts = np.concatenate([[0], ends[:-1]])
+    # Of these the first piece is ordinary and no id but the last is a control.
+    last = kinds[np.maximum(ends - 1, 0)] == CONTROL if len(ids) else np.zeros(len(ends), bool)
+    filled = ends > starts
+    plain = filled & (controls[ends] - controls[starts] == last)
+    if len(ids):
+        plain &= kinds[np.minimum(starts, len(ids) - 1)] == 1
+    out: list[str | None] = []
+    for first, end, simple, a, b in zip(starts.tolist(), ends.tolist(), plain.tolist(), stops[starts].tolist(), stops[ends].tolist()):
+        text = None
+        if simple:
+            lead = a + (raw[a : a + 1] == b" " and (normal.dummy_prefix or normal.strip))
+            try:
+                text = raw[lead:b].decode()
+            except UnicodeDecodeError:
+                pass
+        out.append(decode_ids(vocabulary, ids[first:end]) if text is None else text)
+    return out
+
+
 def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about BLOCK_BYTES in all, or of one larger row."""
     ends, first = np.cumsum(sizes), 0
@@ -422,7 +451,7 @@ def decode(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded")
     def work(vocabulary: Vocabulary, known: dict[str, bytes], lists: pa.Array) -> pa.Array:
         numbers = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
         ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-        texts = [decode_ids(vocabulary, ids) for ids in np.split(numbers, ends[:-1])]
+        texts = decode_lists(vocabulary, numbers.astype(np.int64), ends)
         return pa.StructArray.from_arrays([pa.array(texts, pa.string())], names=["text"])
 
     return _mapped(df, ids, model, "struct<text: string>", work).select("row.*", F.col("made.text").alias(out))

@@ -51,6 +51,20 @@ def test_any_ids_are_decoded_as_the_library_does():
     assert sp.decode_ids(vocabulary, [5, 32000]) is None and sp.decode_ids(vocabulary, [-1]) is None
 
 
+def test_many_lists_are_decoded_as_one_by_one():
+    import numpy as np
+
+    vocabulary, _ = sp._loaded(MODEL)
+    rng = random.Random(10)
+    common = [0, 1, 2, 2, LIBRARY.piece_to_id("▁"), 231, 187, 176]
+    lists = [[rng.choice([*common, rng.randrange(32000)]) for _ in range(rng.randint(0, 6))] for _ in range(2000)]
+    lists += [LIBRARY.encode(t, add_eos=True) for t in some_texts(200)] + [[]]
+    got = sp.decode_lists(vocabulary, np.array(sum(lists, [])), np.cumsum([len(x) for x in lists]))
+    assert got == [LIBRARY.decode(x) for x in lists]
+    assert sp.decode_lists(vocabulary, np.zeros(0, np.int64), np.array([0, 0])) == ["", ""]
+    assert sp.decode_lists(vocabulary, np.array([5, 99999, 5]), np.array([1, 2, 3])) == [LIBRARY.decode([5]), None, LIBRARY.decode([5])]
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
 @pytest.mark.parametrize("strip", [False, True])
 def test_normaliser_follows_a_compiled_map(rule, strip):
