@@ -113,12 +113,34 @@ class Dataset:
         return left.join(right, "bucket").where(near & meet).select("scene_id", F.col("other_scene_id").alias("other_id"), "other_ts")
 
     def join(self, other: Dataset, days: int = 1) -> Dataset:
-        """Pixels with the bands of the latest valid matching scene of ``other`` appended."""
-        right = other.pixels.select(F.col("scene_id").alias("other_id"), "y", "x", *other.bands)
-        found = self.pairs(other, days).join(right, "other_id")
-        order = F.struct("other_ts", "other_id")
-        latest = [F.max_by(b, F.when(F.col(b).isNotNull(), order)).alias(b) for b in other.bands]
-        return replace(self, pixels=self.pixels.join(found.groupBy("scene_id", "y", "x").agg(*latest), ["scene_id", "y", "x"]))
+        """Pixels with the bands of the latest valid matching scene of ``other`` appended.
+
+        Both sides' pixels are laid on one time line for each place, the left ones ``days`` later, where
+        the last valid value of ``other`` before a pixel is the wanted one unless it is too old. So each
+        pixel is shuffled once for its scene's time and once for its place, however many scenes match.
+        """
+        span = days * 86_400_000_000
+        right = other.bands
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+
+        def timed(px: DataFrame) -> DataFrame:
+            times = px.groupBy("scene_id").agg(F.min("ts").alias("ts")).select("scene_id", us.alias("__us"))
+            return px.where("y IS NOT NULL AND x IS NOT NULL").join(times.where("__us IS NOT NULL"), "scene_id")
+
+        own = timed(self.pixels)
+        left = own.select("y", "x", (F.col("__us") + span).alias("__at"), F.struct(*[F.col(c) for c in self.pixels.columns]).alias("__own"))
+        values = F.struct(*[F.col(b).alias(b) for b in right])
+        theirs = timed(other.pixels.select("scene_id", "y", "x", "ts", *right))
+        theirs = theirs.select("y", "x", F.col("__us").alias("__at"), F.col("scene_id").alias("__id"), values.alias("__theirs"))
+        both = left.unionByName(theirs, allowMissingColumns=True)
+        line = Window.partitionBy("y", "x").orderBy("__at", F.col("__own").isNotNull(), "__id")
+        before = line.rowsBetween(Window.unboundedPreceding, 0)
+        last = {f"__last_{b}": F.struct(F.col("__at").alias("at"), F.col("__theirs")[b].alias("value")) for b in right}
+        last = {n: F.last(F.when(F.col("__theirs")[b].isNotNull(), v), ignorenulls=True).over(before) for b, (n, v) in zip(right, last.items())}
+        seen = F.last(F.when(F.col("__own").isNull(), F.col("__at")), ignorenulls=True).over(before)
+        found = both.withColumns({"__seen": seen, **last}).where(F.col("__own").isNotNull() & (F.col("__at") - F.col("__seen") <= 2 * span))
+        latest = [F.when(F.col("__at") - F.col(f"__last_{b}.at") <= 2 * span, F.col(f"__last_{b}.value")).alias(b) for b in right]
+        return replace(self, pixels=found.select("__own.*", *latest))
 
     def aggregate_time(self, reducer: Callable = F.avg, dates: DataFrame | None = None, period: int = 1) -> DataFrame:
         """(ts, y, x, bands) reduced over each day, or over ``period`` days from each row of ``dates`` (day)."""
