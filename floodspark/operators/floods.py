@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from math import pi
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .costs import cumulative_costs
 from .edges import edge_otsu
@@ -39,8 +42,30 @@ def log_amplitude_ratio(observed: Column, reference: Column, in_units: str = "db
     """log10 of the amplitude ratio of two bands in decibels or ``power``."""
     if in_units not in ("db", "power"):
         raise NotImplementedError(f"units {in_units}")
-    power = lambda x: F.pow(F.lit(10.0), x / 10) if in_units == "db" else x
-    return F.log10(F.try_divide(F.sqrt(power(observed)), F.sqrt(power(reference))))
+    if in_units == "power":
+        return F.log10(F.try_divide(F.sqrt(observed), F.sqrt(reference)))
+    return _decibel_log_ratio(observed.cast("double"), reference.cast("double"))
+
+
+@F.pandas_udf(DoubleType())
+def _decibel_log_ratio(observed: pd.Series, reference: pd.Series) -> pd.Series:
+    """By the C library's pow and log10, which the SQL has too: ratios often lie on a threshold or a bucket's edge, where
+    the last bit that those of the JVM or of numpy give otherwise decides."""
+
+    def power(v: float) -> float:
+        try:
+            return math.pow(10.0, v / 10)
+        except OverflowError:
+            return math.inf
+
+    def ratio(a: float, b: float) -> float | None:
+        if a != a or b != b:
+            return None
+        a, b = math.sqrt(power(a)), math.sqrt(power(b))
+        share = a / b if b else 0.0
+        return math.log10(share) if share > 0 else None
+
+    return pd.Series([ratio(a, b) for a, b in zip(observed.tolist(), reference.tolist())], dtype="float64")
 
 
 def amplitude_change(

@@ -1,5 +1,9 @@
 """Results that once differed from the SQL, and steps that once grew faster than their input."""
 
+import duckdb
+from pyspark.sql import functions as F
+
+from floodspark.operators import floods
 from floodspark.sources import datasets
 
 
@@ -23,3 +27,13 @@ def test_join_counts_both_ends_of_the_interval(spark):
         assert [r.vv for r in rows] == ([] if found is None else [found])
     gone = right.selectExpr("scene_id", "y", "x", f"{at.format('10 00:00:00')} AS ts", "CAST(NULL AS double) AS vv")
     assert [r.vv for r in datasets.Dataset(left).join(datasets.Dataset(gone)).pixels.collect()] == [None]
+
+
+def test_log_amplitude_ratio_has_the_bits_of_the_sql(spark):
+    got = spark.range(5000).selectExpr("id", "(id * 37 % 2003) / 100.0D - 30 AS a", "-20 - (id % 49) * 0.013D AS b")
+    got = got.withColumn("r", floods.log_amplitude_ratio(F.col("a"), F.col("b")))
+    want = duckdb.sql("""SELECT id, log10(sqrt(pow(10.0::double, a / 10)) / sqrt(pow(10.0::double, b / 10))) FROM (
+        SELECT id, (id * 37 % 2003) / 100.0::double - 30 AS a, -20 - (id % 49) * 0.013::double AS b FROM range(5000) t(id))""")
+    assert {r.id: r.r for r in got.collect()} == dict(want.fetchall())
+    edge = spark.createDataFrame([(None, 1.0), (1.0, None), (9000.0, 0.0), (0.0, -9000.0), (-9000.0, 0.0)], "a double, b double")
+    assert [r[0] for r in edge.select(floods.log_amplitude_ratio(F.col("a"), F.col("b"))).collect()] == [None, None, float("inf"), None, None]
