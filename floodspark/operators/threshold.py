@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from .focal import KEYS, neighbours
 
 
-def histogram(px: DataFrame, band: str, width: float, by: list[str]) -> DataFrame:
-    """(by, bucket, n, mean) with buckets of fixed width; masked pixels do not count."""
-    return (
-        px.where(F.col(band).isNotNull())
-        .groupBy(*by, F.floor(F.col(band) / width).alias("bucket"))
-        .agg(F.count("*").alias("n"), F.avg(band).alias("mean"))
-    )
+def histogram(px: DataFrame, band: str, width: float, by: list[str], ordered: bool = False) -> DataFrame:
+    """(by, bucket, n, mean) with buckets of fixed width; masked pixels do not count.
+
+    ``ordered`` adds up a bucket's pixels by row and column, so that its mean, which pixels may equal, has the same last
+    bit however they are dealt. A bucket is then sorted by one task: this is for few pixels a group.
+    """
+    v = F.col(band)
+    if not ordered:
+        return px.where(v.isNotNull()).groupBy(*by, F.floor(v / width).alias("bucket")).agg(F.count("*").alias("n"), F.avg(band).alias("mean"))
+    d = px.where(v.isNotNull()).select(*by, F.floor(v / width).alias("bucket"), *[c for c in KEYS if c not in by], v.alias("__v"))
+    inside = Window.partitionBy(*by, "bucket").orderBy(*KEYS)
+    run = {"n": F.row_number().over(inside), "__s": F.sum("__v").over(inside.rowsBetween(Window.unboundedPreceding, 0))}
+    last = d.withColumns(run | {"__last": F.lead(F.lit(1)).over(inside).isNull()}).where("__last")
+    return last.select(*by, "bucket", F.col("n").cast("long").alias("n"), (F.col("__s") / F.col("n")).alias("mean"))
 
 
 def adaptive_histogram(px: DataFrame, band: str, by: list[str], max_buckets: int = 255, finest: int = -9) -> DataFrame:
@@ -143,7 +150,7 @@ def bmax_otsu(
         chosen = chosen.withColumn("__r", F.row_number().over(ranked)).where(F.col("__r") <= max_boxes)
     squares = px.withColumns({f"t{c}": F.floor(F.col(c) / finest) for c in "yx"})
     inside = squares.join(chosen, ["scene_id", "ty", "tx"], "left_semi")
-    cut = otsu(histogram(inside, band, width, ["scene_id"]), ["scene_id"])
+    cut = otsu(histogram(inside, band, width, ["scene_id"], ordered=max_boxes is not None), ["scene_id"])
     if thresh_no_data is None:
         return cut
     scenes = px.select("scene_id").distinct()

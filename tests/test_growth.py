@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from floodspark.operators import floods
+from floodspark.operators import floods, threshold
 from floodspark.sources import datasets
 
 
@@ -37,3 +37,16 @@ def test_log_amplitude_ratio_has_the_bits_of_the_sql(spark):
     assert {r.id: r.r for r in got.collect()} == dict(want.fetchall())
     edge = spark.createDataFrame([(None, 1.0), (1.0, None), (9000.0, 0.0), (0.0, -9000.0), (-9000.0, 0.0)], "a double, b double")
     assert [r[0] for r in edge.select(floods.log_amplitude_ratio(F.col("a"), F.col("b"))).collect()] == [None, None, float("inf"), None, None]
+
+
+def test_bucket_means_do_not_depend_on_the_order_of_rows(spark):
+    values = [(-21.0 - (k * 37 % 101) / 1000.0) for k in range(400)]
+    rows = [(k // 50, k // 10, k % 10, v) for k, v in enumerate(values)]
+    sums = {}
+    for scene, _, _, v in rows:
+        n, s = sums.get((scene, v // 0.25), (0, 0.0))
+        sums[scene, v // 0.25] = n + 1, s + v
+    for parts in (1, 7):
+        px = spark.createDataFrame(rows[::-1], "scene_id long, y int, x int, v double").repartition(parts)
+        got = {(r.scene_id, float(r.bucket)): (r.n, r.mean) for r in threshold.histogram(px, "v", 0.25, ["scene_id"], ordered=True).collect()}
+        assert got == {k: (n, s / n) for k, (n, s) in sums.items()}
