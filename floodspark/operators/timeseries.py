@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,16 +104,35 @@ def sen_slope(df: DataFrame, by: list[str], y: str) -> DataFrame:
     """
     own = df.where(F.col(y).isNotNull() & F.col("time").isNotNull()).select(*by, F.col("time").alias("t"), F.col(y).alias("v"))
 
-    def fit(series):
+    def fit(series: pa.Table) -> pa.Table:
         import numpy as np
 
-        t, v = (series[c].to_numpy(float) for c in ("t", "v"))
+        t, v = (series.column(c).cast(pa.float64()).to_numpy() for c in ("t", "v"))
         slope = median_slope(t, v)
-        row = series[by].iloc[:0] if slope is None else series[by].iloc[:1]
-        return row.assign(time=slope, constant=None if slope is None else float(np.median(v - slope * t)))
+        found = [] if slope is None else [slope]
+        out = {c: series.column(c).slice(0, len(found)) for c in by}
+        return pa.table(out | {"time": pa.array(found, pa.float64()), "constant": pa.array([float(np.median(v - s * t)) for s in found], pa.float64())})
 
     types = dict(own.dtypes)
-    return own.groupBy(*by).applyInPandas(fit, ", ".join([f"{c} {types[c]}" for c in by] + ["time double", "constant double"]))
+    return own.groupBy(*by).applyInArrow(fit, ", ".join([f"{c} {types[c]}" for c in by] + ["time double", "constant double"]))
+
+
+def _median_of_all(t, v, rows: int = 64):
+    """Median of all slopes of a series in the order of its dates."""
+    import numpy as np
+
+    slopes = np.empty(len(t) * (len(t) - 1) // 2)
+    n = 0
+    for i in range(0, len(t), rows):
+        dt = t[None, i + 1 :] - t[i : i + rows, None]
+        later = dt > 0
+        found = (v[None, i + 1 :] - v[i : i + rows, None])[later] / dt[later]
+        slopes[n : n + len(found)] = found
+        n += len(found)
+    if not n:
+        return None
+    middle = [(n - 1) // 2, n // 2]
+    return float(np.partition(slopes[:n], middle)[middle].mean())
 
 
 def median_slope(t, v, held: int = 1 << 20):
@@ -120,6 +140,7 @@ def median_slope(t, v, held: int = 1 << 20):
 
     At most about ``held`` slopes are kept. Each pass takes values between the bounds as edges, and either
     finds the wanted rank at an edge or goes on strictly between two edges, so ties cannot stall it.
+    Series of at most ``held`` pairs need one pass and no sorting.
     Dates and values that are not finite are left out.
     """
     import numpy as np
@@ -128,6 +149,8 @@ def median_slope(t, v, held: int = 1 << 20):
     t, v = t[finite], v[finite]
     order = np.argsort(t, kind="stable")
     t, v = t[order], v[order]
+    if len(t) * (len(t) - 1) // 2 <= held:
+        return _median_of_all(t, v)
     rows = max(1, held // (4 * max(len(t), 1)))
 
     def slopes(low, high):

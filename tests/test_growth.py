@@ -1,9 +1,11 @@
 """Results that once differed from the SQL, and steps that once grew faster than their input."""
 
 import duckdb
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from floodspark.operators import floods, threshold
+from floodspark.operators import floods, threshold, timeseries
 from floodspark.sources import datasets
 
 
@@ -50,3 +52,13 @@ def test_bucket_means_do_not_depend_on_the_order_of_rows(spark):
         px = spark.createDataFrame(rows[::-1], "scene_id long, y int, x int, v double").repartition(parts)
         got = {(r.scene_id, float(r.bucket)): (r.n, r.mean) for r in threshold.histogram(px, "v", 0.25, ["scene_id"], ordered=True).collect()}
         assert got == {k: (n, s / n) for k, (n, s) in sums.items()}
+
+
+def test_a_series_of_few_pairs_needs_no_sorting(monkeypatch):
+    rng = np.random.default_rng(2)
+    t, v = rng.integers(0, 300, 600).astype(float), rng.normal(size=600)
+    a, b = np.triu_indices(600, 1)
+    dt, dv = t[b] - t[a], v[b] - v[a]
+    wanted = np.median(dv[dt != 0] / dt[dt != 0])
+    monkeypatch.setattr(np, "sort", None)
+    assert timeseries.median_slope(t, v) == pytest.approx(wanted, abs=1e-12)
