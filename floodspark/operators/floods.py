@@ -303,7 +303,9 @@ def dnns(px: DataFrame, r: int = 40, out: str = "fraction", tile: int = TILE) ->
     d = px.withColumn("__i", index)
     kinds = {"w": F.col("__i") > 0.15, "l": F.col("__i") < -0.15}
     means = {f"__{k}_{b}": F.avg(kind.cast("double") * F.col(b)) for k, kind in kinds.items() for b in bands}
-    d = d.join(d.groupBy("scene_id").agg(*[m.alias(n) for n, m in means.items()]), "scene_id", "left")
+    extent = {c: (f"__{c}0", f"__{c}1") for c in "yx"}
+    ends = [f(c).alias(n) for c, names in extent.items() for f, n in zip((F.min, F.max), names)]
+    d = d.join(d.groupBy("scene_id").agg(*[m.alias(n) for n, m in means.items()], *ends), "scene_id", "left")
 
     def fractions(tile: Tile) -> dict[str, np.ndarray]:
         i, v = tile["__i"], {b: tile[b] for b in bands}
@@ -343,7 +345,8 @@ def dnns(px: DataFrame, r: int = 40, out: str = "fraction", tile: int = TILE) ->
         result.ravel()[mixed] = total / 3
         return {out: result}
 
-    return tiled(d, ["__i", *bands, *means], r, fractions, f"{out} double", tile).drop("__i", *means)
+    got = tiled(d, ["__i", *bands, *means], r, fractions, f"{out} double", tile, extent)
+    return got.drop("__i", *means, *extent["y"], *extent["x"])
 
 
 def latest_before(px: DataFrame, band: str, target: str, months: int = 2) -> DataFrame:

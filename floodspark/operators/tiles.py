@@ -49,10 +49,12 @@ def tiled(
     work: Callable[[Tile], dict[str, np.ndarray]],
     added: str,
     tile: int = TILE,
+    extent: dict[str, tuple[str, str]] | None = None,
 ) -> DataFrame:
     """``px`` with the columns ``added`` (a schema), which ``work`` computes from arrays of ``bands``; NaN becomes NULL.
 
-    Columns of ``px`` that ``added`` names are replaced. Rows that repeat a pixel are all kept, and one of them counts.
+    ``extent`` names the columns of each scene's least and greatest ``y`` and ``x``, where they are known: then no pixel goes
+    to a tile beyond them. Columns of ``px`` that ``added`` names are replaced. Rows that repeat a pixel are all kept, and one of them counts.
     """
     new = StructType.fromDDL(added)
     kept = [c for c in px.columns if c not in new.names]
@@ -60,7 +62,10 @@ def tiled(
     types = {f.name: pa.int32() if f.dataType.typeName() == "integer" else pa.float64() for f in new.fields}
 
     def touched(axis: str):
-        return F.explode(F.sequence(*[F.floor((F.col(axis) + s * halo) / tile) for s in (-1, 1)]))
+        ends = [F.floor((F.col(axis) + s * halo) / tile) for s in (-1, 1)]
+        if extent is not None:
+            ends = [keep(end, F.floor(F.col(c) / tile)) for keep, end, c in zip((F.greatest, F.least), ends, extent[axis])]
+        return F.explode(F.sequence(*ends))
 
     spread = px.select("*", touched("y").alias("__ty")).select("*", touched("x").alias("__tx"))
 

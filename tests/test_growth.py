@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from floodspark.operators import floods, threshold, timeseries
+from floodspark.operators.tiles import tiled
 from floodspark.sources import datasets
 
 
@@ -62,3 +63,19 @@ def test_a_series_of_few_pairs_needs_no_sorting(monkeypatch):
     wanted = np.median(dv[dt != 0] / dt[dt != 0])
     monkeypatch.setattr(np, "sort", None)
     assert timeseries.median_slope(t, v) == pytest.approx(wanted, abs=1e-12)
+
+
+def test_tiles_beyond_a_scene_get_no_pixel(spark):
+    px = spark.range(625).selectExpr("0L AS scene_id", "int(id / 25) AS y", "int(id % 25) AS x", "1.0D AS v", "0 AS y0", "24 AS y1", "0 AS x0", "24 AS x1")
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(part):
+        seen.add(1)
+        return {"out": part["v"]}
+
+    for tile, tiles in ((128, 1), (20, 4)):
+        before = seen.value
+        got = tiled(px, ["v"], 40, work, "out double", tile, {"y": ("y0", "y1"), "x": ("x0", "x1")})
+        assert got.selectExpr("count(*)", "sum(out)").first() == (625, 625.0) and seen.value - before == tiles
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "greatest" in plan and "least" in plan
