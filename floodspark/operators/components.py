@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,21 +38,22 @@ def connected(links: DataFrame) -> DataFrame:
     return labels
 
 
-def _label_tile(rows: pd.DataFrame) -> pd.DataFrame:
+def _label_tile(rows: pa.Table) -> pa.Table:
     """The pixels of one tile, each once, with the least of the places (y, x) of its patch within the tile."""
-    rows = rows.drop_duplicates(["y", "x"]).sort_values(["y", "x"])
-    y, x = (rows[c].to_numpy(np.int64) for c in "yx")
+    y, x = (rows.column(c).to_numpy().astype(np.int64) for c in "yx")
+    _, once = np.unique((y << 32) + x, return_index=True)
+    y, x = y[once], x[once]
     grid = np.full((y.max() - y.min() + 3, x.max() - x.min() + 3), -1)
     r, c = y - y.min() + 1, x - x.min() + 1
-    grid[r, c] = np.arange(len(rows))
-    pairs = [(np.arange(len(rows)), grid[r + dy, c + dx]) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    grid[r, c] = np.arange(len(once))
+    pairs = [(np.arange(len(once)), grid[r + dy, c + dx]) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]
     a, b = (np.concatenate([p[i][p[1] >= 0] for p in pairs]) for i in (0, 1))
-    root = np.arange(len(rows))
+    root = np.arange(len(once))
     while (root[a] != root[b]).any():
         np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
         while (root[root] != root).any():
             root = root[root]
-    return rows.assign(label=(y[root] << 32) + x[root])[[*KEYS, "label"]]
+    return rows.select(KEYS).take(pa.array(once)).append_column("label", pa.array((y[root] << 32) + x[root]))
 
 
 def patches(px: DataFrame, mask: str, tile: int = 256) -> DataFrame:
@@ -65,8 +66,9 @@ def patches(px: DataFrame, mask: str, tile: int = 256) -> DataFrame:
     places = [F.floor(F.col(c) / tile).alias(f"t{c}") for c in "yx"]
     on = px.where(F.col(mask) == 1).select(*KEYS, *places)
     schema = ", ".join(f"{c} {types[c]}" for c in KEYS) + ", label long"
-    local = cut_lineage(on.groupBy("scene_id", "ty", "tx").applyInPandas(lambda rows: _label_tile(rows), schema))
-    rim = local.where(" OR ".join(f"{c} % {tile} IN (0, {tile - 1})" for c in "yx"))
+    local = cut_lineage(on.groupBy("scene_id", "ty", "tx").applyInArrow(lambda rows: _label_tile(rows), schema))
+    # No tile lies before the first rows and columns, so that pixels there touch none.
+    rim = local.where(" OR ".join(f"{c} % {tile} = {tile - 1} OR ({c} > 0 AND {c} % {tile} = 0)" for c in "yx"))
     beside = neighbours(rim, ["label"], square(1, centre=False)).withColumnRenamed("label", "other").join(rim, KEYS)
     ends = [F.struct("scene_id", F.col(c).alias("label")).alias(n) for c, n in (("label", "a"), ("other", "b"))]
     names = connected(beside.where("label < other").select(*ends).distinct())
@@ -74,8 +76,13 @@ def patches(px: DataFrame, mask: str, tile: int = 256) -> DataFrame:
     return local.join(named, ["scene_id", "label"], "left").select(*KEYS, F.coalesce("__top", "label").alias("label"))
 
 
+def sizes(px: DataFrame, mask: str, out: str = "size", most: int = 1024) -> DataFrame:
+    """(scene_id, y, x, out): the number of pixels of the patch of each pixel whose ``mask`` is 1, at most ``most``."""
+    labels = patches(px, mask)
+    counted = labels.groupBy("scene_id", "label").agg(F.least(F.count("*"), F.lit(most)).alias(out))
+    return labels.join(counted, ["scene_id", "label"]).drop("label")
+
+
 def patch_sizes(px: DataFrame, mask: str, out: str = "size", most: int = 1024) -> DataFrame:
     """``px`` with the number of pixels of each one's patch, at most ``most``; NULL outside patches."""
-    labels = patches(px, mask)
-    sizes = labels.groupBy("scene_id", "label").agg(F.least(F.count("*"), F.lit(most)).alias(out))
-    return px.join(labels.join(sizes, ["scene_id", "label"]).drop("label"), KEYS, "left")
+    return px.join(sizes(px, mask, out, most), KEYS, "left")

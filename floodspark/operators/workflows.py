@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 from ..functions.pixel import INDICES, add_indices
-from .components import patch_sizes
+from .components import sizes
 from .edges import edge_otsu
 from .focal import close_binary, gamma_map, open_binary
 from .floods import slope_correction
@@ -203,15 +203,20 @@ def radar_water(sar: DataFrame, relief: DataFrame, hand: DataFrame, sand: DataFr
     by_hand = F.coalesce(F.when(h < a, 1.0).when(h >= b, 0.0).when(h < mid, below).otherwise(above), F.lit(1.0))
     evidence = [fuzzy.zmf(F.col("slope"), 0.0, 15.0), by_hand, fuzzy.small(F.coalesce("sand", F.lit(0.0)), 37.5, 8)]
     px = cut_lineage(px.withColumn("__land", evidence[0] + evidence[1] + evidence[2]).drop("__lo", "__sd"))
+    # Both thresholds and both bands' patches are taken from written pixels, before any are joined.
+    by = ["scene_id", "ty", "tx"]
+    flagged = px
     for band in ("vv", "vh"):
-        chosen = px.where(F.col(band) < 0).join(best_tiles(px, band, grid), ["scene_id", "ty", "tx"], "left_semi")
-        by = ["scene_id", "ty", "tx"]
-        cut = otsu(histogram(chosen, band, width, by), by).groupBy("scene_id").agg(F.avg("threshold").alias("__t"))
-        px = px.join(cut, "scene_id", "left").withColumn("__w", (F.col(band) < F.col("__t")).cast("int"))
-        px = patch_sizes(cut_lineage(px), "__w", "__n")
-        patch = fuzzy.zmf(F.coalesce("__n", F.lit(0)).cast("double"), 10.0, 3.0)
-        strength = F.try_divide(F.lit(1.0), 1 + F.pow(F.col(band) / F.col("__t"), F.lit(-5.0)))
-        wet = (F.col("__w") == 1) & ((F.col("__land") + patch + strength) / 5 > 0.6)
-        px = px.withColumn(f"__{band}", F.when(F.col(band).isNotNull(), F.coalesce(wet, F.lit(False)).cast("int"))).drop("__t", "__w", "__n")
+        chosen = px.where(F.col(band) < 0).join(best_tiles(px, band, grid), by, "left_semi")
+        cut = otsu(histogram(chosen, band, width, by), by).groupBy("scene_id").agg(F.avg("threshold").alias(f"__t{band}"))
+        flagged = flagged.join(cut, "scene_id", "left").withColumn(f"__w{band}", (F.col(band) < F.col(f"__t{band}")).cast("int"))
+    flagged = cut_lineage(flagged)
+    px = flagged
+    for band in ("vv", "vh"):
+        px = px.join(sizes(flagged, f"__w{band}", f"__n{band}"), ["scene_id", *YX], "left")
+        patch = fuzzy.zmf(F.coalesce(f"__n{band}", F.lit(0)).cast("double"), 10.0, 3.0)
+        strength = F.try_divide(F.lit(1.0), 1 + F.pow(F.col(band) / F.col(f"__t{band}"), F.lit(-5.0)))
+        wet = (F.col(f"__w{band}") == 1) & ((F.col("__land") + patch + strength) / 5 > 0.6)
+        px = px.withColumn(f"__{band}", F.when(F.col(band).isNotNull(), F.coalesce(wet, F.lit(False)).cast("int")))
     both = px.select("scene_id", *YX, F.greatest("__vv", "__vh").alias("__both"))
     return close_binary(open_binary(both, "__both", "__open", r), "__open", "water", r).select("scene_id", *YX, "water")
