@@ -328,8 +328,9 @@ def dnns(px: DataFrame, r: int = 40, out: str = "fraction", tile: int = TILE) ->
         tops = [a.ravel()[mixed] for a in ratios]
         lows = [t - reach.ravel()[mixed] for t in tops]
         n, sums = np.zeros(len(mixed)), np.zeros((3, len(mixed)))
-        for dy in range(-r, r + 1):
-            for dx in range(-r, r + 1):
+        down, right = (min(r, size - 1) for size in i.shape)  # nothing lies further off within the rectangle
+        for dy in range(-down, down + 1):
+            for dx in range(-right, right + 1):
                 at = centre + dy * row + dx
                 first, second = flat[0][at], flat[1][at]
                 like = (first > lows[0]) & (first < tops[0]) & (second > lows[1]) & (second < tops[1])
