@@ -294,7 +294,8 @@ def dnns(px: DataFrame, r: int = 40, out: str = "fraction", tile: int = TILE) ->
     Water is an index above 0.15, land below -0.15; what lies between is mixed. Pure water is the mean of
     the water within ``r`` rows and columns. Pure land is the mean of those neighbours whose ratios of red
     and of near to short-wave infrared lie, both, below the pixel's own and above it less pure water's
-    red over the pixel's short-wave infrared. Where there is none, the scene's sums of water or land over the
+    red over the pixel's short-wave infrared; ratios that differ from the latter by rounding only are equal to it,
+    so that the order of sums decides no tie. Where there is none, the scene's sums of water or land over the
     number of all its pixels stand in. The fraction is the mean over the three bands of (land - pixel) /
     (land - water), within 0 and 1; a division by 0 gives 0.
     """
@@ -326,7 +327,8 @@ def dnns(px: DataFrame, r: int = 40, out: str = "fraction", tile: int = TILE) ->
         centre = (y + r) * row + x + r
         flat = [a.ravel() for a in wide]
         tops = [a.ravel()[mixed] for a in ratios]
-        lows = [t - reach.ravel()[mixed] for t in tops]
+        reach = reach.ravel()[mixed]
+        lows = [t - reach + 1e-12 * (np.abs(t) + np.abs(reach)) for t in tops]
         n, sums = np.zeros(len(mixed)), np.zeros((3, len(mixed)))
         down, right = (min(r, size - 1) for size in i.shape)  # nothing lies further off within the rectangle
         for dy in range(-down, down + 1):
