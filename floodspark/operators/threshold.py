@@ -67,10 +67,15 @@ def otsu(hist: DataFrame, by: list[str]) -> DataFrame:
 
 
 def otsu_extent(px: DataFrame, band: str, out: str = "water", width: float = 0.25) -> DataFrame:
-    """1 where the band is below its scene's Otsu threshold, else 0; masked pixels stay masked."""
+    """1 where the band is below its scene's Otsu threshold, else 0; masked pixels stay masked.
+
+    A threshold is the mean of a bucket, which pixels may equal; what differs from it by rounding only is not below it, so that
+    the order of sums decides nothing.
+    """
     cut = otsu(histogram(px, band, width, ["scene_id"]), ["scene_id"])
     joined = px.join(cut, "scene_id", "left")
-    return joined.withColumn(out, (F.col(band) < F.col("threshold")).cast("int"))
+    below = F.col("threshold") - F.col(band) > 1e-12 * F.abs("threshold")
+    return joined.withColumn(out, below.cast("int"))
 
 
 def _moments(px: DataFrame, band: str, initial: float, cell: int) -> DataFrame:
